@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _U64 = np.uint64
@@ -42,7 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64))
         start = 0
         while start < batch.num_rows:
             before = int(ends[start - 1]) if start else 0
@@ -61,7 +62,7 @@ def flat_bytes(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray,
     col = batch.column(batch.schema.get_field_index(column))
     wide = pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type)
     if col.null_count:
-        col = pa.compute.fill_null(col, b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
+        col = pc.fill_null(col, b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
     _, offs, data = col.buffers()
     off = np.frombuffer(offs, dtype=np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]] if data is not None else np.zeros(0, np.uint8)
