@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media
+from . import bpe, media, quality, sharding, tokenout
 from .common import read_table
 
 
@@ -15,13 +15,29 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written as ORC and indexed from the files: doc_id, start, n_tokens, ids_crc32."""
+    return tokenout.tokens_round_trip(read_table(spark, sf_dir, "documents"))
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of eight shards of near equal bytes."""
+    return sharding.sharded(read_table(spark, sf_dir, "documents"), 8)
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as PNG and read back; see media.DECODED."""
     return media.media_features(media.text_media(read_table(spark, sf_dir, "documents")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score: doc_id, held_out, score, predicted."""
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op8_media": op8_media}
+    return {"op1_bpe": op1_bpe, "op6_tokens": op6_tokens, "op7_shards": op7_shards, "op8_media": op8_media, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
