@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, quality, sharding, tokenout
+from . import bpe, media, minhash, quality, sharding, tokenout
 from .common import read_table
 
 
@@ -15,6 +15,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component of near copies: doc_id, n_shingles, component_id, kept."""
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as ORC and indexed from the files: doc_id, start, n_tokens, ids_crc32."""
     return tokenout.tokens_round_trip(read_table(spark, sf_dir, "documents"))
@@ -37,7 +42,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op6_tokens": op6_tokens, "op7_shards": op7_shards, "op8_media": op8_media, "op10_quality": op10_quality}
+    return {"op1_bpe": op1_bpe, "op4_minhash": op4_minhash, "op6_tokens": op6_tokens, "op7_shards": op7_shards, "op8_media": op8_media, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
