@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, media, minhash, quality, sharding, tokenout
+from . import bpe, media, minhash, quality, repeats, sharding, tokenout
 from .common import read_table
 
 
@@ -15,6 +16,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated 400-byte strings: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    out = repeats.without_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component of near copies: doc_id, n_shingles, component_id, kept."""
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
@@ -42,7 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_minhash": op4_minhash, "op6_tokens": op6_tokens, "op7_shards": op7_shards, "op8_media": op8_media, "op10_quality": op10_quality}
+    return {"op1_bpe": op1_bpe, "op3_repeats": op3_repeats, "op4_minhash": op4_minhash, "op6_tokens": op6_tokens, "op7_shards": op7_shards, "op8_media": op8_media, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
