@@ -207,8 +207,8 @@ class Codec:
             out = [o if None not in o else list(map(self.words.__getitem__, p)) for p, o in zip(parts, out, strict=True)]
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[int(i) for e in found for i in e[0].split(",")] for found in self.known(texts)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.fromstring(",".join([e[0] for e in found]), np.int32, sep=",") for found in self.known(texts)]
 
     @staticmethod
     def digests(found: list[tuple[str, bytes]]) -> tuple[int, str, str]:
@@ -217,8 +217,8 @@ class Codec:
         ids, text = ",".join(names).encode(), b"".join(plain).decode("utf-8", "replace").encode()
         return ids.count(b",") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bpe.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        return b"".join(map(self.bpe.bytes_of.__getitem__, map(int, ids))).decode("utf-8", "replace")
 
 
 @lru_cache(2)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, minhash, quality, repeats, sharding, tokenout
+from . import bpe, embeddings, linededup, media, minhash, mixing, quality, repeats, sharding, tokenout
 from .common import read_table
 
 
@@ -16,6 +16,15 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines aligned with an earlier one: doc_id, n_lines, n_removed, kept_sha256."""
+    out = linededup.lines_removed(read_table(spark, sf_dir, "documents"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    keep = F.expr("array_join(filter(split(text, '\n'), (x, i) -> not array_contains(gone, i)), '\n')")
+    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(keep)
+    return out.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated 400-byte strings: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     out = repeats.without_repeats(read_table(spark, sf_dir, "documents"))
@@ -27,6 +36,12 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all documents: a row for each use, with source, epoch and tokens."""
+    out = mixing.mixed(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "epoch", mixing.tokens().alias("n_tokens"))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written as ORC and indexed from the files: doc_id, start, n_tokens, ids_crc32."""
     return tokenout.tokens_round_trip(read_table(spark, sf_dir, "documents"))
@@ -42,6 +57,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.text_media(read_table(spark, sf_dir, "documents")))
 
 
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component: vec_id, n_links, component_id, kept."""
+    return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score: doc_id, held_out, score, predicted."""
     docs = read_table(spark, sf_dir, "documents")
@@ -49,7 +69,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_repeats": op3_repeats, "op4_minhash": op4_minhash, "op6_tokens": op6_tokens, "op7_shards": op7_shards, "op8_media": op8_media, "op10_quality": op10_quality}
+    return {
+        "op1_bpe": op1_bpe,
+        "op2_lines": op2_lines,
+        "op3_repeats": op3_repeats,
+        "op4_minhash": op4_minhash,
+        "op5_mixing": op5_mixing,
+        "op6_tokens": op6_tokens,
+        "op7_shards": op7_shards,
+        "op8_media": op8_media,
+        "op9_vectors": op9_vectors,
+        "op10_quality": op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
