@@ -8,9 +8,9 @@ Jaccard similarity, with the concentration of independent samples. BANDS bands o
 by which documents meet: at 0.85 a pair misses all of them with probability below 5e-7.
 
 Documents with the same set are one (their smallest doc_id). In a bucket every member is compared with one
-pivot, not with every other; buckets whose members are not yet in one component get a second pivot, and
-what is still apart then is compared in full across components, so no link that joins two components is
-lost. Every link is confirmed on the full sets.
+pivot, not with every other. Buckets whose members are not in one component then are compared across
+components, in cells of two blocks of BLOCK members that carry their sets, so a large bucket is spread and
+only links come out; no link that joins two components is lost. Every link is confirmed on the full sets.
 
 Defined cases: words are split at ASCII white space, A-Z lower-cased; fewer than five words are one
 shingle; a document without words has an empty set and is linked with nothing; a row without a doc_id is
@@ -34,6 +34,7 @@ from .components import components
 WORDS = 5
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
+BLOCK = 256
 AGREE = 88  # of 125 coordinates; at 0.85 fewer agree with probability below 1e-5
 
 SPACE = np.zeros(256, bool)
@@ -140,16 +141,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["doc_id", "hashes"])
 
 
+def similar(a: bytes, b: bytes, percent: int) -> bool:
+    """Whether two sets of hashes reach the similarity."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose full sets reach the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                keep.append(similar(x.as_py(), y.as_py(), percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
@@ -168,24 +174,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     keys = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     full = keys.groupBy("band", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
     members = written(keys.join(full, ["band", "key"]), "bucket-members")
-    sets = written(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes binary"), "shingle-sets")
+    sets = written(texts.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes binary"), "shingle-sets")
 
     tested = written(members.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     edges = written(linked(tested, sets, percent), "links")
-    for last in (False, True):
-        labels = components(edges)
-        apart = _apart(members, labels)
-        if last:
-            with_marks = apart.join(reps.select("doc_id", "n_shingles", "marks"), "doc_id")
-            pairs = _across(with_marks, percent)
-        else:
-            top = members.select(F.col("doc_id").alias("high")).distinct().join(labels, F.col("high") == F.col("id"), "left").select("high", F.coalesce("component", "high").alias("high_component"))
-            pairs = apart.join(top, "high").filter("component <> high_component").select(F.least("doc_id", "high").alias("a"), F.greatest("doc_id", "high").alias("b"))
-        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        edges = written(edges.unionByName(linked(pairs, sets, percent)), "links")
-        tested = tested.unionByName(pairs)
+    apart = _apart(members, components(edges))
+    if not apart.isEmpty():
+        cells = _cells(apart.join(reps, "doc_id").join(sets, "doc_id"))
+        edges = written(edges.unionByName(cells.groupBy("cell", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct()), "links")
     labels = components(edges)
 
     of_set = groups.join(labels, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
@@ -195,21 +191,65 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold more than one component."""
-    known = members.join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "key", "doc_id", "high", F.coalesce("component", "doc_id").alias("component"))
-    mixed = known.groupBy("band", "key").agg(F.min("component").alias("first"), F.max("component").alias("other")).filter("first <> other").select("band", "key")
-    return known.join(mixed, ["band", "key"])
-
-
-def _across(apart: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components whose sizes allow the similarity and whose sketches
-    agree often enough."""
-    a = apart.select("band", "key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"), F.col("marks").alias("ma"))
-    b = apart.select("band", "key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"), F.col("marks").alias("mb"))
-    sizes = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    """Members, with the size of their bucket, of the buckets that still hold more than one component."""
+    known = members.join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    mixed = known.groupBy("band", "key").agg(F.min("component").alias("first"), F.max("component").alias("other"), F.count("*").alias("size")).filter("first <> other")
+    return written(known.join(mixed.select("band", "key", "size"), ["band", "key"]), "apart")
+
+
+def _cells(apart: DataFrame) -> DataFrame:
+    """A row for each cell of a member: its bucket's pairs of blocks that hold it; small buckets stay whole
+    and share cells."""
+    out = apart.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    out = out.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    own = F.xxhash64("band", "key")
+    cell = F.when(F.col("blocks") > 1, own).otherwise(F.pmod(own, F.lit(4096)))
+    return out.select(
+        cell.alias("cell"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("right"),
+        "band", "key", "doc_id", "component", "n_shingles", "bands", "marks", "hashes",
+    )
+
+
+def _across(percent: int):
+    """Links between different components of a cell's buckets. A pair is looked at in the first band where
+    it meets, if its sizes allow the similarity and its sketches agree often enough; pairs that links of the
+    cell have joined already are left out."""
     least = int(AGREE - COORDINATES * max(0, 85 - percent) / 100)
-    agree = f"aggregate(zip_with(ma, mb, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) >= {least}"
-    return a.join(b, ["band", "key"]).filter(f"a < b and ca <> cb and {sizes} and {agree}").select("a", "b")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        t = table.sort_by([("band", "ascending"), ("key", "ascending"), ("doc_id", "ascending")])
+        band, keys, ids, size, right = (np.asarray(t.column(c)) for c in ("band", "key", "doc_id", "n_shingles", "right"))
+        component, blobs = t.column("component").to_pylist(), t.column("hashes")
+        bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+        marks = np.asarray(t.column("marks").combine_chunks().flatten()).reshape(-1, COORDINATES)
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        out = []
+        cuts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (band[1:] != band[:-1])))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=True):
+            two = right[a:b].any()
+            for i in range(a, b - 1):
+                j = np.arange(i + 1, b)
+                ok = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+                if two:
+                    ok &= right[j] != right[i]
+                j = j[ok]
+                j = j[(marks[j] == marks[i]).sum(axis=1) >= least]
+                j = j[~(bands[j, : band[i]] == bands[i, : band[i]]).any(axis=1)]
+                for k in j.tolist():
+                    x, y = top(component[i]), top(component[k])
+                    if x != y and similar(blobs[i].as_py(), blobs[k].as_py(), percent):
+                        above[max(x, y)] = min(x, y)
+                        out.append((ids[i], ids[k]))
+        first, second = zip(*out, strict=True) if out else ((), ())
+        return pa.table([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
