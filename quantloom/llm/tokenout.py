@@ -14,6 +14,7 @@ gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,20 +26,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import PLAIN
 from .common import shared_dir, slices, texts_of, written
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
-CACHED_WORDS = 300_000
+CACHED_CHUNKS, CACHED_PIECES = 300_000, 200_000
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 1000
 
 TOKENS = "doc_id long, shard int, row long, tokens array<int>"
 
 
+#: The file's pattern for texts of PLAIN characters, which are lower-cased before it.
+PIECES = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+""")
+
+
 class WordCodec:
-    """The tokenizers library over words cut at blanks, tabs and line ends, which its file drops as white
-    space; ids of words that were met before come from a bounded memory."""
+    """The tokenizers library over the pieces of its file's pattern. Pieces that the worker has not met are
+    put to the library many at a time, between blanks, and told apart by the tokens that end a piece; ids of
+    pieces, and of what stands between two blanks, come from a bounded memory. Texts with other than plain
+    characters, or with what may be a special token, are encoded by the library as a whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,24 +55,52 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = {"": b""}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {"": b""}
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_pieces(self, new: list[str]) -> None:
+        if len(self.pieces) + len(new) > CACHED_PIECES:
+            self.pieces = {}
+        for k in range(0, len(new), 500):
+            some = new[k : k + 500]
+            ids = self.library([" ".join(some)])[0]
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(some) and stop[-1] == len(ids):
+                data = ids.tobytes()
+                at = [0, *(4 * stop).tolist()]
+                self.pieces.update((w, data[a:b]) for w, a, b in zip(some, at[:-1], at[1:], strict=True))
+            else:
+                self.pieces.update((w, x.tobytes()) for w, x in zip(some, self.library(some), strict=True))
 
     def learn(self, new: list[str]) -> None:
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[w] = np.array(e.ids, "<i4").tobytes()
+        parts = [PIECES.findall(c) for c in new]
+        words = set().union(*parts)
+        if len(self.pieces) + len(words) > CACHED_PIECES:
+            self.pieces = {}
+        self.learn_pieces([w for w in words if w not in self.pieces])
+        known = self.pieces.__getitem__
+        self.chunks.update((c, b"".join(map(known, p))) for c, p in zip(new, parts, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        found = [list(map(self.words.get, c)) for c in cut]
+        plain = [not (PLAIN.search(t) or "<|" in t) for t in texts]
+        cut = [t.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
+        found = [list(map(self.chunks.get, c)) for c in cut]
         new = {w for c, f in zip(cut, found, strict=True) if None in f for w, e in zip(c, f, strict=True) if e is None}
         if new:
-            if len(self.words) + len(new) > CACHED_WORDS:
-                self.words = {"": b""}
-                new = set().union(*cut).difference(self.words)
+            if len(self.chunks) + len(new) > CACHED_CHUNKS:
+                self.chunks = {"": b""}
+                new = set().union(*cut).difference(self.chunks)
             self.learn(list(new))
-            found = [f if None not in f else list(map(self.words.__getitem__, c)) for c, f in zip(cut, found, strict=True)]
-        return [b"".join(f) for f in found]
+            found = [f if None not in f else list(map(self.chunks.__getitem__, c)) for c, f in zip(cut, found, strict=True)]
+        whole = iter(self.library([t for t, p in zip(texts, plain, strict=True) if not p]))
+        return [b"".join(f) if p else next(whole).tobytes() for f, p in zip(found, plain, strict=True)]
 
 
 @lru_cache(2)
