@@ -10,7 +10,9 @@ Equal contexts are one, with a count. Contexts of an anchor that has several mee
 anchors. All contexts of an anchor have the bytes around it in common; these become one symbol, and each
 bucket gets one suffix array over what is left (see grouping.py), in which equal strings are neighbours. Anchors with more than HOT distinct
 contexts, such as the borders of a passage that very many documents share, would make one bucket large;
-their strings are counted one by one instead, by fingerprint, in a distributed aggregate.
+they are narrowed in distributed aggregates instead: strings whose places relative to the anchor lie
+within STEP bytes share a core and meet by its fingerprint; what meets nothing goes, what is equal as a
+whole is done, and only the rest is compared string by string, by fingerprint.
 
 Defined cases: lengths and strings are in UTF-8 bytes and may cut characters; a null text is empty; texts
 shorter than `length` keep all bytes; copies of a text all lose their repeated strings; overlaps count;
@@ -34,6 +36,7 @@ from .grouping import suffix_array
 LENGTH = 400
 K = 128
 HOT = 256
+STEP = 16
 BUCKET_BYTES = 1 << 19
 PIECE = 1 << 24
 PLACE_BITS = 25
@@ -195,20 +198,64 @@ def _bucket(length: int):
     return run
 
 
+RANGES = "anchor long, context long, place int, p0 int, p1 int, core long, kind long"
+
+
+def _ranges(length: int):
+    """Rows of (anchor, context, place, bytes) to the ranges of their strings: starts p0 to p1, fingerprints
+    of the bytes that all strings of such a range share and of all its bytes."""
+
+    def fingerprint(data: bytes, *numbers: int) -> int:
+        return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=b"".join(n.to_bytes(4, "little") for n in numbers)).digest(), "little", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for anchor, context, place, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                last = len(data) - length
+                for q in range((place - last) // STEP, place // STEP + 1):
+                    p0, p1 = max(0, place - q * STEP - STEP + 1), min(last, place - q * STEP)
+                    core = data[place - q * STEP : place - q * STEP - STEP + 1 + length]
+                    rows.append((anchor, context, place, p0, p1, fingerprint(core, q), fingerprint(data[p0 : p1 + length], q, place - p0)))
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["anchor", "context", "place", "p0", "p1", "core", "kind"])
+
+    return run
+
+
 def _strings(length: int):
-    """Rows of (anchor, context, bytes) to a fingerprint for each string."""
+    """Rows of (core, kind, n, place, p0, p1, bytes) to a fingerprint for each string of the range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["core", "kind", "n", "back", "f", "g"]
         for batch in batches:
-            for anchor, context, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = np.frombuffer(data, np.uint8)
-                n = len(raw) - length + 1
+            for core, kind, n, place, p0, p1, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = np.frombuffer(data, np.uint8)[p0 : p1 + length]
                 f, g = (h.windows(h.prefix(raw), length).view(np.int64) for h in STRINGS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(np.full(n, context)), pa.array(np.arange(n, dtype=np.int32)), pa.array(f), pa.array(g)], ["anchor", "context", "r", "f", "g"])
+                same = [np.full(len(f), x) for x in (core, kind, n)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array((place - np.arange(p0, p1 + 1)).astype(np.int32)), pa.array(f), pa.array(g)], names)
 
     return run
 
 
+def _hot_spans(hot: DataFrame, length: int) -> DataFrame:
+    """Spans of repeated starts for contexts of anchors with very many of them."""
+    ranges = written(hot.select("anchor", "context", "place", "bytes").mapInArrow(_ranges(length), RANGES).distinct(), "hot-ranges")
+    cores = ranges.groupBy("core").agg(F.count("*").alias("rows"), F.min("kind").alias("k0"), F.max("kind").alias("k1")).filter("rows > 1")
+    met = written(ranges.join(cores, "core"), "hot-cores")
+    same = met.filter("k0 = k1").select("anchor", "context", F.col("p0").alias("r0"), F.col("p1").alias("r1"))
+    mixed = met.filter("k0 <> k1")
+    kinds = mixed.groupBy("core", "kind").agg(F.count("*").alias("n"), F.min(F.struct("anchor", "context", "place", "p0", "p1")).alias("at")).select("core", "kind", "n", "at.*")
+    bytes_ = hot.select("anchor", "context", "bytes").dropDuplicates(["anchor", "context"])
+    strings = kinds.join(bytes_, ["anchor", "context"]).select("core", "kind", "n", "place", "p0", "p1", "bytes")
+    strings = written(strings.mapInArrow(_strings(length), "core long, kind long, n long, back int, f long, g long"), "hot-strings")
+    twice = strings.groupBy("f", "g").agg(F.sum("n").alias("t")).filter("t > 1").select("f", "g")
+    backs = strings.join(twice, ["f", "g"], "left_semi").groupBy("core", "kind").agg(F.collect_list("back").alias("backs"))
+    each = mixed.select("anchor", "context", "place", "core", "kind").join(backs, ["core", "kind"]).select("anchor", "context", "place", F.explode("backs").alias("back"))
+    return same.unionByName(each.select("anchor", "context", (F.col("place") - F.col("back")).alias("r0"), (F.col("place") - F.col("back")).alias("r1")))
+
+
 def _kept(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -253,9 +300,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     buckets = max(1, total // BUCKET_BYTES)
     cold = cut.filter(f"kinds <= {HOT}").withColumn("bucket", F.pmod("anchor", F.lit(buckets)))
     spans = cold.groupBy("bucket").applyInArrow(_bucket(length), SPANS)
-    strings = cut.filter(f"kinds > {HOT}").select("anchor", "context", "bytes").mapInArrow(_strings(length), "anchor long, context long, r int, f long, g long").distinct()
-    twice = strings.groupBy("f", "g").agg(F.count("*").alias("n")).filter("n > 1").select("f", "g")
-    hot = strings.join(twice, ["f", "g"], "left_semi").select("anchor", "context", F.col("r").alias("r0"), F.col("r").alias("r1"))
+    hot = _hot_spans(cut.filter(f"kinds > {HOT}"), length)
     whole = contexts.filter("n > 1").select("anchor", "context", F.lit(0).alias("r0"), (F.col("s1") - F.col("s0")).alias("r1"))
     spans = written(spans.unionByName(hot).unionByName(whole), "spans")
 
