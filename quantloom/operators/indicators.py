@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, div
 
-BY_ASSET = Window.partitionBy("asset").orderBy("d")
-BY_DAY = Window.partitionBy("d")
+
+def by_asset():
+    return Window.partitionBy("asset").orderBy("d")
 
 
 def trailing(n: int):
-    return BY_ASSET.rowsBetween(-(n - 1), 0)
+    return by_asset().rowsBetween(-(n - 1), 0)
 
 
 def strict(value: Column, counted: str | Column, n: int) -> Column:
@@ -23,7 +24,7 @@ def strict(value: Column, counted: str | Column, n: int) -> Column:
 
 
 def momentum(n: int, px: str = "px") -> Column:
-    return div(px, F.lag(px, n).over(BY_ASSET)) - 1
+    return div(px, F.lag(px, n).over(by_asset())) - 1
 
 
 def returns(panel: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def price_dispersion(n: int = 20, px: str = "px") -> Column:
 def rsi(panel: DataFrame, n: int = 14, full: bool = True) -> DataFrame:
     """Adds `rsi`, by simple means of gains and losses. The first row counts as no gain and no loss. Without
     any loss it is null, or 50 in the lenient form, which also takes short windows as 50."""
-    step = F.coalesce(F.col("px") - F.lag("px", 1).over(BY_ASSET), F.lit(0.0))
+    step = F.coalesce(F.col("px") - F.lag("px", 1).over(by_asset()), F.lit(0.0))
     moved = panel.withColumn("_g", F.greatest(step, F.lit(0.0))).withColumn("_l", F.greatest(-step, F.lit(0.0)))
     gain, loss = F.avg("_g").over(trailing(n)), F.avg("_l").over(trailing(n))
     value = F.when(F.count("px").over(trailing(n)) == n, 100 - 100 / (1 + div(gain, loss)))
@@ -65,7 +66,7 @@ def percent_b(n: int = 20, px: str = "px") -> Column:
 
 
 def true_range() -> Column:
-    before = F.lag("close", 1).over(BY_ASSET)
+    before = F.lag("close", 1).over(by_asset())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
@@ -90,23 +91,23 @@ def recursive_averages(panel: DataFrame) -> DataFrame:
 
 
 def drawdown(value: str = "px") -> Column:
-    return div(value, F.max(value).over(BY_ASSET.rowsBetween(Window.unboundedPreceding, 0))) - 1
+    return div(value, F.max(value).over(by_asset().rowsBetween(Window.unboundedPreceding, 0))) - 1
 
 
 def cumulative_return(px: str = "px") -> Column:
-    return div(px, F.first(px).over(BY_ASSET))
+    return div(px, F.first(px).over(by_asset()))
 
 
 def forward_return(h: int, px: str = "px") -> Column:
-    return div(F.lead(px, h).over(BY_ASSET), px) - 1
+    return div(F.lead(px, h).over(by_asset()), px) - 1
 
 
-def percentile_rank(value: str, by=BY_DAY) -> Column:
+def percentile_rank(value: str) -> Column:
     """Average-tie rank over the day's known values, divided by the number of rows of the day."""
     known = Window.partitionBy("d", F.col(value).isNull()).orderBy(value)
     ties = Window.partitionBy("d", F.col(value))
     rank = F.rank().over(known) + (F.count("*").over(ties) - 1) / 2
-    return F.when(F.col(value).isNotNull(), rank / F.count("*").over(by))
+    return F.when(F.col(value).isNotNull(), rank / F.count("*").over(Window.partitionBy("d")))
 
 
 def relevance(value: str) -> Column:

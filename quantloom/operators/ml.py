@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clip, div
 from .learners import BoostedTrees, pairwise_gradient
 
-BY_ASSET = Window.partitionBy("asset").orderBy("rn")
 ML_FEATURES = ["momentum_5", "momentum_10", "momentum_20", "rsi", "ma_ratio", "vol_20", "macd_hist", "price_std_20"]
 
 
+def by_row():
+    return Window.partitionBy("asset").orderBy("rn")
+
+
 def labelled(features: DataFrame, horizon: int = 5) -> DataFrame:
     """Adds the forward return `y` and the row where the label ends; rows without a label go."""
-    rows = features.withColumn("y", div(F.lead("px", horizon).over(BY_ASSET), "px") - 1).withColumn("label_rn", F.lead("rn", horizon).over(BY_ASSET))
+    rows = features.withColumn("y", div(F.lead("px", horizon).over(by_row()), "px") - 1).withColumn("label_rn", F.lead("rn", horizon).over(by_row()))
     return rows.filter("y is not null")
 
 
@@ -26,7 +29,7 @@ def temporal_split(rows: DataFrame, part: float = 0.8, purge: bool = True) -> Da
     """Adds `fold`: the first part of each asset's rows trains, the rest validates; training rows whose label
     ends at the first validation row or later are purged."""
     whole = Window.partitionBy("asset")
-    rows = rows.withColumn("_i", F.row_number().over(BY_ASSET)).withColumn("_n", F.floor(F.count("*").over(whole) * F.lit(part)))
+    rows = rows.withColumn("_i", F.row_number().over(by_row())).withColumn("_n", F.floor(F.count("*").over(whole) * F.lit(part)))
     rows = rows.withColumn("_v", F.min(F.when(F.col("_i") > F.col("_n"), F.col("rn"))).over(whole))
     late = (F.col("label_rn") >= F.col("_v")) if purge else F.lit(False)
     return rows.withColumn("fold", F.when(F.col("_i") > F.col("_n"), "validation").when(late, "purged").otherwise("train")).drop("_i", "_n", "_v")
@@ -99,7 +102,7 @@ def feature_confidence(columns: list[str]):
 def accuracy_penalty(graded: DataFrame, window: int = 20, least: int = 10) -> DataFrame:
     """Per forecast (asset, rn, correct) a factor from the asset's last `window` results before it: accuracy
     under 0.40 scales confidence by accuracy / 0.40; fewer than `least` results leave it."""
-    back = BY_ASSET.rowsBetween(-window, -1)
+    back = by_row().rowsBetween(-window, -1)
     acc, n = F.avg(F.col("correct").cast("double")).over(back), F.count("correct").over(back)
     return graded.withColumn("accuracy", F.when(n >= least, acc)).withColumn("factor", F.when((n >= least) & (acc < 0.40), acc / 0.40).otherwise(1.0))
 

@@ -9,8 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BY_ASSET = Window.partitionBy("asset").orderBy("d")
-PREFIX = BY_ASSET.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_asset():
+    return Window.partitionBy("asset").orderBy("d")
+
+
+def prefix():
+    return by_asset().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def business_days(spark: SparkSession, start: str, end: str) -> DataFrame:
@@ -49,7 +54,7 @@ def filled(prices: DataFrame, calendar: DataFrame) -> DataFrame:
     calendar is gathered into one array (days, not rows of data) and unfolded per asset."""
     days = calendar.agg(F.array_sort(F.collect_set("d")).alias("days"))
     grid = prices.select("asset").distinct().join(F.broadcast(days)).select("asset", F.explode("days").alias("d"))
-    px = F.last("px", ignorenulls=True).over(PREFIX)
+    px = F.last("px", ignorenulls=True).over(prefix())
     return grid.join(prices.select("asset", "d", "px"), ["asset", "d"], "left").select("asset", "d", px.alias("px"))
 
 
@@ -57,7 +62,7 @@ def complete_days(rows: DataFrame) -> DataFrame:
     """Days on which every asset has a price, numbered per asset."""
     whole = Window.partitionBy("d")
     out = rows.withColumn("_all", F.count("*").over(whole)).withColumn("_known", F.count("px").over(whole)).filter("_all = _known").drop("_all", "_known")
-    return out.withColumn("rn", F.row_number().over(BY_ASSET).cast("bigint"))
+    return out.withColumn("rn", F.row_number().over(by_asset()).cast("bigint"))
 
 
 def price_panel(prices: DataFrame, calendar: DataFrame, mode: str = "audited") -> DataFrame:

@@ -233,7 +233,7 @@ def drawdown_series(spark, sf):
 
 @query(f"with {PANEL} select asset, d, round(lead(px, 5) over (partition by asset order by d) / px - 1, 6) as y, lead(d, 5) over (partition by asset order by d) as label_end from panel")
 def forward_return_5(spark, sf):
-    return D.panel(spark, sf).select("asset", "d", F.round(I.forward_return(5), 6).alias("y"), F.lead("d", 5).over(I.BY_ASSET).alias("label_end"))
+    return D.panel(spark, sf).select("asset", "d", F.round(I.forward_return(5), 6).alias("y"), F.lead("d", 5).over(I.by_asset()).alias("label_end"))
 
 
 @query(
@@ -350,7 +350,7 @@ pick as (select t, asset, vol, row_number() over (partition by t order by vol, a
 
 
 def _selected(spark, sf):
-    vol = F.round(F.stddev_samp("r").over(I.BY_ASSET.rowsBetween(-20, -1)), 9)
+    vol = F.round(F.stddev_samp("r").over(I.by_asset().rowsBetween(-20, -1)), 9)
     rows = D.panel_returns(spark, sf).select(F.col("rn").alias("t"), "asset", vol.alias("vol")).filter("t >= 30 and t % 20 = 0")
     return selection.steadiest(rows, 5)
 
@@ -641,7 +641,7 @@ def ranker_scores(spark, sf):
 select kind, phase, coalesce(asset, 'Overall') as asset, count(*) as n_issued, count(correct) as n_scored, count(*) - count(correct) as n_unmatured, sum(correct::int)::bigint as n_correct, round(avg(correct::int), 6) as rate from g group by grouping sets ((kind, phase), (kind, phase, asset))"""
 )
 def hit_rate_grouping_sets(spark, sf):
-    later = F.lead("px", 5).over(I.BY_ASSET)
+    later = F.lead("px", 5).over(I.by_asset())
     rows = D.panel_returns(spark, sf).withColumn("correct", F.when(later.isNotNull(), (F.col("r") > 0) == (later > F.col("px")))).filter("r is not null")
     rows = rows.withColumn("kind", F.when(F.col("rn") % 2 == 0, "rule").otherwise("ml")).withColumn("phase", F.when(F.col("rn") < 200, "IS").otherwise("OOS"))
     return stats.hit_rate(rows).withColumn("rate", F.round("rate", 6))

@@ -102,7 +102,7 @@ def job_states_batch(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").applyInPandas(run, JOB_OUT)
 
 
-def idempotent_sink(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
+def idempotent_sink(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, mode: str = "update") -> StreamingQuery:
     """foreachBatch with the batch number as the idempotency key."""
-    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
