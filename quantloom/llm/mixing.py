@@ -15,7 +15,8 @@ Tokens of a document are its pieces between blanks, tabs and line ends.
 
 Defined cases: a null source is a source of its own; null and empty texts have no tokens and go with
 their source's epochs; a source without tokens is kept as it is, once; equal rows have equal places in the
-permutation and so are taken or left together; an empty table stays empty; extra columns stay.
+permutation and so are taken or left together; an empty table stays empty; extra columns
+stay, whatever their names (added ones begin with an underscore).
 """
 
 from __future__ import annotations
@@ -102,9 +103,9 @@ def plan(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY,
 
 
 def mixed(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, seed: int = 0) -> DataFrame:
-    """The documents of the mixture, all columns and `epoch`: a row for each use of a document."""
+    """The documents of the mixture, all columns and `_epoch`: a row for each use of a document."""
     rows, use = plan(docs, budget, entropy, repeats, seed)
-    use = use.select("s", "epochs", "cut")
-    out = rows.join(use, F.col("source").eqNullSafe(F.col("s")))
-    taken = F.coalesce(F.col("_place") <= F.col("cut"), F.lit(False)).cast("int")
-    return out.withColumn("_uses", F.col("epochs") + taken).filter("_uses > 0").withColumn("epoch", F.explode(F.expr("sequence(0, _uses - 1)"))).select(*docs.columns, "epoch")
+    use = use.select(F.col("s").alias("_s"), F.col("epochs").alias("_epochs"), F.col("cut").alias("_cut"))
+    out = rows.join(use, F.col("source").eqNullSafe(F.col("_s")))
+    taken = F.coalesce(F.col("_place") <= F.col("_cut"), F.lit(False)).cast("int")
+    return out.withColumn("_uses", F.col("_epochs") + taken).filter("_uses > 0").withColumn("_epoch", F.explode(F.expr("sequence(0, _uses - 1)"))).select(*docs.columns, "_epoch")

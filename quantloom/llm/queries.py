@@ -20,9 +20,8 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines aligned with an earlier one: doc_id, n_lines, n_removed, kept_sha256."""
     out = linededup.lines_removed(read_table(spark, sf_dir, "documents"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    keep = F.expr("array_join(filter(split(text, '\n'), (x, i) -> not array_contains(gone, i)), '\n')")
-    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(keep)
-    return out.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+    kept = F.coalesce(linededup.kept_text(), F.lit(""))
+    return out.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all documents: a row for each use, with source, epoch and tokens."""
     out = mixing.mixed(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "epoch", mixing.tokens().alias("n_tokens"))
+    return out.select("doc_id", "source", F.col("_epoch").alias("epoch"), mixing.tokens().alias("n_tokens"))
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
