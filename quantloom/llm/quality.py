@@ -4,10 +4,11 @@ One dictionary is trained on labelled good texts, one on bad ones. A text is com
 each; the difference of the two sizes over the text's length is the feature that tells the classes
 apart, and how many times shorter the text gets without a dictionary, which is much for text that
 repeats itself, is the second.
-A logistic curve, fitted on other labelled rows, turns them into a score between 0 and 1 (higher: good
-likelier).
+A logistic curve turns them into a score between 0 and 1 (higher: good likelier). It is fitted crosswise:
+each of two folds of labelled rows gets its features from dictionaries of the other fold, so no row is
+measured with a dictionary that holds it. The dictionaries in use are those of both folds together.
 
-The labelled rows used are a bounded sample (SAMPLE of each class and purpose, in hash order, texts up to
+The labelled rows used are a bounded sample (SAMPLE of each class and fold, in hash order, texts up to
 SAMPLE_BYTES); everything else reads every row and every whole text.
 
 Defined cases: a null or empty text has the features 0 and so the curve's score there; repeated label rows
@@ -75,6 +76,14 @@ def dictionary(samples: list[bytes]) -> bytes:
         return b" " * 8 + b"\n".join(samples)[-DICTIONARY:]
 
 
+def dictionaries(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes]:
+    """The two dictionaries. Lines that stand in texts of both classes, such as shared passages and notices,
+    tell nothing of the class and are left out."""
+    both = {x for t in good for x in t.split(b"\n")} & {x for t in bad for x in t.split(b"\n")}
+    good, bad = ([b"\n".join(x for x in t.split(b"\n") if x not in both) for t in c] for c in (good, bad))
+    return dictionary([t for t in good if t]), dictionary([t for t in bad if t])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
     """Newton's method for intercept and slopes, with targets drawn in a little so that they stay finite."""
     n1, n0 = y.sum(), (1 - y).sum()
@@ -95,7 +104,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 
 
 def fold(id_col: str = "doc_id") -> F.Column:
-    """The labels' fold of a document: 0 dictionaries, 1 held out, 2 calibration."""
+    """The labels' fold of a document: 0 and 2 fitted crosswise, 1 held out."""
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % 3).cast("int")
 
 
@@ -108,9 +117,14 @@ def sample_texts(docs: DataFrame, labels: DataFrame, want: int, quality: int, n:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = {(f, q): sample_texts(docs, labels, f, q, sample) for f in (0, 2) for q in (0, 1)}
-    model = Model(dictionary(texts[0, 1]), dictionary(texts[0, 0]))
-    x = np.concatenate([model.features(texts[2, q]) for q in (0, 1)])
-    y = np.concatenate([np.full(len(texts[2, q]), float(q)) for q in (0, 1)])
+    x, y = [np.zeros((0, 2))], [np.zeros(0)]
+    for own, other in ((0, 2), (2, 0)):
+        half = Model(*dictionaries(texts[own, 1], texts[own, 0]))
+        for q in (0, 1):
+            x.append(half.features(texts[other, q]))
+            y.append(np.full(len(x[-1]), float(q)))
+    model = Model(*dictionaries(texts[0, 1] + texts[2, 1], texts[0, 0] + texts[2, 0]))
+    x, y = np.concatenate(x), np.concatenate(y)
     model.weights = logistic(x, y) if len(x) else model.weights
     return model
 

@@ -25,8 +25,13 @@ def test_columns_and_ids(spark, stages):
         if name != "tokens":
             assert after.columns == before.columns
         assert after.join(before, "doc_id", "left_anti").count() == 0
-    labels = read_table(spark, SF, "labels")
-    a, b = stages["quality"]
+
+
+def test_quality_stage(spark):
+    """On the table with 58 bad labels; the smallest has 11, too few to tell a fifth of them."""
+    sf = SF.replace("0.001", "0.01")
+    a, labels = read_table(spark, sf, "documents"), read_table(spark, sf, "labels")
+    b = written(corpus_pipeline.quality_stage(spark, a, sf), "quality")
     clean, bad = (a.join(labels.filter(f"quality = {q}"), "doc_id", "left_semi").select("doc_id") for q in (1, 0))
     assert b.join(clean, "doc_id", "left_semi").count() >= 0.95 * clean.count()
     assert b.join(bad, "doc_id", "left_semi").count() <= 0.2 * bad.count()
