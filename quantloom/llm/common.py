@@ -11,6 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Files of a written table for each core of the cluster, at most: many tiny files cost more than they spread.
+FILES_PER_CORE = 4
+
 _U64 = np.uint64
 
 
@@ -31,7 +34,7 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Cuts lineage: the rows go to a Parquet table in the shared folder and are read from there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
+    writer = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
