@@ -30,7 +30,7 @@ from .common import slices, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
 LONG_WORD = 512
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: For texts of these characters alone the standard library's classes mean the same as the pattern's, and are faster.
 PLAIN = re.compile("[^\t\n\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f\u2010-\u2027\u2030-\u205e]")
 PLAIN_PATTERN = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")

@@ -9,10 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-#: Files of a written table for each core of the cluster, at most: many tiny files cost more than they spread.
-FILES_PER_CORE = 4
+#: A written table has a file for every few shuffle partitions, but so many for each core at least.
+PARTITIONS_PER_FILE, FILES_PER_CORE = 4, 12
 
 _U64 = np.uint64
 
@@ -30,16 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Cuts lineage: the rows go to a Parquet table in the shared folder and are read from there."""
+def written(df: DataFrame, name: str, light: bool = False) -> DataFrame:
+    """Cuts lineage: the rows go to a Parquet table in the shared folder and are read from there. light: rows
+    of a few numbers, for which a file for each core is enough."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.coalesce(FILES_PER_CORE * spark.sparkContext.defaultParallelism).write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    cores, partitions = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = max(cores, partitions // 32) if light else max(FILES_PER_CORE * cores, partitions // PARTITIONS_PER_FILE)
+    df.coalesce(files).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def held(df: DataFrame) -> DataFrame:
+    """For rows that several steps read and that follow from their input alone: computed once and held on
+    the executors' disks; what goes with a lost executor is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the named string or binary column of each holds about max_bytes at
     most (a single longer value stays whole)."""
     for batch in batches:

@@ -10,17 +10,17 @@ from .common import written
 
 def components(edges: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of every id of the edges (a, b). Each round takes the
-    smallest label of all neighbours and then the label's own label, so that long chains halve; it ends
-    when no label changes. Nothing is gathered: neighbours meet in a partial minimum."""
-    one = edges.filter("a is not null and b is not null and a <> b").select("a", "b")
-    both = written(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    smallest of an id's label, its neighbours' labels and its label's label, so that long chains halve; it
+    ends when no label changes. Nothing is gathered: neighbours meet in a partial minimum."""
+    one = written(edges.filter("a is not null and b is not null and a <> b").select("a", "b"), "edges", light=True)
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels", light=True)
     while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component"))
-        step = written(step, "labels")
-        own = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = written(step.join(own, "component", "left").select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        near = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
+        own = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
+        new = labels.join(near, "id", "left").join(own, "component", "left")
+        new = new.select("id", F.col("component").alias("old"), F.least("component", "m", "further").alias("component"))  # nulls are skipped
+        new = written(new, "labels", light=True)
         labels = new.select("id", "component")
         if new.filter("old <> component").isEmpty():
             return labels

@@ -126,7 +126,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     ranked = _ranked(distinct.select("label", "id", "v").mapInArrow(_keyed, KEYED))
     own = ranked.select("rank", "id", "unit", F.xxhash64("pass", "label").alias("part_of"), F.floor(F.col("rank") / RANGE).alias("range"), F.lit(True).alias("own"))
     extra = own.filter((F.col("rank") % RANGE < WINDOW) & (F.col("range") > 0)).withColumn("range", F.col("range") - 1).withColumn("own", F.lit(False))
-    pairs = written(own.unionByName(extra).groupBy("range").applyInArrow(_windows, "a long, b long"), "near-pairs")
+    pairs = written(own.unionByName(extra).groupBy("range").applyInArrow(_windows, "a long, b long"), "near-pairs", light=True)
     labels = components(pairs)
 
     members = distinct.join(labels, "id").select("id", "component", "copies", "v")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, flat_bytes, mix64, seeded, slices, written
+from .common import RollingHash, flat_bytes, held, mix64, seeded, slices, written
 from .components import components
 
 WORDS = 5
@@ -117,7 +117,7 @@ SKETCHED = "doc_id long, n_shingles long, set_key binary, bands array<long>, mar
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 1 << 19):
         flat, off = shingle_sets(*flat_bytes(batch))
         sketch = sketches(flat, off)
         n = batch.num_rows
@@ -136,7 +136,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 2 << 20):
+    for batch in slices(batches, "text", 1 << 19):
         flat, off = shingle_sets(*flat_bytes(batch))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([flat[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["doc_id", "hashes"])
 
@@ -166,23 +166,23 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(texts.mapInArrow(_sketch, SKETCHED), "sketches")
+    rows = held(texts.mapInArrow(_sketch, SKETCHED))
     named = rows.filter("n_shingles > 0 and doc_id is not null")
     groups = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = written(named.join(groups, "set_key").filter("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "n_shingles", "bands", "marks"), "representatives")
+    reps = held(named.join(groups, "set_key").filter("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "n_shingles", "bands", "marks"))
 
     keys = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     full = keys.groupBy("band", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
     members = written(keys.join(full, ["band", "key"]), "bucket-members")
-    sets = written(texts.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes binary"), "shingle-sets")
+    sets = held(texts.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, hashes binary"))
 
-    tested = written(members.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    edges = written(linked(tested, sets, percent), "links")
-    apart = _apart(members, components(edges))
+    tested = members.filter("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+    labels = components(linked(tested, sets, percent))
+    apart = _apart(members, labels)
     if not apart.isEmpty():
         cells = _cells(apart.join(reps, "doc_id").join(sets, "doc_id"))
-        edges = written(edges.unionByName(cells.groupBy("cell", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct()), "links")
-    labels = components(edges)
+        further = components(cells.groupBy("cell", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct())
+        labels = further_labels(labels, further)
 
     of_set = groups.join(labels, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = rows.join(of_set, "set_key", "left")
@@ -190,11 +190,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def further_labels(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """Labels of ids after their components have been united: further has a label of united components,
+    some of which are ids without a label of their own."""
+    up = further.select(F.col("id").alias("component"), F.col("component").alias("upper"))
+    out = labels.join(up, "component", "left").select("id", F.coalesce("upper", "component").alias("component"))
+    return out.unionByName(further.join(labels, "id", "left_anti").select("id", "component"))
+
+
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with the size of their bucket, of the buckets that still hold more than one component."""
     known = members.join(labels, F.col("doc_id") == F.col("id"), "left").select("band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = known.groupBy("band", "key").agg(F.min("component").alias("first"), F.max("component").alias("other"), F.count("*").alias("size")).filter("first <> other")
-    return written(known.join(mixed.select("band", "key", "size"), ["band", "key"]), "apart")
+    return held(known.join(mixed.select("band", "key", "size"), ["band", "key"]))
 
 
 def _cells(apart: DataFrame) -> DataFrame:
@@ -211,7 +219,7 @@ def _cells(apart: DataFrame) -> DataFrame:
 
 
 def _across(percent: int):
-    """Links between different components of a cell's buckets. A pair is looked at in the first band where
+    """Components (two in a row) that are linked in a cell's buckets. A pair is looked at in the first band where
     it meets, if its sizes allow the similarity and its sketches agree often enough; pairs that links of the
     cell have joined already are left out."""
     least = int(AGREE - COORDINATES * max(0, 85 - percent) / 100)
@@ -245,7 +253,7 @@ def _across(percent: int):
                     x, y = top(component[i]), top(component[k])
                     if x != y and similar(blobs[i].as_py(), blobs[k].as_py(), percent):
                         above[max(x, y)] = min(x, y)
-                        out.append((ids[i], ids[k]))
+                        out.append((component[i], component[k]))
         first, second = zip(*out, strict=True) if out else ((), ())
         return pa.table([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
 

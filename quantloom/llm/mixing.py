@@ -83,7 +83,7 @@ def plan(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY,
     names = [c for c in ("doc_id", "text") if c in docs.columns]
     rows = docs.withColumn("_place", F.shiftrightunsigned(F.xxhash64(F.lit(seed), *names), 1))
     light = rows.select("source", tokens().alias("n_tokens"), "_place", F.shiftright("_place", 63 - int(math.log2(BLOCKS))).alias("block"))
-    blocks = written(light.groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens")), "source-blocks")
+    blocks = written(light.groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens")), "source-blocks", light=True)
     sources = blocks.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"))
     used = sources.filter("n_tokens > 0")
     x = exponent(used, budget, entropy, repeats)
@@ -99,7 +99,7 @@ def plan(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY,
     near = light.join(edge, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("edge")))
     before = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1))
     cut = near.withColumn("before", F.coalesce(before, F.lit(0))).filter("before < need").groupBy("s").agg(F.max("_place").alias("cut"))
-    return rows, written(use.join(cut.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t")), "left").drop("t"), "source-plan")
+    return rows, written(use.join(cut.withColumnRenamed("s", "t"), F.col("s").eqNullSafe(F.col("t")), "left").drop("t"), "source-plan", light=True)
 
 
 def mixed(docs: DataFrame, budget: float | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, seed: int = 0) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, flat_bytes, slices, written
+from .common import RollingHash, flat_bytes, held, slices, written
 from .grouping import suffix_array
 
 LENGTH = 400
@@ -241,15 +241,15 @@ def _strings(length: int):
 
 def _hot_spans(hot: DataFrame, length: int) -> DataFrame:
     """Spans of repeated starts for contexts of anchors with very many of them."""
-    ranges = written(hot.select("anchor", "context", "place", "bytes").mapInArrow(_ranges(length), RANGES).distinct(), "hot-ranges")
+    ranges = held(hot.select("anchor", "context", "place", "bytes").mapInArrow(_ranges(length), RANGES).distinct())
     cores = ranges.groupBy("core").agg(F.count("*").alias("rows"), F.min("kind").alias("k0"), F.max("kind").alias("k1")).filter("rows > 1")
-    met = written(ranges.join(cores, "core"), "hot-cores")
+    met = held(ranges.join(cores, "core"))
     same = met.filter("k0 = k1").select("anchor", "context", F.col("p0").alias("r0"), F.col("p1").alias("r1"))
     mixed = met.filter("k0 <> k1")
     kinds = mixed.groupBy("core", "kind").agg(F.count("*").alias("n"), F.min(F.struct("anchor", "context", "place", "p0", "p1")).alias("at")).select("core", "kind", "n", "at.*")
     bytes_ = hot.select("anchor", "context", "bytes").dropDuplicates(["anchor", "context"])
     strings = kinds.join(bytes_, ["anchor", "context"]).select("core", "kind", "n", "place", "p0", "p1", "bytes")
-    strings = written(strings.mapInArrow(_strings(length), "core long, kind long, n long, back int, f long, g long"), "hot-strings")
+    strings = held(strings.mapInArrow(_strings(length), "core long, kind long, n long, back int, f long, g long"))
     twice = strings.groupBy("f", "g").agg(F.sum("n").alias("t")).filter("t > 1").select("f", "g")
     backs = strings.join(twice, ["f", "g"], "left_semi").groupBy("core", "kind").agg(F.collect_list("back").alias("backs"))
     each = mixed.select("anchor", "context", "place", "core", "kind").join(backs, ["core", "kind"]).select("anchor", "context", "place", F.explode("backs").alias("back"))
@@ -282,19 +282,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
     long = texts.filter(F.octet_length("text") >= length)
-    places = written(long.mapInArrow(_scan(length), CONTEXTS), "anchors")
+    places = held(long.mapInArrow(_scan(length), CONTEXTS))
     many = places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    places = written(places.join(many, "anchor", "left_semi"), "repeated-anchors")
+    places = held(places.join(many, "anchor", "left_semi"))
 
     contexts = places.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "doc_id", "s0", "s1", "place")).alias("at"))
     kinds = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    contexts = written(contexts.join(kinds, "anchor").select("anchor", "context", "n", "kinds", "at.*"), "contexts")
+    contexts = held(contexts.join(kinds, "anchor").select("anchor", "context", "n", "kinds", "at.*"))
 
     wanted = contexts.filter("kinds > 1").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("anchor", "context", "s0", "s1", "place")).alias("wanted"))
     at = wanted.withColumnRenamed("doc_id", "d").withColumnRenamed("row_key", "r")
     found = long.join(at, F.col("row_key").eqNullSafe(F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "wanted")
     cut = found.mapInArrow(_cut(length), "anchor long, context long, place int, bytes binary")
-    cut = written(cut.join(contexts.select("anchor", "context", "kinds"), ["anchor", "context"]), "context-bytes")
+    cut = held(cut.join(contexts.select("anchor", "context", "kinds"), ["anchor", "context"]))
 
     total = cut.filter(f"kinds <= {HOT}").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = max(1, total // BUCKET_BYTES)

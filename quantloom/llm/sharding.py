@@ -117,9 +117,9 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     slack = max(1, whole["total"] // (leaves * SLACK))
     rows = rows.withColumn("node", F.lit(0)).withColumn("leaves", F.lit(leaves))
     for _ in range((leaves - 1).bit_length()):
-        state = written(_first_state(rows, whole), "shard-splits")
+        state = written(_first_state(rows, whole), "shard-splits", light=True)
         while not state.filter("not done").isEmpty():
-            state = written(_narrowed(rows, state, slack, whole), "shard-splits")
+            state = written(_narrowed(rows, state, slack, whole), "shard-splits", light=True)
         rows = written(_children(rows, state), "shard-rows")
     return rows.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"))
 
