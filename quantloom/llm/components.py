@@ -12,7 +12,7 @@ def components(edges: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of every id of the edges (a, b). Each round takes the
     smallest of an id's label, its neighbours' labels and its label's label, so that long chains halve; it
     ends when no label changes. Nothing is gathered: neighbours meet in a partial minimum."""
-    one = written(edges.filter("a is not null and b is not null and a <> b").select("a", "b"), "edges", light=True)
+    one = written(edges.filter("a is not null and b is not null and a <> b").select("a", "b"), "edges")
     both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels", light=True)
     while True:
