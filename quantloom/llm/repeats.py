@@ -282,19 +282,20 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
     long = texts.filter(F.octet_length("text") >= length)
-    places = held(long.mapInArrow(_scan(length), CONTEXTS))
-    many = places.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    places = held(places.join(many, "anchor", "left_semi"))
+    found = held(long.mapInArrow(_scan(length), CONTEXTS))
+    many = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    places = written(found.join(many, "anchor", "left_semi"), "repeated-anchors")
+    found.unpersist()
 
     contexts = places.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "doc_id", "s0", "s1", "place")).alias("at"))
     kinds = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    contexts = held(contexts.join(kinds, "anchor").select("anchor", "context", "n", "kinds", "at.*"))
+    contexts = written(contexts.join(kinds, "anchor").select("anchor", "context", "n", "kinds", "at.*"), "contexts")
 
     wanted = contexts.filter("kinds > 1").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("anchor", "context", "s0", "s1", "place")).alias("wanted"))
     at = wanted.withColumnRenamed("doc_id", "d").withColumnRenamed("row_key", "r")
     found = long.join(at, F.col("row_key").eqNullSafe(F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "wanted")
     cut = found.mapInArrow(_cut(length), "anchor long, context long, place int, bytes binary")
-    cut = held(cut.join(contexts.select("anchor", "context", "kinds"), ["anchor", "context"]))
+    cut = written(cut.join(contexts.select("anchor", "context", "kinds"), ["anchor", "context"]), "context-bytes")
 
     total = cut.filter(f"kinds <= {HOT}").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = max(1, total // BUCKET_BYTES)
