@@ -4,8 +4,10 @@ Every line is hashed. Documents that share lines are paired through the line's f
 doc_id), rarest lines first: a line with many holders makes a star around its first, not all pairs, so
 nothing is capped. Each pair's line hashes are aligned by patience diff: lines that are unique in both,
 in their longest common order, are the fixed points; between them the alignment goes on, and matches grow
-to neighbours. Runs of aligned lines of MIN_BYTES or more are deleted from the later document. The
-first holder of a line never loses it.
+to neighbours. Runs of aligned lines of MIN_BYTES or more are deleted from the later document. What the
+alignment leaves (passages that one of both holds twice, or that stand in another order) is looked up in
+the earlier document: all lines of a common block of MIN_BYTES or more go. The first holder of a line never
+loses it.
 
 Defined cases: lines end at line feeds; lines of white space alone match only inside a run; a null text has
 no lines; a text that loses all lines is empty; rows that repeat a doc_id count as one document in order of
@@ -19,15 +21,27 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import RollingHash, mix64, written
 
 MIN_BYTES = 64
 
 
+class LineHash(RollingHash):
+    """Hashes of ranges of lines, from the lines' hashes."""
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        self.table = mix64(data.view(np.uint64))
+        return super().prefix(np.arange(len(data)))
+
+
+RANGE_HASH = LineHash(21)
+
+
 def unique_matches(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
     """Lines unique in both ranges, in their longest common order."""
     na, nb = Counter(a[a0:a1]), Counter(b[b0:b1])
@@ -75,8 +89,40 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def passages(sizes: np.ndarray, solid: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs of `least` bytes and a solid line that begin or end at each line
+    of flat documents. Each line of a longer run is in one of them that lies in the run."""
+    at = np.arange(len(sizes))
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    size, mark = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(solid))
+    end = np.maximum(np.searchsorted(size, size[:-1] + least), np.searchsorted(mark, mark[:-1] + 1))
+    start = np.minimum(np.searchsorted(size, size[1:] - least, "right"), np.searchsorted(mark, mark[1:] - 1, "right")) - 1
+    ahead, back = end <= off[doc + 1], start >= off[doc]
+    return np.concatenate([at[ahead], start[back]]), np.concatenate([end[ahead], at[back] + 1])
+
+
+def passage_hashes(lines: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return RANGE_HASH.ranges(RANGE_HASH.prefix(lines), start, end) + (end - start).astype(np.uint64)
+
+
+def in_common_blocks(later: list[int], sizes: list[int], earlier: list[int], least: int) -> list[int]:
+    """Places of the later document in blocks of enough bytes that stand anywhere in the earlier one."""
+    known = dict(zip(later, sizes, strict=True))
+    sides = []
+    for lines in (later, earlier):
+        size = np.array([known.get(x, 0) for x in lines], np.int64)
+        start, end = passages(size, np.ones(len(size), np.int64), np.array([0, len(size)]), least)
+        sides.append((start, end, passage_hashes(np.array(lines, np.int64), start, end)))
+    (start, end, own), (_, _, others) = sides
+    hit = np.isin(own, others)
+    cover = np.zeros(len(later) + 1, np.int64)
+    np.add.at(cover, start[hit], 1)
+    np.add.at(cover, end[hit], -1)
+    return np.flatnonzero(np.cumsum(cover)[:-1]).tolist()
+
+
 def deleted(later: list[int], sizes: list[int], earlier: list[int], least: int = MIN_BYTES) -> list[int]:
-    """Places of the later document in aligned runs of enough bytes."""
+    """Places of the later document in aligned runs or other common blocks of enough bytes."""
     pairs = aligned(later, earlier)
     gone, run = [], []
     for k, (i, j) in enumerate(pairs):
@@ -85,6 +131,9 @@ def deleted(later: list[int], sizes: list[int], earlier: list[int], least: int =
             if sum(sizes[x] for x in run) >= least:
                 gone += run
             run = []
+    found, shared = set(gone), set(earlier)
+    if any(n and x in shared and i not in found for i, (x, n) in enumerate(zip(later, sizes, strict=True))):
+        gone = sorted(found.union(in_common_blocks(later, sizes, earlier, least)))
     return gone
 
 

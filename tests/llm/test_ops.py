@@ -87,6 +87,29 @@ def test_patience_blocks():
     assert linededup.deleted([1, 2, 3], [40, 30, 5], [1, 2, 7]) == [0, 1] and linededup.deleted([1, 2], [40, 5], [1, 9]) == []
 
 
+def plain_blocks(later, sizes, earlier):
+    """Places in any block of 64 bytes that stands in the earlier document, by trying all."""
+    gone = set()
+    for i in range(len(later)):
+        for j in range(i + 1, len(later) + 1):
+            if sum(sizes[i:j]) >= 64 and any(earlier[k : k + j - i] == later[i:j] for k in range(len(earlier))):
+                gone |= set(range(i, j))
+    return sorted(gone)
+
+
+def test_passages_held_twice():
+    h0, h1, m, p1, p2, t0, t1 = range(7)
+    assert linededup.deleted([h1, p1, p2, t1], [40] * 4, [h0, p1, p2, m, p1, p2, t0]) == [1, 2]
+    assert linededup.deleted([h1, p1, p2, m, p1, p2, t1], [40] * 7, [h0, p1, p2, t0]) == [1, 2, 4, 5]
+    assert linededup.deleted([1, 2, 3, 4], [40] * 4, [3, 4, 1, 2]) == [0, 1, 2, 3]
+    for seed in range(600):
+        r = np.random.default_rng(seed)
+        size = r.integers(1, 90, 6)
+        a, b = (r.integers(0, r.integers(1, 7), r.integers(0, 12)).tolist() for _ in range(2))
+        sizes = size[a].tolist() if a else []
+        assert linededup.deleted(a, sizes, b) == plain_blocks(a, sizes, b), seed
+
+
 def plain_lines(rows):
     """Each document against the first holder of each of its lines."""
     first, seqs = {}, [(i, t.split("\n")) for i, t in sorted(set(rows))]
