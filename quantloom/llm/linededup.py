@@ -1,18 +1,20 @@
 """Line dedup by pairwise alignment.
 
-Every line is hashed. Documents that share lines are paired through the line's first holder (smallest
-doc_id), rarest lines first: a line with many holders makes a star around its first, not all pairs, so
-nothing is capped. Each pair's line hashes are aligned by patience diff: lines that are unique in both,
-in their longest common order, are the fixed points; between them the alignment goes on, and matches grow
-to neighbours. Runs of aligned lines of MIN_BYTES or more are deleted from the later document. What the
-alignment leaves (passages that one of both holds twice, or that stand in another order) is looked up in
-the earlier document: all lines of a common block of MIN_BYTES or more go. The first holder of a line never
-loses it.
-
-Defined cases: lines end at line feeds; lines of white space alone match only inside a run; a null text has
-no lines; a text that loses all lines is empty; rows that repeat a doc_id count as one document in order of
-their text's hash; copies of one row do not delete from each other; rows without a doc_id keep all lines;
-extra columns stay, whatever their names (added ones begin with an underscore).
+Every line is hashed, and every shortest passage of MIN_BYTES or more that begins or ends at a line. Each
+document is paired with the first holder (smallest doc_id) of each of its passages: a passage with many
+holders makes a star around its first, not all pairs, and nothing is capped. Any block that a document has
+in common with an earlier one is covered by such passages, so all of it is met in some pair. Each pair's
+line hashes are aligned by patience diff: lines that are unique in both, in their longest common order, are
+the fixed points; between them the alignment goes on, and matches grow to neighbours. Runs of aligned lines
+of MIN_BYTES or more are deleted from the later document. What the alignment leaves (passages that one of
+both holds twice, or that stand in another order) is looked up in the earlier document: all lines of a
+common block of MIN_BYTES or more go. The first holder of a line never loses it.
+
+Defined cases: lines end at line feeds; a passage has a line that is not of white space alone; empty lines
+at the edges of a passage go only where one pair has them too; a null text has no lines; a text that loses
+all lines is empty; rows that repeat a doc_id count as one document in order of their text's hash; copies
+of one row do not delete from each other; rows without a doc_id keep all lines; extra columns stay, whatever
+their names (added ones begin with an underscore).
 """
 
 from __future__ import annotations
@@ -137,6 +139,21 @@ def deleted(later: list[int], sizes: list[int], earlier: list[int], least: int =
     return gone
 
 
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines, sizes, blank = (np.asarray(batch.column(i).flatten().to_numpy(zero_copy_only=False)) for i in (2, 3, 4))
+        off = np.append(0, np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+        start, end = passages(sizes.astype(np.int64), ~blank.astype(bool), off, MIN_BYTES)
+        edges = (sizes[start] > 0) & (sizes[end - 1] > 0)
+        start, end = start[edges], end[edges]
+        doc, found = np.searchsorted(off, start, "right") - 1, passage_hashes(lines, start, end).view(np.int64)
+        order = np.lexsort([found, doc])
+        doc, found = doc[order], found[order]
+        new = np.append(True, (doc[1:] != doc[:-1]) | (found[1:] != found[:-1]))[: len(doc)]
+        at = pa.array(doc[new])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found[new])], ["doc_id", "row_key", "passage"])
+
+
 def _deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         later, sizes, earlier = (batch.column(i).to_pylist() for i in (2, 3, 4))
@@ -153,9 +170,9 @@ def lines_removed(docs: DataFrame) -> DataFrame:
     blank = F.transform(split, lambda x: F.trim(F.translate(x, "\t\r", "  ")) == "")
     known = keyed.filter("text is not null and doc_id is not null").select("doc_id", F.col("_row_key").alias("row_key"), hashed.alias("hashes"), sizes.alias("sizes"), blank.alias("blank"))
     rows = written(known.dropDuplicates(["doc_id", "row_key"]), "line-hashes")
-    lines = rows.select("doc_id", "row_key", F.explode(F.arrays_zip("hashes", "blank")).alias("x")).filter("not x.blank").select("doc_id", "row_key", F.col("x.hashes").alias("line")).distinct()
-    holders = lines.groupBy("line").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    pairs = lines.join(holders, "line").filter("doc_id <> first.doc_id or row_key <> first.row_key")
+    held_by = rows.mapInArrow(_passages, "doc_id long, row_key long, passage long")
+    holders = held_by.groupBy("passage").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    pairs = held_by.join(holders, "passage").filter("doc_id <> first.doc_id or row_key <> first.row_key")
     pairs = pairs.select("doc_id", "row_key", F.col("first.doc_id").alias("e_id"), F.col("first.row_key").alias("e_key")).distinct()
     earlier = rows.select(F.col("doc_id").alias("e_id"), F.col("row_key").alias("e_key"), F.col("hashes").alias("earlier"))
     both = pairs.join(earlier, ["e_id", "e_key"]).drop("e_id", "e_key").join(rows.drop("blank"), ["doc_id", "row_key"])

@@ -136,6 +136,22 @@ def test_lines(docs, none):
     assert linededup.without_repeated_lines(none).count() == 0
 
 
+def test_blocks_of_any_earlier_document_go(spark):
+    line = [f"{k:02d} " + "abcdefg " * int(np.random.default_rng(k).integers(1, 6)) for k in range(40)]
+    texts = [[line[k], line[20]] for k in range(4)] + [[line[30], *line[:4]], [line[31], *line[:4], line[32]]]
+    texts += [[*line[5:8], line[33], *line[8:11]], [*line[8:11], *line[5:8]], [line[34], *line[8:11], *line[5:8], line[35]]]
+    r = np.random.default_rng(9)
+    for _ in range(60):
+        texts.append([line[k] for s in r.integers(0, 36, r.integers(1, 6)) for k in range(s, s + r.integers(1, 5))])
+    sizes = [[len(x) for x in t] for t in texts]
+    got = linededup.without_repeated_lines(spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r.doc_id: r.text for r in got.collect()}
+    for i, t in enumerate(texts):
+        gone = {x for j in range(i) for x in plain_blocks(t, sizes[i], texts[j])}
+        assert got[i] == "\n".join(x for k, x in enumerate(t) if k not in gone), i
+    assert got[5] == "\n".join([line[31], line[32]]) and got[8] == "\n".join([line[34], line[35]])
+
+
 # ------------------------------------------------------------------ 3
 
 
