@@ -1,10 +1,10 @@
-"""Near-duplicate vectors by sorted projection passes.
+"""Near-duplicate vectors by comparison of all pairs of a label.
 
-Each of PASSES passes gives every vector a key: the signs of random projections, concatenated. Vectors
-are ordered by (pass, label, key) over the whole table, and each is compared, in double precision, with
-the next WINDOW vectors of its label. The pairs found by all passes are united into components. Inside a
-component every pair is then compared in blocks of BLOCK vectors, so the links of a vector are counted in
-full however many it has, and no pairs are written out.
+The vectors of a label and length are dealt into blocks, and every two blocks of them meet in a cell, where
+all pairs are compared in double precision. A cell gives each of its vectors the number of its links and one
+edge to what it is united with there, so no pairs are written out; the edges are united into components. No
+pair is left out: the work grows with the square of a label's vectors. A label has up to BLOCKS blocks of
+BLOCK vectors; above that the blocks grow BLOCKS times as large before there are more of them.
 
 Equal vectors of one label are one vector with a count from the start.
 
@@ -20,20 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
 
 COSINE = 0.98
-PASSES = 8
-BITS = 62
-WINDOW = 24
-RANGE = 1024
-BLOCK = 256
-
-KEYED = "pass int, label long, key long, id long, unit binary"
+BLOCK, BLOCKS = 4096, 8
+TILE = 256
 
 
 def unit(vector: list[float]) -> np.ndarray:
@@ -42,78 +37,49 @@ def unit(vector: list[float]) -> np.ndarray:
     return v / np.sqrt(v @ v)
 
 
-def projections(number: int, dimensions: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64([number, dimensions])).standard_normal((dimensions, BITS))
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    weight = np.int64(1) << np.arange(BITS, dtype=np.int64)[::-1]
-    planes: dict[tuple[int, int], np.ndarray] = {}
-    for batch in batches:
-        units = [unit(v) for v in batch.column(2).to_pylist()]
-        blobs = pa.array([u.tobytes() for u in units], pa.binary())
-        for p in range(PASSES):
-            keys = np.zeros(len(units), np.int64)
-            for d in {len(u) for u in units}:
-                at = [i for i, u in enumerate(units) if len(u) == d]
-                plane = planes.setdefault((p, d), projections(p, d))
-                keys[at] = ((np.stack([units[i] for i in at]) @ plane) > 0) @ weight
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(units), p, np.int32)), batch.column(0), pa.array(keys), batch.column(1), blobs], ["pass", "label", "key", "id", "unit"])
-
-
 def _matrix(blobs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
 
 
-def _windows(key: tuple, table: pa.Table) -> pa.Table:
-    """Pairs of a range of the order: each of its own vectors against the next ones."""
-    t = table.sort_by("rank")
-    own, group, ids = (np.asarray(t.column(c)) for c in ("own", "part_of", "id"))
-    blobs = t.column("unit").to_pylist()
-    found = []
-    sizes = np.array([len(b) for b in blobs])
-    cuts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (sizes[1:] != sizes[:-1])))
-    for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
-        m = _matrix(blobs[a:b])
-        for s in range(1, min(WINDOW, b - a - 1) + 1):
-            hit = np.flatnonzero((np.einsum("ij,ij->i", m[:-s], m[s:]) >= COSINE) & own[a : b - s])
-            found.append((ids[a + hit], ids[a + hit + s]))
-    x, y = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-    return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
-
-
-def _counts(key: tuple, table: pa.Table) -> pa.Table:
-    """For each vector of a cell the linked copies of others: a cell is two blocks of one component, or
-    many whole small components."""
-    out_ids, out_n = [], []
-    t = table.sort_by("component")
-    component, ids, side, copies = (np.asarray(t.column(c)) for c in ("component", "id", "side", "copies"))
+def _linked(m: np.ndarray, copies: np.ndarray, split: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector the linked copies of others and the first vector it is united with: all pairs, or those
+    of the first `split` vectors with the rest."""
+    n, first = np.zeros(len(m), np.int64), np.arange(len(m))
+    for a in range(0, split or len(m), TILE):
+        b = min(a + TILE, split or len(m))
+        right = split or a
+        link = m[a:b] @ m[right:].T >= COSINE
+        if not split:
+            link[:, : b - a] = np.triu(link[:, : b - a], 1)
+        rows = np.flatnonzero(link.any(axis=1))
+        if not len(rows):
+            continue
+        link = link[rows]
+        n[a + rows] += link @ copies[right:]
+        n[right:] += copies[a + rows] @ link
+        for row, to in zip((a + rows).tolist(), link, strict=True):
+            met = np.append(first[right:][to], first[row])
+            if (met != met[0]).any():
+                first[np.isin(first, met)] = met.min()
+    return n, first
+
+
+def _compared(key: tuple, table: pa.Table) -> pa.Table:
+    """Links and edges of a cell: two blocks of one label, or many whole small labels."""
+    out = []
+    t = table.sort_by([("label", "ascending"), ("dim", "ascending"), ("side", "ascending"), ("id", "ascending")])
+    label, dim, ids, side, copies = (np.asarray(t.column(c)) for c in ("label", "dim", "id", "side", "copies"))
     blobs = t.column("unit").to_pylist()
-    cuts = np.flatnonzero(np.append(True, component[1:] != component[:-1]))
+    cuts = np.flatnonzero(np.append(True, (label[1:] != label[:-1]) | (dim[1:] != dim[:-1])))
     for a, b in zip(cuts, [*cuts[1:], len(ids)], strict=True):
-        m, s, c = _matrix(blobs[a:b]), side[a:b], copies[a:b]
-        left, right = np.flatnonzero(s == 0), np.flatnonzero(s == 1)
-        if len(right):
-            link = m[left] @ m[right].T >= COSINE
-            n = np.zeros(b - a, np.int64)
-            n[left], n[right] = link @ c[right], link.T @ c[left]
-        else:
-            link = m @ m.T >= COSINE
-            np.fill_diagonal(link, False)
-            n = link @ c
-        out_ids.append(ids[a:b])
-        out_n.append(n)
-    return pa.table([pa.array(np.concatenate(out_ids), pa.int64()), pa.array(np.concatenate(out_n), pa.int64())], ["id", "n"])
-
-
-def _ranked(keyed: DataFrame) -> DataFrame:
-    """Adds `rank`, the place in the whole order: places in ranges, behind the counts of earlier ranges."""
-    order = ["pass", "label", "key", "id"]
-    ranged = written(keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "keyed-vectors")
-    counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    first = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return ranged.withColumn("place", place).join(first, "part").withColumn("rank", F.col("first") + F.col("place")).drop("part", "place", "first")
+        cell = side[a:b]
+        if key[0].as_py() and cell.all() == cell.any():  # two blocks, one of them empty
+            continue
+        n, first = _linked(_matrix(blobs[a:b]), copies[a:b], int((cell == 0).sum()) if cell.any() else 0)
+        some = np.flatnonzero(n)
+        out.append((ids[a:b][some], n[some], ids[a:b][first[some]]))
+    x, n, first = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+    return pa.table([pa.array(x, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.int64())], ["id", "n", "first"])
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -123,21 +89,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     sound = rows.filter(F.col("label").isNotNull() & F.col("v").isNotNull() & F.col("vec_id").isNotNull() & fine)
     distinct = written(sound.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "distinct-vectors")
 
-    ranked = _ranked(distinct.select("label", "id", "v").mapInArrow(_keyed, KEYED))
-    own = ranked.select("rank", "id", "unit", F.xxhash64("pass", "label").alias("part_of"), F.floor(F.col("rank") / RANGE).alias("range"), F.lit(True).alias("own"))
-    extra = own.filter((F.col("rank") % RANGE < WINDOW) & (F.col("range") > 0)).withColumn("range", F.col("range") - 1).withColumn("own", F.lit(False))
-    pairs = written(own.unionByName(extra).groupBy("range").applyInArrow(_windows, "a long, b long"), "near-pairs")
-    labels = components(pairs)
-
-    members = distinct.join(labels, "id").select("id", "component", "copies", "v")
-    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
-    members = members.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    members = members.mapInArrow(_united, "component long, id long, copies long, blocks long, unit binary")
-    small = members.filter("blocks = 1").select(F.lit(-1).cast("long").alias("c"), F.pmod(F.xxhash64("component"), F.lit(4096)).alias("i"), F.lit(0).cast("long").alias("j"), "component", "id", "copies", "unit", F.lit(0).alias("side"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    large = members.filter("blocks > 1").withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    large = large.select(F.col("component").alias("c"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "component", "id", "copies", "unit", (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    counts = small.unionByName(large).groupBy("c", "i", "j").applyInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    groups = distinct.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("size"))
+    blocks = F.greatest(F.least(F.lit(BLOCKS), F.ceil(F.col("size") / BLOCK)), F.ceil(F.col("size") / (BLOCK * BLOCKS)))
+    members = distinct.withColumn("dim", F.size("v")).join(groups.withColumn("blocks", blocks), ["label", "dim"])
+    members = members.select("label", "dim", "id", "copies", "blocks", "v").mapInArrow(_united, "label long, dim int, id long, copies long, blocks long, unit binary")
+    mine = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(0)
+    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    group = F.when(F.col("blocks") > 1, F.xxhash64("label", "dim")).otherwise(F.pmod(F.xxhash64("label", "dim"), F.lit(4096)))
+    dealt = dealt.select(
+        (F.col("mine") != F.col("other")).alias("two"), group.alias("c"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        "label", "dim", "id", "copies", "unit", (F.col("mine") > F.col("other")).cast("int").alias("side"),
+    )
+    found = written(dealt.groupBy("two", "c", "i", "j").applyInArrow(_compared, "id long, n long, first long"), "near-vectors")
+    labels = components(found.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
 
     known = distinct.join(labels, "id", "left").join(counts, "id", "left")
     known = known.select("label", "v", F.coalesce("component", "id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
@@ -152,4 +117,4 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = {n: i for i, n in enumerate(batch.schema.names)}
         blobs = pa.array([unit(v).tobytes() for v in batch.column(at["v"]).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in ("component", "id", "copies", "blocks")), blobs], ["component", "id", "copies", "blocks", "unit"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(at[c]) for c in ("label", "dim", "id", "copies", "blocks")), blobs], ["label", "dim", "id", "copies", "blocks", "unit"])

@@ -373,6 +373,23 @@ def test_vectors(spark, monkeypatch):
     assert embeddings.near_vectors(table.limit(0)).count() == 0
 
 
+def test_every_link_of_a_hot_label(spark):
+    """6000 vectors with a common direction, of two lengths: no pair is missed."""
+    r = np.random.default_rng(3)
+    rows = []
+    for d in (16, 24):
+        base = 1.5 + r.normal(size=(1500, d)) / 2
+        rows += [(x / np.linalg.norm(x)) for y in base for x in (y, y + r.normal(scale=0.2, size=d))]
+    table = spark.createDataFrame([(i, x.tolist(), 7) for i, x in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    link = []
+    for at in (0, 3000):
+        m = np.stack(rows[at : at + 3000])
+        link += [(at + a, at + b) for a, b in np.argwhere(np.triu(m @ m.T >= 0.98, 1)).tolist()]
+    top, n = plain_components(link, range(len(rows))), np.bincount(np.array(link).ravel(), minlength=len(rows))
+    got = embeddings.near_vectors(table).collect()
+    assert len(link) > 1000 and sorted((x.vec_id, x.n_links, x.component_id) for x in got) == [(i, n[i], top[i]) for i in range(len(rows))]
+
+
 # ------------------------------------------------------------------ 10
 
 
