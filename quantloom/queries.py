@@ -443,17 +443,22 @@ def dampened_confidence(spark, sf):
     return rows.select("d", F.round(views.dampened("c", "vol_ratio"), 6).alias("confidence"))
 
 
+def _assets(panel: DataFrame) -> list[str]:
+    return [x.asset for x in panel.select("asset").distinct().orderBy("asset").collect()]
+
+
 @query()
 def defensive_views(spark, sf):
     rows = D.panel_returns(spark, sf)
-    names = ["Brand#11", "Brand#22", "Brand#3"]
-    return views.defensive_views(views.regimes(rows, stats.volatility_ratio(rows)), names, "Brand#3")
+    return views.defensive_views(views.regimes(rows, stats.volatility_ratio(rows)), _assets(rows), "Brand#3")
 
 
 @query()
 def view_matrices(spark, sf):
-    both = views.relative_views(_momenta(spark, sf))
-    return views.matrices(views.combined(both), ["Brand#11", "Brand#22", "Brand#3"])
+    panel = D.panel(spark, sf)
+    momenta = panel.select(F.col("rn").alias("t"), "asset", F.round(I.momentum(20), 9).alias("mom_20")).filter("mom_20 is not null")
+    due = momenta.join(N.rebalance_rows(panel).select(F.col("rn").alias("t")), "t")
+    return views.matrices(views.combined(views.relative_views(due)), _assets(panel))
 
 
 # ---------------------------------------------------------------- portfolios

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from quantloom import queries as Q
+from quantloom.plans import derived
 
 SF = Path("/root/testdata/sf0.001")
 
@@ -43,3 +44,18 @@ def test_against_duckdb(spark, duck, name):
     for a, b in zip(got, want):
         for x, y in zip(a, b):
             assert x == y or (isinstance(x, float) and y is not None and x == pytest.approx(y, rel=1e-9, abs=2e-6)), (a, b)
+
+
+@pytest.mark.skipif(not SF.exists(), reason="needs the driver's tables")
+def test_views_of_all_assets_at_each_rebalance(spark):
+    panel = derived.panel(spark, str(SF)).select("asset", "rn", "px").toPandas().pivot(index="rn", columns="asset", values="px")
+    mom = (panel / panel.shift(20) - 1).round(9)
+    want = {}
+    for t in range(25, len(panel) + 1, 5):
+        x = mom.loc[t].to_numpy()
+        n = int((abs(x[:, None] - x[None, :]) >= 0.01).sum()) // 2
+        if n:
+            want[t] = (n, panel.shape[1])
+    got = {r.t: (len(r.p), len(r.p[0])) for r in Q.view_matrices(spark, str(SF)).collect()}
+    assert got == want
+    assert all(len(r.legs) == panel.shape[1] for r in Q.defensive_views(spark, str(SF)).collect())
