@@ -23,6 +23,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +32,9 @@ from .common import shared_dir, slices, texts_of, written
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
-CACHED_CHUNKS, CACHED_PIECES = 300_000, 200_000
+#: Entries of a generation of a worker's memory.
+CACHED = 400_000
+SLICE_BYTES = 4 << 20
 STRIPE_BYTES = 16 << 20
 INDEX_STRIDE = 1000
 
@@ -45,8 +48,9 @@ PIECES = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+""")
 class WordCodec:
     """The tokenizers library over the pieces of its file's pattern. Pieces that the worker has not met are
     put to the library many at a time, between blanks, and told apart by the tokens that end a piece; ids of
-    pieces, and of what stands between two blanks, come from a bounded memory. Texts with other than plain
-    characters, or with what may be a special token, are encoded by the library as a whole."""
+    pieces, and of what stands between two blanks, come from a bounded memory of two generations: when the
+    young one is full it becomes the old one, from which what is still in use comes back. Texts with other
+    than plain characters, or with what may be a special token, are encoded by the library as a whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,15 +62,13 @@ class WordCodec:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<i4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn_pieces(self, new: list[str]) -> None:
-        if len(self.pieces) + len(new) > CACHED_PIECES:
-            self.pieces = {}
         for k in range(0, len(new), 500):
             some = new[k : k + 500]
             ids = self.library([" ".join(some)])[0]
@@ -74,33 +76,59 @@ class WordCodec:
             if len(stop) == len(some) and stop[-1] == len(ids):
                 data = ids.tobytes()
                 at = [0, *(4 * stop).tolist()]
-                self.pieces.update((w, data[a:b]) for w, a, b in zip(some, at[:-1], at[1:], strict=True))
+                self.known.update((w, data[a:b]) for w, a, b in zip(some, at[:-1], at[1:], strict=True))
             else:
-                self.pieces.update((w, x.tobytes()) for w, x in zip(some, self.library(some), strict=True))
-
-    def learn(self, new: list[str]) -> None:
-        parts = [PIECES.findall(c) for c in new]
-        words = set().union(*parts)
-        if len(self.pieces) + len(words) > CACHED_PIECES:
-            self.pieces = {}
-        self.learn_pieces([w for w in words if w not in self.pieces])
-        known = self.pieces.__getitem__
-        self.chunks.update((c, b"".join(map(known, p))) for c, p in zip(new, parts, strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        plain = [not (PLAIN.search(t) or "<|" in t) for t in texts]
-        cut = [t.lower().replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
-        found = [list(map(self.chunks.get, c)) for c in cut]
-        new = {w for c, f in zip(cut, found, strict=True) if None in f for w, e in zip(c, f, strict=True) if e is None}
-        if new:
-            if len(self.chunks) + len(new) > CACHED_CHUNKS:
-                self.chunks = {"": b""}
-                new = set().union(*cut).difference(self.chunks)
-            self.learn(list(new))
-            found = [f if None not in f else list(map(self.chunks.__getitem__, c)) for c, f in zip(cut, found, strict=True)]
-        whole = iter(self.library([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [b"".join(f) if p else next(whole).tobytes() for f, p in zip(found, plain, strict=True)]
+                self.known.update((w, x.tobytes()) for w, x in zip(some, self.library(some), strict=True))
+
+    def learn(self, new: set[str]) -> None:
+        """What stands between blanks: mostly one piece of letters, or one and a mark behind it."""
+        known, old = self.known, self.old
+        back = new & old.keys()
+        known.update((c, old[c]) for c in back)
+        new = new - back
+        single = {c for c in new if c.isalpha()}
+        parts = [(c, [c[:-1], c[-1]] if c[-1] in ",." and c[:-1].isalpha() else PIECES.findall(c)) for c in new - single]
+        want = single.union(*(p for _, p in parts)).difference(known)
+        back = want & old.keys()
+        known.update((c, old[c]) for c in back)
+        self.learn_pieces(list(want - back))
+        known.update((c, b"".join(map(known.__getitem__, p))) for c, p in parts)
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, which are plain, in one array, and the number of each text's. What stands between
+        blanks is told apart by Arrow, so the memory is asked once for each different word."""
+        if len(self.known) > CACHED:
+            self.known, self.old = {"": b""}, self.known
+        parts = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.string())))
+        coded = parts.flatten().dictionary_encode()
+        different, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        self.learn(set(different).difference(self.known))
+        found = list(map(self.known.__getitem__, different))
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        ids, begin = np.frombuffer(b"".join(found), "<i4"), np.cumsum(size) - size
+        count = size[codes]
+        end = np.append(0, np.cumsum(count))
+        at = np.repeat((begin[codes] - end[:-1]).astype(np.int32), count) + np.arange(end[-1], dtype=np.int32)
+        return ids[at], np.diff(end[parts.offsets.to_numpy()])
+
+    def encode(self, texts: list[str], end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, `end` behind each text's, and their offsets."""
+        plain = np.array([not (PLAIN.search(t) or "<|" in t or "\u0130" in t) for t in texts], bool)
+        count = np.zeros(len(texts), np.int64)
+        own, count[plain] = self.words([t for t, p in zip(texts, plain, strict=True) if p])
+        whole = self.library([t for t, p in zip(texts, plain, strict=True) if not p])
+        count[~plain] = [len(x) for x in whole]
+        size = count + len(end)
+        stop = np.cumsum(size)
+        flat = np.empty(int(size.sum()), "<i4")
+        mine = np.repeat(plain, size)
+        for k, e in enumerate(end):
+            at = stop - len(end) + k
+            flat[at], mine[at] = e, False
+        flat[mine] = own
+        for i, x in zip(np.flatnonzero(~plain).tolist(), whole, strict=True):
+            flat[stop[i] - size[i] : stop[i] - len(end)] = x
+        return flat, np.append(0, stop)
 
 
 @lru_cache(2)
@@ -110,16 +138,13 @@ def codec(path: str) -> WordCodec:
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END) -> None:
     tokenizer = tokenizer or public_tokenizers.path(VOCABULARY)
-    end = np.array([end_id], "<i4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = 0
-        for batch in slices(batches, "text", 1 << 20):
-            ids = [x + end for x in codec(tokenizer).encode(texts_of(batch))]
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(row, row + len(ids))), tokens], ["doc_id", "row", "tokens"])
-            row += len(ids)
+        for batch in slices(batches, "text", SLICE_BYTES):
+            flat, off = codec(tokenizer).encode(texts_of(batch), [end_id])
+            tokens = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(row, row + batch.num_rows)), tokens], ["doc_id", "row", "tokens"])
+            row += batch.num_rows
 
     ranged = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     out = ranged.mapInArrow(run, "doc_id long, row long, tokens array<int>").select("doc_id", F.spark_partition_id().alias("shard"), "row", "tokens")
