@@ -4,15 +4,20 @@ A node with k leaves is split at the weighted median (weight: bytes) that gives
 along its widest dimension: the one of length, source, language, content hash whose range in the node is
 the largest share of its range over all documents. Medians of all nodes of a level are found together by
 narrowing histograms: bytes are summed by bin, the bin that holds the median is cut into bins again, and
-ties of the value are split by content hash, then by doc_id. A node is named by its first leaf, so the
-leaves are the shards and the tree never comes to the driver.
+ties of the value are split by content hash. A node is named by its first leaf, so the leaves are the shards
+and the tree never comes to the driver.
+
+Equal texts have equal metadata: source and language of a group of copies are those of its row with the
+smallest doc_id. So a group goes to one shard, its border to the nearer side. Only a group that holds more
+than 1 / TOGETHER of a shard, and that a border falls in, is split there by doc_id: for so large a group
+equal texts in one shard and shards of near equal size exclude each other.
 
 Law `bytes`: the shards' sizes are near equal; a split stops when the undecided bin holds less than
 1 / SLACK of a shard.
 
 Defined cases: a null text has size 1 and checksum 0; null source and lang count as code -1, a null doc_id
-sorts first and is kept; equal texts stay together unless a shard's border falls among them; repeated rows
-are separate rows; an empty table gives an empty result; other columns are not read.
+sorts first and is kept; repeated rows are separate rows; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from .common import written
 
 BINS = 4096
 SLACK = 1000
+TOGETHER = 100
 DIMENSIONS = ("size", "source_code", "lang_code", "text_crc32")
 
 
@@ -32,14 +38,20 @@ def metadata(docs: DataFrame) -> DataFrame:
         return F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(-1)).cast("long")
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("text_hash"),
         code("source").alias("source_code"),
         code("lang").alias("lang_code"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62))).alias("place"),
     )
+    rows = written(rows, "shard-metadata")
+    copies = rows.groupBy("size", "text_crc32", "text_hash").agg(F.count("*").alias("n"), F.min(F.struct("place", "source_code", "lang_code")).alias("first")).filter("n > 1")
+    copies = written(copies.select("size", "text_crc32", "text_hash", "first.source_code", "first.lang_code").withColumnsRenamed({"source_code": "s", "lang_code": "l"}), "shard-copies", light=True)
+    out = rows.join(copies, ["size", "text_crc32", "text_hash"], "left")
+    return out.select("doc_id", "size", "text_crc32", F.coalesce("s", "source_code").alias("source_code"), F.coalesce("l", "lang_code").alias("lang_code"), "place")
 
 
 def _first_state(rows: DataFrame, whole) -> DataFrame:
@@ -68,8 +80,9 @@ def _values(rows: DataFrame) -> DataFrame:
     return rows.withColumn("v0", value).withColumn("v1", F.col("text_crc32")).withColumn("v2", F.col("place"))
 
 
-def _narrowed(rows: DataFrame, state: DataFrame, slack: int, whole) -> DataFrame:
-    """One step for all nodes that are not done."""
+def _narrowed(rows: DataFrame, state: DataFrame, slack: int, together: int, whole) -> DataFrame:
+    """One step for all nodes that are not done. A content hash that holds no more than `together` bytes is not
+    split."""
     open_ = state.filter("not done").withColumn("step", F.expr(f"(hi - lo + {BINS - 1}) div {BINS}"))
     here = _values(rows.select("node", "place", *DIMENSIONS).join(open_, "node"))
     here = here.withColumn("v", F.expr("case stage when 0 then v0 when 1 then v1 else v2 end"))
@@ -79,7 +92,7 @@ def _narrowed(rows: DataFrame, state: DataFrame, slack: int, whole) -> DataFrame
     upto = F.sum("w").over(Window.partitionBy("node").orderBy("bin"))
     hit = bins.withColumn("upto", upto).filter("upto - w <= need and need < upto")
     hit = hit.withColumn("need", F.expr("need - (upto - w)")).withColumn("lo", F.expr("lo + bin * step")).withColumn("hi", F.expr("least(hi, lo + step)"))
-    last = f"(w <= {slack} or (hi - lo = 1 and stage = 2))"
+    last = f"(w <= {slack} or (hi - lo = 1 and (stage = 2 or stage = 1 and w <= {together})))"
     border = "if(need * 2 >= w, hi, lo)"
     down = f"(hi - lo = 1 and not {last})"
     new = hit.selectExpr(
@@ -108,18 +121,18 @@ def _children(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard; as many shards as named, or as target_bytes asks for."""
-    rows = written(metadata(docs), "shard-metadata")
+    rows = written(metadata(docs), "shard-rows")
     columns = ["place", *DIMENSIONS]
     whole = rows.agg(F.sum("size").alias("total"), *[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]).first()
     if whole["total"] is None:
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"))
     leaves = shards or max(1, -(-whole["total"] // target_bytes))
-    slack = max(1, whole["total"] // (leaves * SLACK))
+    slack, together = (max(1, whole["total"] // (leaves * x)) for x in (SLACK, TOGETHER))
     rows = rows.withColumn("node", F.lit(0)).withColumn("leaves", F.lit(leaves))
     for _ in range((leaves - 1).bit_length()):
         state = written(_first_state(rows, whole), "shard-splits", light=True)
         while not state.filter("not done").isEmpty():
-            state = written(_narrowed(rows, state, slack, whole), "shard-splits", light=True)
+            state = written(_narrowed(rows, state, slack, together, whole), "shard-splits", light=True)
         rows = written(_children(rows, state), "shard-rows")
     return rows.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"))
 
