@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 WIDTH = 576
 PAD = 255
@@ -182,6 +182,11 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode, ENCODED)
 
 
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same, from a table written to the shared folder: what is read later is the stored bytes."""
+    return written(text_media(docs, id_col, text_col), "media")
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """Reads the stored bytes of `media` (doc_id, n_bytes, media) back; see DECODED for the columns."""
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, DECODED)

@@ -53,7 +53,7 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as PNG and read back; see media.DECODED."""
-    return media.media_features(media.text_media(read_table(spark, sf_dir, "documents")))
+    return media.media_features(media.stored(read_table(spark, sf_dir, "documents")))
 
 
 def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
