@@ -36,9 +36,8 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mixture of all documents: a row for each use, with source, epoch and tokens."""
-    out = mixing.mixed(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", F.col("_epoch").alias("epoch"), mixing.tokens().alias("n_tokens"))
+    """The mixture of all documents: a row for each use, with source, epoch, position in it, and tokens."""
+    return mixing.permuted(read_table(spark, sf_dir, "documents"))
 
 
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
