@@ -23,9 +23,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share; one of our own only where none is named and all runs on
+    one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='quantloom-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -48,6 +51,14 @@ def held(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it as long as a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that the named string or binary column of each holds about max_bytes at
     most (a single longer value stays whole)."""
@@ -129,3 +140,11 @@ class RollingHash:
         """Hashes of all windows of k bytes."""
         n = len(prefix) - k
         return mix64((prefix[k:] - prefix[:n]) * self.down[:n]) if n > 0 else np.zeros(0, _U64)
+
+
+class SequenceHash(RollingHash):
+    """The same over sequences of 64-bit hashes, such as of words or lines."""
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        self.table = mix64(data.view(np.uint64))
+        return super().prefix(np.arange(len(data)))

@@ -28,7 +28,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     size = [0] * n
     for b, c in zip(*np.unique(begins, return_counts=True), strict=True):
         size[b] = int(c)
-    prev = [-1] * n
+    prev = [-2] * n  # not known yet
     end = n - 1
     while end >= 0:
         g = group[order[end]]
@@ -53,28 +53,38 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
             end -= 1
             continue
         led: dict[int, int] = {}
-        for i in sorted(order[g : end + 1]):
-            p = i - 1
-            while p >= 0 and group[p] >= g:
-                p = prev[p]
-            prev[i] = p
-            if p >= 0:
-                led[p] = led.get(p, 0) + 1
-        by: dict[tuple[int, int], list[int]] = {}
-        for p, c in led.items():
-            by.setdefault((-c, group[p]), []).append(p)
-        for (_, h), moved in sorted(by.items()) if len(by) > 1 else by.items():
-            left = size[h] - len(moved)
-            if not left:
+        for start in order[g : end + 1]:
+            if prev[start] != -2:
                 continue
-            new = h + left
-            size[h] = left
-            size[new] = len(moved)
-            for at, p in enumerate(moved, new):
-                a, x = place[p], order[at]
-                order[a], place[x] = x, a
-                order[at], place[p] = p, at
-                group[p] = new
+            path = [(start, start - 1)]  # a pointer waits for those of its group that it leads over
+            while path:
+                i, p = path.pop()
+                while p >= 0 and group[p] >= g:
+                    if prev[p] == -2:
+                        path += [(i, p), (p, p - 1)]
+                        break
+                    p = prev[p]
+                else:
+                    prev[i] = p
+                    if p >= 0:
+                        led[p] = led.get(p, 0) + 1
+        most = max(led.values(), default=0)
+        by: list[dict[int, list[int]]] = [{} for _ in range(most + 1)]
+        for p, c in led.items():
+            by[c].setdefault(group[p], []).append(p)
+        for c in range(most, 0, -1):
+            for h, moved in by[c].items():
+                left = size[h] - len(moved)
+                if not left:
+                    continue
+                new = h + left
+                size[h] = left
+                size[new] = len(moved)
+                for at, p in enumerate(moved, new):
+                    a, x = place[p], order[at]
+                    order[a], place[x] = x, a
+                    order[at], place[p] = p, at
+                    group[p] = new
         end = g - 1
     free = list(range(n))
     out = [-1] * n

@@ -46,9 +46,8 @@ ROUND_SEEDS = seeded(2 * COORDINATES, 12)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each document, flat, and their offsets (documents + 1)."""
-    n = len(off) - 1
+def words_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all documents, flat, and their offsets (documents + 1)."""
     word = ~SPACE[raw]
     border = np.zeros(len(raw) + 1, bool)
     border[off] = True
@@ -56,7 +55,13 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     end = np.flatnonzero(word & (border[1:] | ~np.append(word[1:], False))) + 1
     prefix = WORD_HASH.prefix(LOWER[raw])
     hashes = WORD_HASH.ranges(prefix, begin, end) + (end - begin).astype(np.uint64)
-    first = np.searchsorted(begin, off)  # of each document's words
+    return hashes, np.searchsorted(begin, off)
+
+
+def shingle_sets(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each document, flat, and their offsets (documents + 1)."""
+    n = len(off) - 1
+    hashes, first = words_of(raw, off)
     count = np.diff(first)
     flat, doc = [], []
     whole = len(hashes) - WORDS + 1

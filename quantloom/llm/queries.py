@@ -25,9 +25,10 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without its repeated 400-byte strings: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Every document without its repeated 400-byte strings: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and
+    whether the document shares a passage of words with another."""
     out = repeats.without_repeats(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "in_passage")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

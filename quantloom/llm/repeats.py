@@ -4,19 +4,23 @@ A string of `length` bytes is repeated if it also starts anywhere else; every by
 covers is removed. The strings of a text are grouped by anchors: of the K-byte pieces of a string, the
 leftmost with the smallest hash. Equal strings have equal anchors, so only strings with one anchor need be
 compared, and most anchors occur once. The strings with one occurrence of an anchor follow each other; the
-bytes they span are the anchor's context.
+bytes they span are the anchor's context. Equal contexts are one, with a count.
 
-Equal contexts are one, with a count. Contexts of an anchor that has several meet in buckets of many
-anchors. All contexts of an anchor have the bytes around it in common; these become one symbol, and each
-bucket gets one suffix array over what is left (see grouping.py), in which equal strings are neighbours. Anchors with more than HOT distinct
-contexts, such as the borders of a passage that very many documents share, would make one bucket large;
-they are narrowed in distributed aggregates instead: strings whose places relative to the anchor lie
-within STEP bytes share a core and meet by its fingerprint; what meets nothing goes, what is equal as a
-whole is done, and only the rest is compared string by string, by fingerprint.
+The strings of a context are cut into ranges by their place relative to the anchor (STEPS[0] places each).
+All strings of a range share a core, and equal strings have equal cores, so ranges meet by their core's
+fingerprint, however often an anchor occurs: a core that comes once goes, ranges that are equal as a whole
+are repeated as a whole. The rest, ranges of one core with different bytes around it, meet in buckets of
+many cores; each bucket gets one suffix array (see grouping.py) in which the core is one symbol and equal
+strings are neighbours. Ranges of a core that are too many for a bucket are cut into ranges of the next
+step first, where the same holds; in ranges of one string the core is the whole string.
+
+`in_passage` marks the texts that share a passage with another row, by winnowing of word sequences: a
+passage of PASSAGE words is always found, one of fewer than GRAM words never.
 
 Defined cases: lengths and strings are in UTF-8 bytes and may cut characters; a null text is empty; texts
 shorter than `length` keep all bytes; copies of a text all lose their repeated strings; overlaps count;
-repeated rows are texts of their own; other columns are not read. The kept bytes are returned as binary.
+repeated rows are texts of their own (for in_passage they are one); other columns are not read. The kept
+bytes are returned as binary.
 """
 
 from __future__ import annotations
@@ -30,17 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, flat_bytes, held, slices, written
+from .common import RollingHash, SequenceHash, flat_bytes, held, slices, written
 from .grouping import suffix_array
+from .minhash import words_of
 
 LENGTH = 400
 K = 128
-HOT = 256
-STEP = 16
-BUCKET_BYTES = 1 << 19
+STEPS = (64, 8, 1)
+BUCKET_BYTES = 1 << 17
 PIECE = 1 << 24
 PLACE_BITS = 25
+PASSAGE, GRAM = 51, 31
 PIECES = RollingHash(21)
+WORDS = SequenceHash(27)
 STRINGS = RollingHash(23), RollingHash(25)
 
 
@@ -57,15 +63,15 @@ def least_places(values: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(down[:m], upto[width - 1 : width - 1 + m]) & low).astype(np.int64)
 
 
-def anchors(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def anchors(raw: np.ndarray, off: np.ndarray, length: int, k: int = K, hashes: RollingHash = PIECES) -> tuple[np.ndarray, ...]:
     """For each anchor of each text: text number, hash, place, first and last start of its strings (places
     in the flat array)."""
-    width = length - K + 1
+    width = length - k + 1
     found = []
     last = off[1:] - length  # last start of each text
     for a in range(0, max(0, len(raw) - length + 1), PIECE):
         b = min(a + PIECE + length - 1, len(raw))
-        values = PIECES.windows(PIECES.prefix(raw[a:b]), K)
+        values = hashes.windows(hashes.prefix(raw[a:b]), k)
         place = least_places(values, width)
         starts = np.arange(a, a + len(place))
         own = np.searchsorted(off, starts, side="right") - 1
@@ -108,7 +114,7 @@ def _cut(length: int):
             rows = [(w["anchor"], w["context"], w["place"], t[w["s0"] : w["s1"] + length]) for t, ws in zip((x.encode() for x in texts), batch.column(1).to_pylist(), strict=True) for w in ws]
             cols = list(zip(*rows, strict=True)) or [[], [], [], []]
             types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["anchor", "context", "place", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["a", "c", "place", "bytes"])
 
     return run
 
@@ -188,124 +194,139 @@ SPANS = "anchor long, context long, r0 int, r1 int"
 
 def _bucket(length: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        one = {(a, c): (p, b) for a, c, p, b in zip(*(table.column(x).to_pylist() for x in ("anchor", "context", "place", "bytes")), strict=True)}
+        one = {(a, c): (p, b) for a, c, p, b in zip(*(table.column(x).to_pylist() for x in ("a", "c", "place", "bytes")), strict=True)}
         keys = sorted(one)
         hits = repeated_starts([k[0] for k in keys], [one[k][1] for k in keys], [one[k][0] for k in keys], length)
         spans = [(*k, a, b) for k, hit in zip(keys, hits, strict=True) for a, b in runs(hit)]
         cols = list(zip(*spans, strict=True)) or [[], [], [], []]
-        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["anchor", "context", "r0", "r1"])
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["a", "c", "r0", "r1"])
 
     return run
 
 
-RANGES = "anchor long, context long, place int, p0 int, p1 int, core long, kind long"
-
+def _ranges(length: int, step: int):
+    """Rows of (a, c, place, bytes) to the ranges of their strings: starts p0 to p1, fingerprints of the bytes
+    that all strings of such a range share and of all its bytes."""
 
-def _ranges(length: int):
-    """Rows of (anchor, context, place, bytes) to the ranges of their strings: starts p0 to p1, fingerprints
-    of the bytes that all strings of such a range share and of all its bytes."""
-
-    def fingerprint(data: bytes, *numbers: int) -> int:
-        return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=b"".join(n.to_bytes(4, "little") for n in numbers)).digest(), "little", signed=True)
+    def fingerprint(data: bytes, *numbers: int) -> bytes:
+        return hashlib.blake2b(data, digest_size=8, salt=b"".join(n.to_bytes(4, "little") for n in numbers)).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for anchor, context, place, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own, firsts, lasts, prints = [], [], [], []
+            for i, (place, data) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 last = len(data) - length
-                for q in range((place - last) // STEP, place // STEP + 1):
-                    p0, p1 = max(0, place - q * STEP - STEP + 1), min(last, place - q * STEP)
-                    core = data[place - q * STEP : place - q * STEP - STEP + 1 + length]
-                    rows.append((anchor, context, place, p0, p1, fingerprint(core, q), fingerprint(data[p0 : p1 + length], q, place - p0)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 7
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["anchor", "context", "place", "p0", "p1", "core", "kind"])
+                for q in range((place - last) // step, place // step + 1):
+                    at = place - q * step
+                    p0, p1 = max(0, at - step + 1), min(last, at)
+                    own.append(i)
+                    firsts.append(p0)
+                    lasts.append(p1)
+                    prints += fingerprint(data[at : at - step + 1 + length], q), fingerprint(data[p0 : p1 + length], q, place - p0)
+            both = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
+            rows = batch.select([0, 1, 2]).take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "c", "place", "p0", "p1", "core", "kind"])
 
     return run
 
 
-def _strings(length: int):
-    """Rows of (core, kind, n, place, p0, p1, bytes) to a fingerprint for each string of the range."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["core", "kind", "n", "back", "f", "g"]
-        for batch in batches:
-            for core, kind, n, place, p0, p1, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = np.frombuffer(data, np.uint8)[p0 : p1 + length]
-                f, g = (h.windows(h.prefix(raw), length).view(np.int64) for h in STRINGS)
-                same = [np.full(len(f), x) for x in (core, kind, n)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, same), pa.array((place - np.arange(p0, p1 + 1)).astype(np.int32)), pa.array(f), pa.array(g)], names)
-
-    return run
-
-
-def _hot_spans(hot: DataFrame, length: int) -> DataFrame:
-    """Spans of repeated starts for contexts of anchors with very many of them."""
-    ranges = held(hot.select("anchor", "context", "place", "bytes").mapInArrow(_ranges(length), RANGES).distinct())
-    cores = ranges.groupBy("core").agg(F.count("*").alias("rows"), F.min("kind").alias("k0"), F.max("kind").alias("k1")).filter("rows > 1")
-    met = held(ranges.join(cores, "core"))
-    same = met.filter("k0 = k1").select("anchor", "context", F.col("p0").alias("r0"), F.col("p1").alias("r1"))
-    mixed = met.filter("k0 <> k1")
-    kinds = mixed.groupBy("core", "kind").agg(F.count("*").alias("n"), F.min(F.struct("anchor", "context", "place", "p0", "p1")).alias("at")).select("core", "kind", "n", "at.*")
-    bytes_ = hot.select("anchor", "context", "bytes").dropDuplicates(["anchor", "context"])
-    strings = kinds.join(bytes_, ["anchor", "context"]).select("core", "kind", "n", "place", "p0", "p1", "bytes")
-    strings = held(strings.mapInArrow(_strings(length), "core long, kind long, n long, back int, f long, g long"))
-    twice = strings.groupBy("f", "g").agg(F.sum("n").alias("t")).filter("t > 1").select("f", "g")
-    backs = strings.join(twice, ["f", "g"], "left_semi").groupBy("core", "kind").agg(F.collect_list("back").alias("backs"))
-    each = mixed.select("anchor", "context", "place", "core", "kind").join(backs, ["core", "kind"]).select("anchor", "context", "place", F.explode("backs").alias("back"))
-    return same.unionByName(each.select("anchor", "context", (F.col("place") - F.col("back")).alias("r0"), (F.col("place") - F.col("back")).alias("r1")))
+def repeated_spans(items: DataFrame, length: int, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """a, c, r0, r1: runs of starts whose strings are also in another of the items (a, c, place, bytes), which
+    are distinct by (a, c) and hold an anchor at their place."""
+    ranges = held(items.select("a", "c", "place", "bytes").mapInArrow(_ranges(length, steps[0]), "a long, c long, place int, p0 int, p1 int, core long, kind long"))
+    kinds = ranges.groupBy("core", "kind").agg(F.count("*").alias("n"), F.min(F.struct("a", "c", "place", "p0", "p1")).alias("at"))
+    kinds = written(kinds.select("core", "kind", "n", "at.*"), "range-kinds")
+    equal = written(kinds.filter("n > 1").select("core", "kind"), "equal-ranges")
+    spans = ranges.join(equal, ["core", "kind"], "left_semi").select("a", "c", F.col("p0").alias("r0"), F.col("p1").alias("r1"))
+    cores = kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.sum(F.col("p1") - F.col("p0") + length).alias("size")).filter("kinds > 1")
+    cores = written(cores.select("core", "size"), "mixed-cores")
+    mixed = kinds.join(cores, "core").join(items.select("a", "c", "bytes"), ["a", "c"])
+    mixed = mixed.select(F.col("core").alias("a"), F.col("kind").alias("c"), (F.col("place") - F.col("p0")).alias("place"), F.expr(f"substring(bytes, p0 + 1, p1 - p0 + {length})").alias("bytes"), "size")
+    mixed = written(mixed, "mixed-ranges")
+    few = mixed.filter(F.col("size") <= BUCKET_BYTES)
+    total = few.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    few = few.withColumn("bucket", F.pmod("a", F.lit(max(1, 2 * total // BUCKET_BYTES))))
+    within = few.groupBy("bucket").applyInArrow(_bucket(length), "a long, c long, r0 int, r1 int")
+    many = mixed.filter(F.col("size") > BUCKET_BYTES)
+    if len(steps) > 1 and not many.isEmpty():
+        within = within.unionByName(repeated_spans(many, length, steps[1:]))
+    within = written(within.withColumnsRenamed({"a": "core", "c": "kind"}), "range-spans")
+    return spans.unionByName(ranges.join(within, ["core", "kind"]).select("a", "c", (F.col("p0") + F.col("r0")).alias("r0"), (F.col("p0") + F.col("r1")).alias("r1")))
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        hashes, off = words_of(*flat_bytes(batch))
+        own, key, *_ = anchors(hashes, off, PASSAGE, GRAM, WORDS)
+        order = np.lexsort([key, own])
+        own, key = own[order], key[order]
+        new = np.append(True, (own[1:] != own[:-1]) | (key[1:] != key[:-1]))[: len(own)]
+        at = pa.array(own[new])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key[new])], ["doc_id", "row_key", "gram"])
+
+
+def in_passages(texts: DataFrame) -> DataFrame:
+    """doc_id and row_key of the texts (doc_id, row_key, text) that share a passage with another."""
+    grams = held(texts.select("doc_id", "row_key", "text").mapInArrow(_grams, "doc_id long, row_key long, gram long"))
+    shared = grams.groupBy("gram").agg(F.min("row_key").alias("low"), F.max("row_key").alias("high")).filter("low <> high")
+    shared = written(shared.select("gram"), "shared-grams")
+    marked = written(grams.join(shared, "gram", "left_semi").select("doc_id", "row_key").distinct(), "in-passages", light=True)
+    grams.unpersist()
+    return marked
 
 
 def _kept(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             rows = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, at, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                 data = (text or "").encode()
+                if not a:
+                    rows.append((len(data), 0, 0, data))
+                    continue
                 gone = np.zeros(len(data) + 1, np.int32)
-                for s in spans or ():
-                    gone[s["a"]] += 1
-                    gone[s["b"] + length] -= 1
+                size = [len(x) for x in a]
+                base = np.repeat(np.array(at), size)
+                np.add.at(gone, base + np.concatenate(a), 1)
+                np.add.at(gone, base + np.concatenate(b) + length, -1)
                 drop = np.cumsum(gone[:-1]) > 0
-                keep = np.frombuffer(data, np.uint8)[~drop].tobytes() if spans else data
+                keep = np.frombuffer(data, np.uint8)[~drop].tobytes()
                 count = int((np.diff(np.concatenate([[0], drop.astype(np.int8)])) == 1).sum())
                 rows.append((len(data), len(data) - len(keep), count, keep))
             cols = list(zip(*rows, strict=True))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True)), batch.column(5)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "in_passage"])
 
     return run
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (binary: the bytes that stay) of each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) and in_passage of each row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    marked = in_passages(texts)
     long = texts.filter(F.octet_length("text") >= length)
     found = held(long.mapInArrow(_scan(length), CONTEXTS))
-    many = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    many = written(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "anchors")
     places = written(found.join(many, "anchor", "left_semi"), "repeated-anchors")
     found.unpersist()
 
     contexts = places.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "doc_id", "s0", "s1", "place")).alias("at"))
-    kinds = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    contexts = written(contexts.join(kinds, "anchor").select("anchor", "context", "n", "kinds", "at.*"), "contexts")
-
-    wanted = contexts.filter("kinds > 1").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("anchor", "context", "s0", "s1", "place")).alias("wanted"))
+    contexts = written(contexts.select("anchor", "context", "n", "at.*"), "contexts")
+    several = written(contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor"), "anchors")
+    wanted = contexts.join(several, "anchor", "left_semi").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("anchor", "context", "s0", "s1", "place")).alias("wanted"))
     at = wanted.withColumnRenamed("doc_id", "d").withColumnRenamed("row_key", "r")
     found = long.join(at, F.col("row_key").eqNullSafe(F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "wanted")
-    cut = found.mapInArrow(_cut(length), "anchor long, context long, place int, bytes binary")
-    cut = written(cut.join(contexts.select("anchor", "context", "kinds"), ["anchor", "context"]), "context-bytes")
-
-    total = cut.filter(f"kinds <= {HOT}").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    buckets = max(1, total // BUCKET_BYTES)
-    cold = cut.filter(f"kinds <= {HOT}").withColumn("bucket", F.pmod("anchor", F.lit(buckets)))
-    spans = cold.groupBy("bucket").applyInArrow(_bucket(length), SPANS)
-    hot = _hot_spans(cut.filter(f"kinds > {HOT}"), length)
+    cut = written(found.mapInArrow(_cut(length), "a long, c long, place int, bytes binary"), "context-bytes")
+
+    spans = repeated_spans(cut, length).withColumnsRenamed({"a": "anchor", "c": "context"})
     whole = contexts.filter("n > 1").select("anchor", "context", F.lit(0).alias("r0"), (F.col("s1") - F.col("s0")).alias("r1"))
-    spans = written(spans.unionByName(hot).unionByName(whole), "spans")
+    spans = spans.unionByName(whole).groupBy("anchor", "context").agg(F.collect_set(F.struct("r0", "r1")).alias("spans"))
+    spans = written(spans.select("anchor", "context", F.col("spans.r0").alias("r0"), F.col("spans.r1").alias("r1")), "spans")
 
-    gone = places.join(spans, ["anchor", "context"]).select("doc_id", "row_key", F.struct((F.col("s0") + F.col("r0")).alias("a"), (F.col("s0") + F.col("r1")).alias("b")).alias("span"))
-    gone = gone.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("r")).agg(F.collect_set("span").alias("spans"))
+    gone = places.join(spans, ["anchor", "context"]).select("doc_id", "row_key", F.struct("s0", "r0", "r1").alias("span"), F.lit(False).alias("in_passage"))
+    gone = gone.unionByName(marked.withColumns({"span": F.lit(None).cast(gone.schema["span"].dataType), "in_passage": F.lit(True)}))
+    gone = gone.groupBy(F.col("doc_id").alias("d"), F.col("row_key").alias("r")).agg(F.collect_set("span").alias("spans"), F.max("in_passage").alias("in_passage"))
     out = texts.join(gone, F.col("row_key").eqNullSafe(F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    return out.select("doc_id", "text", "spans").mapInArrow(_kept(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = out.select("doc_id", "text", "spans.s0", "spans.r0", "spans.r1", F.coalesce("in_passage", F.lit(False)).alias("in_passage"))
+    return out.mapInArrow(_kept(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, in_passage boolean")
