@@ -3,8 +3,9 @@
 A text is cut into words by the public byte-level pattern. Words that the worker has not met are
 encoded together: their byte symbols lie in one flat array, each round finds the rank of every adjacent
 pair by binary search over the sorted pair keys, takes the lowest rank of each word with a segmented
-minimum, and merges its occurrences from left to right; finished words leave the array. Words longer
-than LONG_WORD symbols, whose rounds would be many, are merged with a heap instead (same result).
+minimum, and merges its occurrences from left to right; finished words leave the array. A word takes as
+many rounds as it has different merges, so a very long one without a break takes long, but the same way.
+Decoding gathers the bytes of all ids at once from one table.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; the special string of the
 vocabulary is one id wherever it stands, as in the tokenizers library; repeated rows stay repeated rows.
@@ -13,7 +14,6 @@ vocabulary is one id wherever it stands, as in the tokenizers library; repeated
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import slices, texts_of
 
 VOCABULARY = "byte_bpe_50k.json"
-LONG_WORD = 512
 CACHED_WORDS = 200_000
 #: For texts of these characters alone the standard library's classes mean the same as the pattern's, and are faster.
 PLAIN = re.compile("[^\t\n\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f\u2010-\u2027\u2030-\u205e]")
@@ -67,6 +66,11 @@ class ByteBpe:
         self.keys, self.ranks, self.made_by_rank = keys[order], order.astype(np.int64), made
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.lengths = np.zeros(max(self.bytes_of) + 1, np.int64)
+        for i, b in self.bytes_of.items():
+            self.lengths[i] = len(b)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.table = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(self.lengths))), np.uint8)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge ranks of pairs by binary search; NONE where there is no merge."""
@@ -77,13 +81,10 @@ class ByteBpe:
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one flat array, and the number of ids of each word."""
         size = np.array([len(w) for w in words], np.int64)
-        long = np.flatnonzero(size > LONG_WORD)
-        done = [(np.array([i]), np.array([len(x)]), x) for i in long for x in [self._by_heap(words[i])]]
-        batch = np.flatnonzero((size > 0) & (size <= LONG_WORD))
-        if len(batch):
-            done += self._rounds(batch, [words[i] for i in batch])
-        if not done:
+        batch = np.flatnonzero(size > 0)
+        if not len(batch):
             return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        done = self._rounds(batch, [words[i] for i in batch])
         own, count, flat = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(own, kind="stable")
         start = (np.cumsum(count) - count)[order]
@@ -139,28 +140,13 @@ class ByteBpe:
         rank[first + size - 1] = NONE
         return rank
 
-    def _by_heap(self, word: bytes) -> np.ndarray:
-        sym = self.start[np.frombuffer(word, np.uint8)].tolist()
-        n = len(sym)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        ranks = self.rank(np.array(sym[:-1]), np.array(sym[1:])).tolist()
-        heap = [(r, i, sym[i], sym[i + 1]) for i, r in enumerate(ranks) if r != NONE]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i] if sym[i] is not None else -1
-            if j < 0 or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], sym[j] = int(self.made_by_rank[r]), None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0:
-                    got = int(self.rank(np.array([sym[x]]), np.array([sym[y]]))[0])
-                    if got != NONE:
-                        heapq.heappush(heap, (got, x, sym[x], sym[y]))
-        return np.array([s for s in sym if s is not None], np.int64)
+    def decode(self, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """The bytes of each sequence of ids in a flat array."""
+        size = self.lengths[ids]
+        end = np.append(0, np.cumsum(size))
+        flat = self.table[np.repeat(self.begins[ids] - end[:-1], size) + np.arange(end[-1])].tobytes()
+        at = end[off].tolist()
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def parts(self, text: str) -> list[str]:
         """Words and special strings of a text, in order."""
@@ -174,8 +160,7 @@ class ByteBpe:
 
 
 class Codec:
-    """Encoder with a bounded memory of words. A word is known by its ids as text and the bytes that its
-    ids decode to."""
+    """Encoder with a bounded memory of words. A word is known by its ids, as text and as 32-bit integers."""
 
     def __init__(self, path: str):
         self.bpe = ByteBpe(path)
@@ -183,42 +168,47 @@ class Codec:
         self.clear()
 
     def clear(self) -> None:
-        self.words = {s: (str(i), self.bpe.bytes_of[i]) for s, i in self.bpe.special.items()}
+        self.words = {s: (str(i), np.int32(i).tobytes()) for s, i in self.bpe.special.items()}
 
     def learn(self, new: list[str]) -> None:
         flat, sizes = self.bpe.encode_words([w.encode() for w in new])
-        ids = flat.tolist()
-        names, plain = list(map(self.names.__getitem__, ids)), list(map(self.bpe.bytes_of.__getitem__, ids))
+        names, data = list(map(self.names.__getitem__, flat.tolist())), flat.astype("<i4").tobytes()
         at = 0
         for w, n in zip(new, sizes.tolist(), strict=True):
-            self.words[w] = (",".join(names[at : at + n]), b"".join(plain[at : at + n]))
+            self.words[w] = (",".join(names[at : at + n]), data[4 * at : 4 * (at + n)])
             at += n
 
     def known(self, texts: list[str]) -> list[list[tuple[str, bytes]]]:
         """For each text the entries whose ids, in order, are its ids."""
         parts = [self.bpe.parts(t) for t in texts]
-        out = [list(map(self.words.get, p)) for p in parts]
-        new = {w for p, o in zip(parts, out, strict=True) if None in o for w, e in zip(p, o, strict=True) if e is None}
+        every = set().union(*parts)
+        new = every.difference(self.words)
         if new:
             if len(self.words) + len(new) > CACHED_WORDS:
                 self.clear()
-                new = set().union(*parts).difference(self.words)
+                new = every.difference(self.words)
             self.learn(list(new))
-            out = [o if None not in o else list(map(self.words.__getitem__, p)) for p, o in zip(parts, out, strict=True)]
-        return out
+        return [list(map(self.words.__getitem__, p)) for p in parts]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.fromstring(",".join([e[0] for e in found]), np.int32, sep=",") for found in self.known(texts)]
-
-    @staticmethod
-    def digests(found: list[tuple[str, bytes]]) -> tuple[int, str, str]:
-        """Number of ids, hash of the ids as text, hash of what they decode to."""
-        names, plain = zip(*found, strict=True) if found else ((), ())
-        ids, text = ",".join(names).encode(), b"".join(plain).decode("utf-8", "replace").encode()
-        return ids.count(b",") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(text).hexdigest()
-
-    def decode(self, ids: list[int] | np.ndarray) -> str:
-        return b"".join(map(self.bpe.bytes_of.__getitem__, map(int, ids))).decode("utf-8", "replace")
+        return [np.frombuffer(b"".join([e[1] for e in found]), "<i4") for found in self.known(texts)]
+
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Number of ids, hash of the ids as text, hash of the text that the ids decode to."""
+        names, data = [], []
+        for found in self.known(texts):
+            a, b = zip(*found, strict=True) if found else ((), ())
+            names.append(",".join(a).encode())
+            data.append(b"".join(b))
+        ids = np.frombuffer(b"".join(data), "<i4")
+        off = np.cumsum([0, *(len(x) // 4 for x in data)])
+        texts = self.bpe.decode(ids, off)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        return [(int(n), sha(a), sha(t.decode("utf-8", "replace").encode())) for n, a, t in zip(np.diff(off), names, texts, strict=True)]
+
+    def decode(self, sequences: list[list[int] | np.ndarray]) -> list[str]:
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in sequences)])
+        return [t.decode("utf-8", "replace") for t in self.bpe.decode(ids, np.cumsum([0, *map(len, sequences)]))]
 
 
 @lru_cache(2)
@@ -243,7 +233,7 @@ def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [codec(path).decode(x or []) for x in batch.column(1).to_pylist()]
+            texts = codec(path).decode([x or [] for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return tokens.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
@@ -256,7 +246,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codec(path)
         for batch in slices(batches, "text", 1 << 20):
-            made = [known.digests(found) for found in known.known(texts_of(batch))]
+            made = known.digests(texts_of(batch))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*made, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True))],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
