@@ -14,7 +14,7 @@ Defined cases: lines end at line feeds; a passage has a line that is not of whit
 at the edges of a passage go only where one pair has them too; a null text has no lines; a text that loses
 all lines is empty; rows that repeat a doc_id count as one document in order of their text's hash; copies
 of one row do not delete from each other; rows without a doc_id keep all lines; extra columns stay, whatever
-their names (added ones begin with an underscore).
+their names.
 """
 
 from __future__ import annotations
@@ -28,20 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, mix64, written
+from .common import SequenceHash, unused, written
 
 MIN_BYTES = 64
 
 
-class LineHash(RollingHash):
-    """Hashes of ranges of lines, from the lines' hashes."""
-
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        self.table = mix64(data.view(np.uint64))
-        return super().prefix(np.arange(len(data)))
-
-
-RANGE_HASH = LineHash(21)
+RANGE_HASH = SequenceHash(21)
 
 
 def unique_matches(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
@@ -162,13 +154,15 @@ def _deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lines_removed(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with the deleted lines' places in `_gone` (null where none)."""
-    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    """The documents, all columns, with the deleted lines' places in the column that gone_name gives (null
+    where none)."""
+    key, d, k, gone_as = (unused(x, docs.columns) for x in ("_row_key", "_d", "_k", "_gone"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     split = F.split(F.col("text"), "\n")
     hashed = F.transform(split, lambda x: F.xxhash64(x))
     sizes = F.transform(split, lambda x: F.octet_length(x))
     blank = F.transform(split, lambda x: F.trim(F.translate(x, "\t\r", "  ")) == "")
-    known = keyed.filter("text is not null and doc_id is not null").select("doc_id", F.col("_row_key").alias("row_key"), hashed.alias("hashes"), sizes.alias("sizes"), blank.alias("blank"))
+    known = keyed.filter("text is not null and doc_id is not null").select("doc_id", F.col(key).alias("row_key"), hashed.alias("hashes"), sizes.alias("sizes"), blank.alias("blank"))
     rows = written(known.dropDuplicates(["doc_id", "row_key"]), "line-hashes")
     held_by = rows.mapInArrow(_passages, "doc_id long, row_key long, passage long")
     holders = held_by.groupBy("passage").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("n")).filter("n > 1")
@@ -177,19 +171,27 @@ def lines_removed(docs: DataFrame) -> DataFrame:
     earlier = rows.select(F.col("doc_id").alias("e_id"), F.col("row_key").alias("e_key"), F.col("hashes").alias("earlier"))
     both = pairs.join(earlier, ["e_id", "e_key"]).drop("e_id", "e_key").join(rows.drop("blank"), ["doc_id", "row_key"])
     gone = both.select("doc_id", "row_key", "hashes", "sizes", "earlier").mapInArrow(_deleted, "doc_id long, row_key long, gone array<int>").filter("size(gone) > 0")
-    gone = gone.groupBy(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"))
-    out = keyed.join(gone, (F.col("_row_key") == F.col("_k")) & (F.col("doc_id") == F.col("_d")), "left")
-    return out.select(*docs.columns, "_gone")
+    gone = gone.groupBy(F.col("doc_id").alias(d), F.col("row_key").alias(k)).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias(gone_as))
+    out = keyed.join(gone, (F.col(key) == F.col(k)) & (F.col("doc_id") == F.col(d)), "left")
+    return out.select(*docs.columns, gone_as)
+
 
+def gone_name(docs: DataFrame) -> str:
+    return unused("_gone", docs.columns)
 
-def kept_text():
-    """What is left of `text` beside the `_gone` lines."""
-    keep = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> not array_contains(_gone, i)), '\\n')")
-    return F.when(F.col("_gone").isNull(), F.col("text")).otherwise(keep)
+
+def kept_text(gone: str = "_gone"):
+    """What is left of `text` beside the lines of the gone column."""
+    keep = F.expr(f"transform(array(split(text, '\\n')), x -> array_join(transform(array_except(sequence(0, size(x) - 1), `{gone}`), i -> x[i]), '\\n'))[0]")
+    return F.when(F.col(gone).isNull(), F.col("text")).otherwise(keep)
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with the deleted lines taken out of `text`, and their number as
-    `_n_removed`."""
-    out = lines_removed(docs)
-    return out.select(*[kept_text().alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_removed"))
+    """The documents, all columns, with the deleted lines taken out of `text`, and their number in the column
+    that removed_name gives."""
+    out, gone = lines_removed(docs), gone_name(docs)
+    return out.select(*[kept_text(gone).alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(removed_name(docs)))
+
+
+def removed_name(docs: DataFrame) -> str:
+    return unused("_n_removed", docs.columns)
