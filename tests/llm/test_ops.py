@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from quantloom.llm import bpe, components, embeddings, grouping, linededup, media, minhash, mixing, quality, repeats, sharding, tokenout
 
+NAMES = ["_gone", "_Row_Key", "_n_removed", "_d", "_k", "_place", "_uses", "_epoch", "_order", "_cut", "_epochs", "_source_key", "_gone_id"]
 EXTRA = "gone string, epoch string, component string, hashes string, media string, shard string, bytes string, n string"
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}"
 rng = np.random.default_rng(5)
@@ -62,13 +63,24 @@ def test_bpe_is_the_library(docs, none):
     assert all(back[i] == t for i, t in all_texts(docs))
 
 
-def test_bpe_rounds_equal_heap():
+def test_bpe_rounds_of_any_length():
+    """One merge after another, and the library, for words of one to some thousand bytes."""
     b = bpe.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
-    words = [w.encode() for w in WORDS[:300]] + [b"aaaaaaa", b"ababababa", b"the" * 40]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    words = [w.encode() for w in WORDS[:300]] + [b"aaaaaaa", b"ababababa", b"the" * 40, b"abcd" * 900, "é日".encode() * 300]
+    words.append(bytes(np.random.default_rng(1).integers(97, 123, 3000, np.uint8)))
     flat, sizes = b.encode_words(words)
+    rank = {(int(k) // b.width, int(k) % b.width): int(r) for k, r in zip(b.keys, b.ranks)}
     at = 0
     for w, n in zip(words, sizes):
-        assert flat[at : at + n].tolist() == (b._by_heap(w).tolist() if len(w) > 1 else [b.start[w[0]]])
+        got = flat[at : at + n].tolist()
+        assert b.decode(flat[at : at + n], np.array([0, n])) == [w] and got == library.encode(w.decode(), add_special_tokens=False).ids
+        if len(w) < 50:
+            sym = [int(b.start[x]) for x in w]
+            while found := [(rank[p], i) for i, p in enumerate(zip(sym, sym[1:])) if p in rank]:
+                r, i = min(found)
+                sym[i : i + 2] = [int(b.made_by_rank[r])]
+            assert got == sym
         at += n
 
 
@@ -168,17 +180,43 @@ def plain_repeats(texts, length):
     return [np.frombuffer(t, np.uint8)[~d].tobytes() for t, d in zip(texts, drop)]
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_repeats(docs, none, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("bucket", [1 << 17, 1])
+def test_repeats(docs, none, monkeypatch, bucket):
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", bucket)  # with 1 every range is cut down to single strings
     rows = all_texts(docs)
     want = sorted((str(i), k) for (i, _), k in zip(rows, plain_repeats([t.encode() for _, t in rows], 400)))
     got = repeats.without_repeats(docs).collect()
     assert sorted((str(r.doc_id), bytes(r.kept)) for r in got) == want
     assert all(r.n_bytes - r.n_removed == len(r.kept) for r in got)
+    known = {}  # rows that repeat an id and a text are one
+    for i, t in set(rows):
+        w = t.lower().split()
+        for k in range(len(w) - 50):
+            known.setdefault(tuple(w[k : k + 51]), set()).add((i, t))
+    sure = {str(i) for at in known.values() if len(at) > 1 for i, _ in at}
+    assert {str(r.doc_id) for r in got if r.in_passage} == sure and sure
     assert repeats.without_repeats(none).count() == 0
 
 
+def test_repeats_among_mixed_contexts(spark, monkeypatch):
+    """Passages of about the length between unlike neighbours, which many texts share."""
+    r = np.random.default_rng(11)
+    parts = [prose(n, 50 + n).encode()[:n] for n in (399, 400, 401, 430, 520, 900)]
+    texts = []
+    for k in range(120):
+        x = b""
+        for j in r.integers(0, len(parts), r.integers(1, 4)):
+            at = int(r.integers(0, 60))
+            x += bytes(r.integers(97, 123, int(r.integers(0, 90)), np.uint8)) + parts[j][at if k % 3 else 0 :]
+        texts.append(x.decode("utf-8", "ignore"))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = plain_repeats([t.encode() for t in texts], 400)
+    for bucket in (1 << 17, 4000):
+        monkeypatch.setattr(repeats, "BUCKET_BYTES", bucket)
+        got = {x.doc_id: bytes(x.kept) for x in repeats.without_repeats(table).collect()}
+        assert got == dict(enumerate(want))
+
+
 def test_suffix_array():
     for seed in range(300):
         r = np.random.default_rng(seed)
@@ -262,26 +300,42 @@ def test_mixing(spark, docs, none):
     assert (of(x)[0] * 1110 / np.array([1000, 100, 10])).max() == pytest.approx(4, abs=1e-5)
 
     many = spark.createDataFrame([(i, prose(20 + i % 7, i), "big" if i % 10 else "small", i) for i in range(400)], "doc_id long, text string, source string, _epoch2 long")
-    rows, use = mixing.plan(many)
-    plan = {r.s: r for r in use.collect()}
-    assert sum(r.weight for r in plan.values()) == pytest.approx(1)
-    place = {r.doc_id: (r._place, r.source) for r in rows.collect()}
-    uses = {i: 0 for i in place}
-    for r in mixing.mixed(many).collect():
-        uses[r.doc_id] += 1
-    for s, p in plan.items():
-        order = sorted((pl, i) for i, (pl, src) in place.items() if src == s)
-        done, want = 0, {}
-        for _, i in order:
-            want[i] = p.epochs + (done < p.rest)
-            done += 20 + i % 7
-        assert {i: uses[i] for _, i in order} == want
-    assert mixing.mixed(none).count() == 0
+    mix = {r.s: r for r in mixing.plan(mixing.measured(many)).collect()}
+    size = {i: 20 + i % 7 for i in range(400)}
+    source = {i: "big" if i % 10 else "small" for i in size}
+    all_ = {s: sum(n for i, n in size.items() if source[i] == s) for s in ("big", "small")}
+    w = {s: mix[s].weight for s in all_}
+    assert sum(w.values()) == pytest.approx(1) and -sum(x * np.log(x) for x in w.values()) == pytest.approx(0.9 * np.log(2), abs=1e-4)
+    got = mixing.permuted(many).collect()
+    for s in all_:
+        times = w[s] * sum(all_.values()) / all_[s]
+        assert abs(sum(r.n_tokens for r in got if r.source == s) - times * all_[s]) <= 27
+        epochs = [sorted((r.position, r.doc_id) for r in got if r.source == s and r.epoch == e) for e in range(int(times) + 1)]
+        for e, rows in enumerate(epochs):
+            assert [p for p, _ in rows] == list(range(len(rows))) and len({i for _, i in rows}) == len(rows)
+            assert e == int(times) or {i for _, i in rows} == {i for i in size if source[i] == s}
+        if len(epochs) > 1 and min(map(len, epochs[:2])) > 20:
+            assert [i for _, i in epochs[0]][:20] != [i for _, i in epochs[1]][:20]
+    out = mixing.mixed(many)
+    epoch, order = mixing.used_names(many)
+    rows = sorted((r.source, r[epoch], r[order], r.doc_id) for r in out.collect())
+    assert [(s, e, i) for s, e, _, i in rows] == [(r.source, r.epoch, r.doc_id) for r in sorted(got, key=lambda r: (r.source, r.epoch, r.position))]
+    assert mixing.mixed(none).count() == 0 and mixing.permuted(none).count() == 0
     out = mixing.mixed(docs)
-    assert out.columns == [*docs.columns, "_epoch"] and out.filter("source is null").count() > 0
+    assert out.columns == [*docs.columns, "_epoch", "_order"] and out.filter("source is null").count() > 0
+    assert mixing.permuted(docs).count() == out.count()
     assert [r.t for r in spark.createDataFrame([("a  b\tc\n",), ("",), (None,)], "text string").select(mixing.tokens().alias("t")).collect()] == [3, 0, 0]
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_clashing_names(docs, empty):
+    """Columns named like those that the operators add for themselves come out as they were."""
+    table = docs.select("doc_id", "text", "source", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(NAMES)]).limit(0 if empty else 100)
+    for out in (linededup.without_repeated_lines(table), minhash.deduplicated(table), mixing.mixed(table)):
+        assert out.columns[: len(table.columns)] == table.columns
+        assert empty == (not out.count()) and all([r[c] for c in NAMES] == list(range(len(NAMES))) for r in out.collect())
+
+
 # ------------------------------------------------------------------ 6
 
 
@@ -295,6 +349,14 @@ def test_token_files(spark, docs, none, tmp_path):
     assert sorted(map(tuple, tokenout.tokens_round_trip(docs).collect()), key=lambda r: r[1]) == want
     assert tokenout.tokens_round_trip(none).count() == 0
     tokenout.write_tokens(docs, str(tmp_path / "t"))
+    orc, conf = spark._jvm.org.apache.orc, spark._jsc.hadoopConfiguration()
+    for f in (tmp_path / "t").glob("*.orc"):
+        reader = orc.OrcFile.createReader(spark._jvm.org.apache.hadoop.fs.Path(str(f)), orc.OrcFile.readerOptions(conf))
+        for k in range(reader.getStripes().size()):
+            footer = reader.rows().readStripeFooter(reader.getStripes().get(k))
+            streams = [(x.getKind().toString(), x.getColumn()) for x in (footer.getStreams(j) for j in range(footer.getStreamsCount()))]
+            assert ("BLOOM_FILTER_UTF8", 1) in streams and ("ROW_INDEX", 1) in streams
+            assert footer.getColumns(footer.getColumnsCount() - 1).getKind().toString() == "DIRECT_V2"  # run lengths of integers
     one = tokenout.read_tokens(spark, str(tmp_path / "t")).filter("doc_id = 9")
     assert one.count() == 1 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,9)]" in one._jdf.queryExecution().toString()
 
@@ -313,6 +375,12 @@ def test_shards(spark, docs, none):
         got = sharding.sharded(even, n).groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("m"), F.count_distinct("slot").alias("d")).collect()
         sizes = [r.b for r in got]
         assert len(got) == n and max(sizes) - min(sizes) <= 0.01 * max(sizes) and all(r.m + 1 == r.n == r.d for r in got)
+    texts = [f"text {i // 5 if i < 2000 else i}" * (1 + i // 5 % 40 if i < 2000 else 1 + i % 40) for i in range(8000)]
+    copied = spark.createDataFrame([(i * 7919 % 8000, t, f"l{i % 4}", f"s{i % 5}", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sharding.sharded(copied)
+    assert got.groupBy("size", "text_crc32").agg(F.count_distinct("shard").alias("n")).agg(F.max("n")).first()[0] == 1
+    sizes = [r.b for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) <= 0.01 * max(sizes)
     same = even.withColumn("text", F.lit("equal")).withColumn("source", F.lit("s"))
     assert sorted(r["count"] for r in sharding.sharded(same).groupBy("shard").count().collect()) == [500] * 8
 
@@ -321,7 +389,7 @@ def test_shards(spark, docs, none):
 
 
 def test_media(docs, none):
-    stored = media.text_media(docs)
+    stored = media.stored(docs)
     rows = media.media_features(stored).collect()
     texts = dict(all_texts(docs))
     for r in rows:
@@ -355,8 +423,7 @@ def test_media_filters_and_damage():
 # ------------------------------------------------------------------ 9
 
 
-def test_vectors(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "BLOCK", 8)
+def test_vectors(spark):
     r = np.random.default_rng(2)
     centre = r.normal(size=(3, 16))
     v = [c + r.normal(scale=0.05, size=16) for c in centre for _ in range(25)] + list(r.normal(size=(40, 16)))
@@ -373,8 +440,9 @@ def test_vectors(spark, monkeypatch):
     assert embeddings.near_vectors(table.limit(0)).count() == 0
 
 
-def test_every_link_of_a_hot_label(spark):
-    """6000 vectors with a common direction, of two lengths: no pair is missed."""
+def test_links_of_a_hot_label(spark, monkeypatch):
+    """6000 vectors with a common direction, of two lengths: no link is missed while two blocks cover a label,
+    and few are in many passes with narrow windows."""
     r = np.random.default_rng(3)
     rows = []
     for d in (16, 24):
@@ -386,8 +454,23 @@ def test_every_link_of_a_hot_label(spark):
         m = np.stack(rows[at : at + 3000])
         link += [(at + a, at + b) for a, b in np.argwhere(np.triu(m @ m.T >= 0.98, 1)).tolist()]
     top, n = plain_components(link, range(len(rows))), np.bincount(np.array(link).ravel(), minlength=len(rows))
-    got = embeddings.near_vectors(table).collect()
-    assert len(link) > 1000 and sorted((x.vec_id, x.n_links, x.component_id) for x in got) == [(i, n[i], top[i]) for i in range(len(rows))]
+    for block in (2048, 128):
+        monkeypatch.setattr(embeddings, "BLOCK", block)
+        got = sorted((x.vec_id, x.n_links, x.component_id) for x in embeddings.near_vectors(table).collect())
+        if block == 2048:
+            assert len(link) > 1000 and got == [(i, n[i], top[i]) for i in range(len(rows))]
+        assert all(k <= n[i] and c >= top[i] for i, k, c in got) and sum(k for _, k, _ in got) >= 0.95 * n.sum()
+
+
+def test_blocks_follow_the_signatures(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 10)
+    r = np.random.default_rng(4)
+    rows = [(lab, 4, i, r.integers(-50, 50, 3).tolist()) for i, lab in enumerate(r.integers(0, 3, 400).tolist())]
+    got = {(x.label, x.id): x.blocks for x in embeddings.blocks_of(spark.createDataFrame(rows, "label long, dim int, id long, signs array<long>")).collect()}
+    for lab in range(3):
+        for p in range(3):
+            order = sorted((s[p], i) for label, _, i, s in rows if label == lab)
+            assert all(got[lab, i][p] == k // 10 for k, (_, i) in enumerate(order))
 
 
 # ------------------------------------------------------------------ 10
