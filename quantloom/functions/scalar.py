@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 DAYS = 252
@@ -63,9 +63,8 @@ def normalised_price(price, unit) -> Column:
 
 
 def canonical_hash(*columns: str) -> Column:
-    """SHA-256 of the columns' names and values in name order, as one fixed text."""
-    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(columns)]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    """SHA-256 of the columns as compact JSON with sorted names; every value is a string or null."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
 
 
 def risk_profile(horizon, liquidity, loss, experience) -> tuple[Column, Column]:
@@ -77,3 +76,24 @@ def risk_profile(horizon, liquidity, loss, experience) -> tuple[Column, Column]:
 
 def valid_id(x) -> Column:
     return F.coalesce(F.rlike(col(x), F.lit(r"^[A-Z0-9_-]{1,64}$")), F.lit(False))
+
+
+def finite_positive(x) -> Column:
+    x = col(x)
+    return F.coalesce(~F.isnan(x) & (x > 0) & (x < F.lit(float("inf"))), F.lit(False))
+
+
+def percentage_points(change) -> Column:
+    """A change of weight in points, to one place."""
+    return F.round(col(change) * 1000) / 10
+
+
+def target_capital(capital, weight, group: str) -> tuple[Column, Column]:
+    """Capital by weight, and its total over the group."""
+    target = col(weight) * col(capital)
+    return target, F.sum(target).over(Window.partitionBy(group))
+
+
+def as_text(values) -> Column:
+    """Numbers of an array as text, as they are kept without loss."""
+    return F.transform(col(values), lambda x: x.cast("string"))

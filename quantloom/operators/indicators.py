@@ -124,12 +124,13 @@ def market_features(market: DataFrame) -> DataFrame:
     return r.select("d", *back, F.when(F.count("_r").over(win) == 20, F.stddev_samp("_r").over(win)).alias("market_vol_20"))
 
 
-def ranking_features(panel: DataFrame, market: DataFrame) -> DataFrame:
+def ranking_features(panel: DataFrame, market: DataFrame, digits: int = 12) -> DataFrame:
     """The cross-sectional feature frame: momenta, volatilities, RSI, MACD histogram, %B, market features
-    and their ranks within the day."""
+    and their ranks within the day; momenta and volatilities to so many places, so that ranks do not hang on
+    the last bits."""
     own = rsi(returns(recursive_averages(panel)), 14)
     own = own.select(
-        "asset", "d", "rn", *[momentum(n).alias(f"momentum_{n}") for n in (5, 20, 60)], volatility(20).alias("vol_20"), volatility(60).alias("vol_60"), "rsi", "macd_hist", percent_b(20).alias("pct_b"),
+        "asset", "d", "rn", *[F.round(momentum(n), digits).alias(f"momentum_{n}") for n in (5, 20, 60)], *[F.round(volatility(n), digits).alias(f"vol_{n}") for n in (20, 60)], "rsi", "macd_hist", percent_b(20).alias("pct_b"),
     )
     both = own.join(F.broadcast(market_features(market)), "d", "left")
     both = both.withColumns({f"rank_momentum_{n}": percentile_rank(f"momentum_{n}") for n in (5, 20, 60)} | {"rank_vol": percentile_rank("vol_20")})

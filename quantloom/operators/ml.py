@@ -49,7 +49,7 @@ def ensemble_forecasts(rows: DataFrame, features: list[str], members: int = 5, l
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn").dropna(subset=features)
         train, valid, last = (pdf[pdf["fold"] == f] for f in ("train", "validation", "latest"))
-        empty = pd.DataFrame({"asset": [], "rn": [], "pred": [], "std": [], "n_train": [], "trees": []})
+        empty = pd.DataFrame({"asset": [], "rn": [], "pred": [], "std": [], "n_train": [], "trees": []}, dtype=object)
         if len(train) < least or not len(last):
             return empty
         x = train[features].to_numpy(float)
@@ -70,21 +70,24 @@ def ensemble_forecasts(rows: DataFrame, features: list[str], members: int = 5, l
     return rows.groupBy("asset").applyInPandas(run, "asset string, rn long, pred double, std double, n_train long, trees long")
 
 
-def ranker_scores(rows: DataFrame, features: list[str], members: int = 3, rounds: int = 50) -> DataFrame:
+def ranker_scores(rows: DataFrame, features: list[str], members: int = 5, rounds: int = 200) -> DataFrame:
     """Per decision t, from its training rows (t, d, asset, grade, features) and scoring rows (grade null):
-    mean score and deviation of pairwise-boosted members. Rows with a missing feature give none."""
+    mean score and population deviation of pairwise-boosted members. Rows with a missing feature give none. Each
+    member of each decision is a group of its own."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=features)
         train, new = pdf[pdf["grade"].notna()], pdf[pdf["grade"].isna()]
         if train["d"].nunique() < 2 or len(new) < 2:
-            return pd.DataFrame({"t": [], "asset": [], "score": [], "std": []})
+            return pd.DataFrame({"t": [], "asset": [], "score": []}, dtype=object)
         x, z = train[features].to_numpy(float), new[features].to_numpy(float)
         gradient = pairwise_gradient(train["grade"].to_numpy(float), pd.factorize(train["d"])[0])
-        s = np.stack([BoostedTrees(rounds, depth=3, rate=0.1, rows=0.8, seed=42 + i).fit(x, train["grade"].to_numpy(float), gradient=gradient).predict(z) for i in range(members)])
-        return pd.DataFrame({"t": pdf["t"].iloc[0], "asset": new["asset"].to_numpy(), "score": s.mean(axis=0), "std": s.std(axis=0)})
+        model = BoostedTrees(rounds, depth=4, rate=0.05, rows=0.8, seed=42 + int(pdf["member"].iloc[0])).fit(x, train["grade"].to_numpy(float), gradient=gradient)
+        return pd.DataFrame({"t": pdf["t"].iloc[0], "asset": new["asset"].to_numpy(), "score": model.predict(z)})
 
-    return rows.groupBy("t").applyInPandas(run, "t long, asset string, score double, std double")
+    each = rows.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(members - 1))))
+    scores = each.groupBy("t", "member").applyInPandas(run, "t long, asset string, score double")
+    return scores.groupBy("t", "asset").agg(F.avg("score").alias("score"), F.stddev_pop("score").alias("std"))
 
 
 def ensemble_confidence(std: str = "std"):

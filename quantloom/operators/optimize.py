@@ -3,11 +3,12 @@ spread over the cluster by grouped maps."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -134,16 +135,58 @@ def allocate(strategy: str, assets: list[str], mu, cov, policy: Policy, market=N
     return mean_variance(mu, cov, assets, policy)
 
 
-def solved(moments: DataFrame, policy: Policy, strategy: str = "MVO", prune: float = 0.01) -> DataFrame:
+def solved(moments: DataFrame, policy: Policy, strategy: str = "MVO", prune: float = 0.01, views: DataFrame | None = None, tight: DataFrame | None = None, tight_aversion: float = 5.0) -> DataFrame:
     """Weights (strategy, rn, asset, w) of each decision from rows (rn, a, b, mean, cov): mean of a and
-    covariance of a with b. One small matrix per group."""
+    covariance of a with b. views: one row per decision (t, names, assets, p, q, conf), see views.matrices; rows
+    of P whose legs are not all among the decision's assets go. tight: decisions (rn) that take the higher
+    aversion. One small matrix per group."""
+    rows = moments.select("rn", "a", "b", "mean", "cov")
+    if tight is not None:
+        rows = rows.join(tight.select("rn", F.lit(True).alias("tight")), "rn", "left")
+    else:
+        rows = rows.withColumn("tight", F.lit(None).cast("boolean"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, seen: pd.DataFrame | None = None) -> pd.DataFrame:
         assets = sorted(pdf["a"].unique())
         cov = pdf.pivot(index="a", columns="b", values="cov").loc[assets, assets].to_numpy()
         mu = pdf.groupby("a")["mean"].first().loc[assets].to_numpy()
-        w = allocate(strategy, assets, mu, cov, policy, p=[], q=[], conf=[])
+        p, q, conf = _views_of(seen, assets)
+        own = replace(policy, risk_aversion=tight_aversion) if pdf["tight"].iloc[0] is True or pdf["tight"].iloc[0] == 1 else policy
+        w = allocate(strategy, assets, mu, cov, own, p=p, q=q, conf=conf)
         w = pruned(w, np.isin(assets, policy.defensive), policy, prune)
         return pd.DataFrame({"strategy": strategy, "rn": pdf["rn"].iloc[0], "asset": assets, "w": w})
 
-    return moments.groupBy("rn").applyInPandas(run, "strategy string, rn long, asset string, w double")
+    schema = "strategy string, rn long, asset string, w double"
+    if views is None:
+        return rows.groupBy("rn").applyInPandas(lambda pdf: run(pdf), schema)
+    packed = views.select(F.col("t").alias("rn"), "assets", "p", "q", "conf").join(moments.select("rn").distinct(), "rn", "left_semi")
+    return rows.groupBy("rn").cogroup(packed.groupBy("rn")).applyInPandas(lambda pdf, seen: run(pdf, seen), schema)
+
+
+def posteriors(moments: DataFrame, views: DataFrame, tau: float = 0.05, delta: float = 2.5) -> DataFrame:
+    """Equilibrium returns of equal weights and their update by the decision's views (rn, asset, prior, posterior),
+    with the covariance as it is."""
+
+    def run(pdf: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        assets = sorted(pdf["a"].unique())
+        cov = pdf.pivot(index="a", columns="b", values="cov").loc[assets, assets].to_numpy()
+        pi, mu = posterior(cov, np.full(len(assets), 1 / len(assets)), *_views_of(seen, assets), tau, delta)
+        return pd.DataFrame({"rn": pdf["rn"].iloc[0], "asset": assets, "prior": pi, "posterior": mu})
+
+    packed = views.select(F.col("t").alias("rn"), "assets", "p", "q", "conf").join(moments.select("rn").distinct(), "rn", "left_semi")
+    return moments.select("rn", "a", "b", "cov").groupBy("rn").cogroup(packed.groupBy("rn")).applyInPandas(run, "rn long, asset string, prior double, posterior double")
+
+
+def _views_of(seen: pd.DataFrame | None, assets: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P in the order of the assets, Q and confidences."""
+    if seen is None or not len(seen):
+        return np.zeros((0, len(assets))), np.zeros(0), np.zeros(0)
+    one = seen.iloc[0]
+    p = np.array([np.asarray(x, float) for x in one["p"]]).reshape(-1, len(one["assets"]))
+    at = {a: i for i, a in enumerate(one["assets"])}
+    mine = [at[a] for a in assets if a in at]
+    outside = np.delete(p, mine, axis=1)
+    keep = ~(outside != 0).any(axis=1)
+    out = np.zeros((int(keep.sum()), len(assets)))
+    out[:, [i for i, a in enumerate(assets) if a in at]] = p[keep][:, mine]
+    return out, np.asarray(one["q"], float)[keep], np.asarray(one["conf"], float)[keep]

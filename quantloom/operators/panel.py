@@ -85,6 +85,12 @@ def asof(facts: DataFrame, moments: DataFrame) -> DataFrame:
     return left.union(right).withColumn("fact", F.max("fact").over(upto)).filter("kind = 1").select("asset", "decision_at", "fact.observed_at", "fact.available_at", "fact.px")
 
 
+def sessions_after(days: DataFrame, n: int) -> DataFrame:
+    """Each session (d) with the n-th one after it (later; null at the end)."""
+    one = days.select("d").distinct()
+    return one.withColumn("later", F.lead("d", n).over(Window.orderBy("d")))
+
+
 def available_at(kind, observed, fifth_session=None, published=None) -> Column:
     """Stocks: the same day at 18:00. Gold: the next day at 00:00. Funds: the fifth session after it at
     18:00, or when the provider says, if later."""

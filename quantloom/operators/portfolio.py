@@ -58,7 +58,10 @@ def holdings(prices: DataFrame, weights: DataFrame, delay: int = 1) -> DataFrame
 def nav_drifting(prices: DataFrame, weights: DataFrame, delay: int = 1) -> DataFrame:
     """Audited path: what is not invested is cash; the path is 1 until the first execution. Inside a period
     it has a closed form; the periods' end values multiply."""
-    held = holdings(prices, weights, delay)
+    return path(holdings(prices, weights, delay))
+
+
+def path(held: DataFrame) -> DataFrame:
     growth = held.groupBy("strategy", "e", "n", "rn", "d").agg((F.sum("value") + 1 - F.sum("w")).alias("g"))
     ends = growth.filter("rn = n and n > e").select("strategy", "n", F.log("g").alias("lg"))
     chain = ends.select("strategy", F.col("n").alias("e"), F.exp(F.sum("lg").over(Window.partitionBy("strategy").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))).alias("base"))
@@ -68,27 +71,50 @@ def nav_drifting(prices: DataFrame, weights: DataFrame, delay: int = 1) -> DataF
 def turnover(prices: DataFrame, weights: DataFrame, delay: int = 1) -> DataFrame:
     """Per execution half the sum of absolute changes from the drifted weights (cash included), the traded
     notional, and whether it is the first."""
-    held = holdings(prices, weights, delay)
+    return traded(holdings(prices, weights, delay))
+
+
+def traded(held: DataFrame) -> DataFrame:
+    out = ledger(held).groupBy("strategy", "e", "d").agg(F.sum(F.abs("change")).alias("notional"), F.sum("change").alias("net"))
+    first = F.min("e").over(Window.partitionBy("strategy"))
+    return out.select("strategy", "e", "d", "notional", ((F.col("notional") + F.abs("net")) / 2).alias("turnover"), (F.col("e") == first).alias("initial"))
+
+
+def ledger(held: DataFrame) -> DataFrame:
+    """Per execution and asset the drifted weight before it, the target and the change. An asset that is held
+    but has no target any more is sold: its target is 0."""
     ends = held.filter("rn = n and n > e")
     total = F.sum("value").over(Window.partitionBy("strategy", "e")) + 1 - F.sum("w").over(Window.partitionBy("strategy", "e"))
     before = ends.select("strategy", F.col("n").alias("e"), "asset", (F.col("value") / total).alias("pre"))
     now = held.filter("rn = e").select("strategy", "e", "d", "asset", F.col("w").alias("target"))
-    both = now.join(before, ["strategy", "e", "asset"], "left").withColumn("pre", F.coalesce("pre", F.lit(0.0)))
-    out = both.groupBy("strategy", "e", "d").agg(F.sum(F.abs(F.col("target") - F.col("pre"))).alias("notional"), F.sum(F.col("target") - F.col("pre")).alias("net"))
-    first = F.min("e").over(Window.partitionBy("strategy"))
-    return out.select("strategy", "e", "d", "notional", ((F.col("notional") + F.abs("net")) / 2).alias("turnover"), (F.col("e") == first).alias("initial"))
+    days = now.groupBy("strategy", "e").agg(F.max("d").alias("day"))
+    both = now.drop("d").join(before, ["strategy", "e", "asset"], "full_outer").join(days, ["strategy", "e"])
+    pre, target = F.coalesce("pre", F.lit(0.0)), F.coalesce("target", F.lit(0.0))
+    return both.select("strategy", "e", F.col("day").alias("d"), "asset", pre.alias("pre"), target.alias("target"), (target - pre).alias("change"))
+
+
+def turnover_per_year(trades: DataFrame, n_returns: DataFrame) -> DataFrame:
+    """Per strategy the turnover of all but the first execution, to a year; n_returns is (strategy, n)."""
+    rows = trades.filter("not initial").dropDuplicates(["strategy", "e"]).groupBy("strategy").agg(F.sum("turnover").alias("total"))
+    return rows.join(n_returns, "strategy").select("strategy", (F.col("total") * DAYS / F.col("n")).alias("turnover_year"))
 
 
-def turnover_per_year(ledger: DataFrame, n_returns: int) -> DataFrame:
-    rows = ledger.filter("not initial").groupBy("strategy").agg(F.sum("turnover").alias("total"))
-    return rows.select("strategy", (F.col("total") * DAYS / n_returns).alias("turnover_year"))
+def execution_dates(panel: DataFrame, window: int = 20, every: int = 5) -> DataFrame:
+    """Of each rebalance the day of the decision, of the trade at the next close, and of the first return on it."""
+    days = panel.select("rn", "d").distinct()
+    by = Window.orderBy("rn")
+    rows = days.select("rn", F.col("d").alias("decision"), F.lead("d", 1).over(by).alias("execution"), F.lead("d", 2).over(by).alias("first_return"))
+    return rows.filter((F.col("rn") >= window) & ((F.col("rn") - window) % every == 0))
 
 
-def costs(daily: DataFrame, traded: DataFrame, bps: float) -> DataFrame:
-    """Net returns (strategy, d, g): on execution days 1 - bps * notional of the value is left."""
+def costs(daily: DataFrame, traded: DataFrame, *grid: float) -> DataFrame:
+    """Net returns (strategy, d, g) for each rate of the grid: on execution days 1 - bps * notional of the value
+    is left. A rate that leaves nothing is an error."""
     rows = daily.join(traded.groupBy("strategy", "d").agg(F.sum("notional").alias("notional")), ["strategy", "d"], "left")
-    left = 1 - F.lit(bps / 1e4) * F.coalesce("notional", F.lit(0.0))
-    return rows.select("strategy", "d", F.lit(bps).alias("bps"), ((1 + F.col("g")) * left - 1).alias("net"))
+    rows = rows.withColumn("bps", F.explode(F.array(*[F.lit(float(b)) for b in grid])))
+    left = 1 - F.col("bps") / 1e4 * F.coalesce("notional", F.lit(0.0))
+    checked = F.when(left > 0, left).otherwise(F.raise_error(F.lit("costs exceed the portfolio")).cast("double"))
+    return rows.select("strategy", "d", "bps", ((1 + F.col("g")) * checked - 1).alias("net"))
 
 
 def pruned(weights: DataFrame, least: float = 0.01) -> DataFrame:
@@ -122,3 +148,28 @@ def concentration(weights: DataFrame) -> DataFrame:
     """Per strategy the mean Herfindahl index and the mean effective number of holdings."""
     daily = weights.groupBy("strategy", "rn").agg(F.sum(F.col("w") * F.col("w")).alias("h"))
     return daily.groupBy("strategy").agg(F.avg("h").alias("hhi"), F.avg(F.when(F.col("h") > 0, div(F.lit(1.0), "h"))).alias("effective"))
+
+
+def units_replay(prices: DataFrame, weights: DataFrame, delay: int = 1) -> DataFrame:
+    """The path once more from units: shares bought at each execution for the wealth at its close, cash for the
+    rest, wealth as cash and shares times price. Wealth at executions is chained through log growth, shares
+    follow from it, so path() can be checked against it."""
+    held = holdings(prices, weights, delay)
+    px = prices.select("asset", "rn", "px")
+    at = held.filter("rn = e").select("strategy", "e", "n", "asset", "w").join(px.withColumnRenamed("rn", "e"), ["asset", "e"]).withColumnRenamed("px", "p0")
+    growth = at.join(px.select("asset", F.col("rn").alias("n"), F.col("px").alias("p1")), ["asset", "n"]).groupBy("strategy", "e", "n").agg((1 + F.sum(F.col("w") * (F.col("p1") / F.col("p0") - 1))).alias("g"))
+    wealth = growth.select("strategy", "e", F.exp(F.coalesce(F.sum(F.log("g")).over(Window.partitionBy("strategy").orderBy("e").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).alias("wealth"))
+    shares = at.join(wealth, ["strategy", "e"]).select("strategy", "e", "n", "asset", (F.col("wealth") * F.col("w") / F.col("p0")).alias("units"), (F.col("wealth") * F.col("w")).alias("spent"), "wealth")
+    days = shares.withColumn("rn", F.explode(F.sequence("e", "n"))).join(prices.select("asset", "rn", "d", "px"), ["asset", "rn"])
+    out = days.groupBy("strategy", "e", "n", "rn", "d").agg((F.max("wealth") - F.sum("spent") + F.sum(F.col("units") * F.col("px"))).alias("nav"))
+    return out.filter("rn > e or n = e").select("strategy", "rn", "d", "nav")
+
+
+def alpha_grid(mvo: DataFrame, bl: DataFrame, regimes: DataFrame, grid: list[float]) -> DataFrame:
+    """Blends of two weight sets for each coefficient that is used in the normal regime; the strategy names it."""
+    each = F.explode(F.array(*[F.lit(float(a)) for a in grid])).alias("coefficient")
+    others = F.element_at(F.create_map(*[x for k, v in ALPHA.items() for x in (F.lit(k), F.lit(v))]), F.col("regime"))
+    rows = mvo.select("rn", "asset", F.col("w").alias("a")).join(bl.select("rn", "asset", F.col("w").alias("b")), ["rn", "asset"]).join(regimes.select("rn", "regime"), "rn").select("*", each)
+    alpha = F.when(F.col("regime") == "normal", F.col("coefficient")).otherwise(others)
+    rows = rows.select(F.concat(F.lit("alpha_"), F.col("coefficient").cast("string")).alias("strategy"), "rn", "asset", F.greatest(alpha * F.col("a") + (1 - alpha) * F.col("b"), F.lit(0.0)).alias("m"))
+    return pruned(rows.withColumn("w", F.col("m") / F.sum("m").over(Window.partitionBy("strategy", "rn"))).drop("m"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, islice
 
 import numpy as np
@@ -10,13 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def best_subset(dist: np.ndarray, k: int, chunk: int = 20_000) -> tuple[tuple[int, ...], float]:
-    """The subset with the least sum of distances to the nearest member; of equal ones the first in order."""
+def best_subset(dist: np.ndarray, k: int, first: int | None = None, chunk: int = 20_000) -> tuple[tuple[int, ...], float]:
+    """The subset with the least sum of distances to the nearest member; of equal ones the first in order.
+    first: only subsets whose first member it is."""
     n = len(dist)
     if not 0 < k <= n:
         raise ValueError("k")
     best, cost = tuple(range(k)), np.inf
-    every = combinations(range(n), k)
+    every = combinations(range(n), k) if first is None else ((first, *c) for c in combinations(range(first + 1, n), k - 1))
     while some := list(islice(every, chunk)):
         total = dist[:, np.array(some)].min(axis=2).sum(axis=0)
         at = int(total.argmin())
@@ -26,15 +28,24 @@ def best_subset(dist: np.ndarray, k: int, chunk: int = 20_000) -> tuple[tuple[in
 
 
 def medoids(distances: DataFrame, k: int) -> DataFrame:
-    """Per t the chosen assets and the objective, from (t, a, b, dist)."""
+    """Per t the chosen assets and the objective, from (t, a, b, dist). Subsets are dealt by their first member, so
+    one t spreads over as many tasks as it has assets; each takes the distance matrix, whose size is the
+    square of the universe's, and gives its best."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        assets = sorted(pdf["a"].unique())
-        d = pdf.pivot(index="a", columns="b", values="dist").loc[assets, assets].to_numpy()
-        chosen, cost = best_subset(d, min(k, len(assets)))
-        return pd.DataFrame({"t": pdf["t"].iloc[0], "asset": [assets[i] for i in chosen], "objective": cost})
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            rows = []
+            for t, assets, flat, first in zip(pdf["t"], pdf["assets"], pdf["flat"], pdf["first"], strict=True):
+                n = len(assets)
+                chosen, cost = best_subset(np.asarray(flat, float).reshape(n, n), min(k, n), int(first))
+                rows.append((t, round(cost, 11), [assets[i] for i in chosen], cost))
+            yield pd.DataFrame(rows, columns=["t", "rounded", "chosen", "objective"])
 
-    return distances.groupBy("t").applyInPandas(run, "t long, asset string, objective double")
+    packed = distances.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("a", "b", "dist"))).alias("x"), F.array_sort(F.collect_set("a")).alias("assets"))
+    parts = packed.select("t", "assets", F.col("x.dist").alias("flat"), F.explode(F.sequence(F.lit(0), F.greatest(F.size("assets") - k, F.lit(0)))).alias("first"))
+    found = parts.repartition("t", "first").mapInPandas(run, "t long, rounded double, chosen array<string>, objective double")
+    best = found.groupBy("t").agg(F.min(F.struct("rounded", "chosen", "objective")).alias("m"))
+    return best.select("t", F.explode("m.chosen").alias("asset"), F.col("m.objective").alias("objective"))
 
 
 def nearest(distances: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -43,6 +54,12 @@ def nearest(distances: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.groupBy("t", F.col("a").alias("asset")).agg(F.min(F.struct("dist", "b")).alias("m")).select("t", "asset", F.col("m.b").alias("representative"), F.col("m.dist").alias("dist"))
 
 
+def objective(distances: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Per t the sum over all assets of the distance to the nearest chosen one; one distance table for all t."""
+    met = chosen.select("t", F.col("asset").alias("b")).join(distances.select("a", "b", "dist"), "b")
+    return met.groupBy("t", "a").agg(F.min("dist").alias("m")).groupBy("t").agg(F.sum("m").alias("objective"))
+
+
 def steadiest(volatility: DataFrame, k: int) -> DataFrame:
     """The k assets of least volatility per t; ties by name."""
     rank = F.row_number().over(Window.partitionBy("t").orderBy("vol", "asset"))

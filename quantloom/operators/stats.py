@@ -78,12 +78,18 @@ def volatility_ratio(returns: DataFrame, short: int = 20, longer: int = 120) ->
     return returns.select("d", *sd).groupBy("d").agg(div(F.avg("s"), F.avg("l")).alias("vol_ratio"))
 
 
+def only_in_one(a: DataFrame, b: DataFrame) -> DataFrame:
+    """How many rows, repeated ones counted, each of two runs has that the other lacks."""
+    one, two = a.exceptAll(b).select(F.lit(1).alias("x")), b.exceptAll(a).select(F.lit(2).alias("x"))
+    return one.union(two).agg(F.count_if(F.col("x") == 1).alias("only_first"), F.count_if(F.col("x") == 2).alias("only_second"))
+
+
 def hit_rate(graded: DataFrame) -> DataFrame:
     """Forecast counts and hit rate by (kind, phase) and by (kind, phase, asset)."""
-    graded.createOrReplaceTempView("_graded")
     return graded.sparkSession.sql(
-        """select kind, phase, coalesce(asset, 'Overall') as asset, count(*) as n_issued, count(correct) as n_scored,
+        """select kind, phase, case when grouping(asset) = 1 then 'Overall' else asset end as asset, count(*) as n_issued, count(correct) as n_scored,
                   count(*) - count(correct) as n_unmatured, cast(sum(cast(correct as int)) as bigint) as n_correct,
                   avg(cast(correct as double)) as rate
-           from _graded group by grouping sets ((kind, phase), (kind, phase, asset))"""
+           from {graded} group by grouping sets ((kind, phase), (kind, phase, asset))""",
+        graded=graded,
     )

@@ -81,3 +81,101 @@ def readiness(catalog: DataFrame, now: str) -> DataFrame:
     """Newest entry per universe and whether it still holds."""
     newest = latest(catalog, ["universe"], ["decision_at", "entry_id"])
     return newest.withColumn("status", F.when(F.col("valid_until") >= F.lit(now).cast("timestamp"), "READY").otherwise("EXPIRED"))
+
+
+def publication_findings(batch: DataFrame, now: str) -> DataFrame:
+    """Rules of publication times: not before the observation's day, not after the moment; without one the time
+    of ingestion counts as that of knowledge, which is a warning."""
+    at = F.col("published_at")
+    rules = [
+        ("PUBLISHED_EARLY", "error", at.cast("date") < F.col("observation_date")), ("PUBLISHED_LATE", "error", at > F.lit(now).cast("timestamp")), ("INGESTION_KNOWN_AT", "warning", at.isNull()),
+    ]
+    found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"))) for c, s, bad in rules]))
+    return batch.select("batch", "row_number", F.explode(found).alias("f")).select("batch", "row_number", "f.code", "f.severity")
+
+
+def kind_conflicts(batch: DataFrame, assets: DataFrame) -> DataFrame:
+    """Rows whose kind is not the one that the asset (asset, kind) has had from the start."""
+    return batch.join(assets.select("asset", F.col("kind").alias("known_kind")), "asset").filter("kind <> known_kind").select("batch", "row_number", F.lit("KIND_CHANGED").alias("code"))
+
+
+def limit_findings(batch: DataFrame, findings: DataFrame, most_rows: int = 5000, most_findings: int = 100) -> DataFrame:
+    """Per batch its rows and whether they are too many, and how many findings are told of how many."""
+    n = batch.groupBy("batch").agg(F.count("*").alias("n_rows"))
+    f = findings.groupBy("batch").agg(F.count("*").alias("n_findings"))
+    out = n.join(f, "batch", "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0)))
+    return out.select("batch", "n_rows", (F.col("n_rows") > most_rows).alias("too_many"), "n_findings", F.least("n_findings", F.lit(most_findings)).alias("told"))
+
+
+def snapshot_rejections(snap: DataFrame, wanted: DataFrame, start: str, as_of: str, max_age_days: int) -> DataFrame:
+    """Per wanted asset the first reason why a snapshot cannot use it, or OK: no observations, several providers,
+    a gap, stale, no start, a bad price, several bases."""
+    gap = F.date_diff("observation_date", F.lag("observation_date").over(Window.partitionBy("asset").orderBy("observation_date")))
+    rows = snap.withColumn("_gap", gap).groupBy("asset").agg(
+        F.count_distinct(F.struct("provider", "price_type")).alias("conventions"), F.max("_gap").alias("gap"), F.max("observation_date").alias("last"), F.min("observation_date").alias("first"),
+        F.count_if(F.col("price").isNull() | (F.col("price") <= 0)).alias("bad"), F.count_distinct(F.struct("source_unit", F.coalesce("price_basis", F.lit("")))).alias("bases"),
+    )
+    code = (
+        F.when(F.col("conventions").isNull(), "MISSING").when(F.col("conventions") > 1, "MIXED_PROVIDER").when(F.col("gap") > max(1, max_age_days), "GAP")
+        .when(F.date_diff(F.lit(as_of).cast("date"), F.col("last")) > max_age_days, "STALE").when(F.date_diff(F.col("first"), F.lit(start).cast("date")) > max_age_days, "NO_START")
+        .when(F.col("bad") > 0, "INVALID_PRICE").when(F.col("bases") > 1, "MIXED_BASIS").otherwise("OK")
+    )
+    return wanted.select("asset").distinct().join(rows, "asset", "left").select("asset", code.alias("code"))
+
+
+def not_stored(candidates: DataFrame, stored: DataFrame, key: str = "content_hash") -> DataFrame:
+    """Candidates whose content is new; the others are reused as they are."""
+    return candidates.join(stored.select(key), key, "left_anti")
+
+
+def reconciled(fetched: DataFrame, known: DataFrame, key: list[str], content: list[str]) -> DataFrame:
+    """A whole history fetched again against the newest known revision of each key: what is new or changed is
+    appended, what is the same stays, and a known key that is gone refuses the run. (key, action)"""
+    a = fetched.select(*key, canonical_hash(*content).alias("_new"))
+    b = known.select(*key, canonical_hash(*content).alias("_old"))
+    both = a.join(b, key, "full_outer")
+    action = F.when(F.col("_new").isNull(), "REMOVED").when(F.col("_old").isNull(), "NEW").when(F.col("_new") != F.col("_old"), "CHANGED").otherwise("SAME")
+    return both.select(*key, action.alias("action"))
+
+
+def status_of(catalog: DataFrame, universes: DataFrame, now: str) -> DataFrame:
+    """Per wanted (universe, strategy) READY, EXPIRED, or UNAVAILABLE where the catalog has none."""
+    newest = latest(catalog, ["universe", "strategy"], ["decision_at", "entry_id"])
+    rows = universes.join(newest.select("universe", "strategy", "entry_id", "valid_until"), ["universe", "strategy"], "left")
+    status = F.when(F.col("entry_id").isNull(), "UNAVAILABLE").when(F.col("valid_until") >= F.lit(now).cast("timestamp"), "READY").otherwise("EXPIRED")
+    return rows.select("universe", "strategy", "entry_id", status.alias("status"))
+
+
+def latest_facts(observations: DataFrame, asset: str, today: str, most: int = 20, max_age_days: int = 7) -> DataFrame:
+    """An asset's newest observations (asset, observation_date, price, event_id) and one status for all."""
+    mine = observations.filter(F.col("asset") == asset).orderBy(F.desc("observation_date"), F.desc("event_id")).limit(most)
+    last = mine.agg(F.max("observation_date").alias("last"))
+    status = F.when(F.col("last").isNull(), "NO_OBSERVATIONS").when(F.date_diff(F.lit(today).cast("date"), F.col("last")) > max_age_days, "STALE").otherwise("AVAILABLE")
+    return last.select(status.alias("status")).join(mine.select("observation_date", "price", "event_id"), how="left")
+
+
+def one_to_one(a: DataFrame, b: DataFrame, key: list[str], column: str) -> DataFrame:
+    """Matched rows of two tables with the difference of a column; a key that either has twice is an error."""
+    def once(rows: DataFrame) -> DataFrame:
+        n = F.count("*").over(Window.partitionBy(*key))
+        return rows.withColumn(column, F.when(n > 1, F.raise_error(F.lit("key is not unique")).cast("double")).otherwise(F.col(column)))
+
+    left, right = once(a).select(*key, F.col(column).alias("a")), once(b).select(*key, F.col(column).alias("b"))
+    return left.join(right, key).select(*key, "a", "b", (F.col("a") - F.col("b")).alias("difference"))
+
+
+def price_compare(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Per asset common days of two price tables (asset, d, px): equal and different prices, largest differences
+    of prices and of returns."""
+    both = ours.join(theirs.withColumnRenamed("px", "other"), ["asset", "d"])
+    by = Window.partitionBy("asset").orderBy("d")
+    r = [F.col(c) / F.nullif(F.lag(c).over(by), F.lit(0.0)) - 1 for c in ("px", "other")]
+    rows = both.withColumn("dr", F.abs(r[0] - r[1]))
+    same = F.col("px") == F.col("other")
+    return rows.groupBy("asset").agg(F.count_if(same).alias("n_equal"), F.count_if(~same).alias("n_different"), F.max(F.abs(F.col("px") - F.col("other"))).alias("max_price_diff"), F.max("dr").alias("max_return_diff"))
+
+
+def inventory_page(keys: DataFrame, registered: DataFrame, offset: int, most: int) -> DataFrame:
+    """A page of the inventory's keys with whether each is registered, and its pin (key, sha256)."""
+    page = keys.orderBy("key").offset(offset).limit(most)
+    return page.join(registered.select("key", "sha256"), "key", "left").select("key", F.col("sha256").isNotNull().alias("registered"), "sha256")

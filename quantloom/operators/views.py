@@ -68,7 +68,7 @@ def combined(views: DataFrame, weights: dict[str, float] | None = None) -> DataF
     return views.withColumn("_w", weight).filter("_w > 0").withColumn("confidence", F.col("confidence") * F.col("_w")).drop("_w")
 
 
-def dampened(confidence, ratio, limit: float = 1.3):
+def dampened(confidence: str, ratio: str, limit: float = 1.3):
     return F.when(F.col(ratio) > limit, F.col(confidence) * limit / F.col(ratio)).otherwise(F.col(confidence))
 
 
@@ -102,6 +102,51 @@ def matrices(views: DataFrame, assets: list[str], daily: bool = False) -> DataFr
     q = F.col("q_daily") if daily else F.col("q_annual") / DAYS
     one = F.struct("name", row.alias("p"), q.alias("q"), F.coalesce("confidence", F.lit(0.5)).alias("c"))
     packed = views.filter(inside).groupBy("t").agg(F.array_sort(F.collect_list(one)).alias("v"))
-    return packed.select("t", F.col("v.name").alias("names"), F.col("v.p").alias("p"), F.col("v.q").alias("q"), F.col("v.c").alias("conf"))
+    return packed.select("t", F.array(*[F.lit(a) for a in assets]).alias("assets"), F.col("v.name").alias("names"), F.col("v.p").alias("p"), F.col("v.q").alias("q"), F.col("v.c").alias("conf"))
 
 
+
+
+def static_views(moments: DataFrame, views: list[tuple[str, dict[str, float], float, float]]) -> DataFrame:
+    """The same named views (legs, annual q, confidence) at each decision (t)."""
+    one = F.array(*[F.struct(F.lit(n).alias("name"), _leg(*[(F.lit(a), F.lit(float(c))) for a, c in legs.items()]).alias("legs"), F.lit(float(q)).alias("q_annual"), F.lit(float(c)).alias("confidence")) for n, legs, q, c in views])
+    return moments.select("t").distinct().select("t", F.explode(one).alias("v")).select("t", "v.*", F.lit("static").alias("source"))
+
+
+def dispatched(mode: str, sources: dict[str, DataFrame], weights: dict[str, float] | None = None) -> DataFrame | None:
+    """The views of a mode: rule_based, relative and ml take their own source, combined takes all at the
+    sources' weights. No model, no ml views: null."""
+    if mode == "combined":
+        out = None
+        for one in sources.values():
+            out = one if out is None else out.unionByName(one)
+        return None if out is None else combined(out, weights)
+    name = {"rule_based": "rule", "relative": "relative", "ml": "ml", "static": "static"}.get(mode)
+    if name is None:
+        raise ValueError(f"unknown view mode {mode}")
+    return sources.get(name)
+
+
+def cold_start_views(prices: DataFrame, spread: float = 0.20, digits: int | None = None) -> DataFrame:
+    """Ranking views from 20-row momenta (t, asset, first, last) while no model is trained: deviation 0.1,
+    confidence at most 0.45. digits: places of the momenta."""
+    score = F.col("last") / F.col("first") - 1
+    scores = prices.filter("first > 0").select("t", "asset", (score if digits is None else F.round(score, digits)).alias("score"), F.lit(0.1).alias("std"))
+    several = Window.partitionBy("t")
+    scores = scores.withColumn("_n", F.count("*").over(several)).filter("_n >= 2").drop("_n")
+    return ranking_views(scores, spread).withColumn("confidence", F.least("confidence", F.lit(0.45)))
+
+
+def with_defensive(views: DataFrame, defensive: DataFrame, ratios: DataFrame) -> DataFrame:
+    """Daily model views (t, name, legs, q_daily, confidence) with confidences dampened by the volatility ratio of
+    their decision (t, vol_ratio), and the defensive views behind them; where a decision has no model view
+    the defensive ones stand alone."""
+    columns = ["t", "name", "legs", "q_daily", "confidence"]
+    calm = views.join(ratios.select("t", "vol_ratio"), "t", "left").withColumn("confidence", dampened("confidence", "vol_ratio"))
+    return calm.select(*columns).unionByName(defensive.select(*columns))
+
+
+def view_counts(views: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rebalances, and views made at them."""
+    each = decisions.select("t").distinct().join(views.groupBy("t").agg(F.count("*").alias("n")), "t", "left")
+    return each.agg(F.count("*").alias("rebalances"), F.sum(F.coalesce("n", F.lit(0))).alias("views"))

@@ -4,6 +4,7 @@ returns, is its price."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +26,16 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(parts, "l_partkey")
 
 
+def held(df: DataFrame) -> DataFrame:
+    """For small aggregates that one query reads many times: computed once, in memory or on executors' disks.
+    An equal plan finds the same rows again; clearCache() lets them go."""
+    return df if df.storageLevel.useDisk else df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def prices(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
+    """The one scan of the trades that assets, calendar and prices of a panel share."""
     rows = trades(spark, sf_dir).groupBy("asset", F.date_trunc(unit, "l_shipdate").cast("date").alias("d"))
-    return rows.agg(price(F.sum("l_extendedprice"), F.sum("l_quantity")).alias("px"))
+    return held(rows.agg(price(F.sum("l_extendedprice"), F.sum("l_quantity")).alias("px")))
 
 
 def market(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
@@ -37,7 +45,7 @@ def market(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
     raw = prices(spark, sf_dir, unit)
-    return price_panel(raw, raw.select("d").distinct(), "legacy")
+    return held(price_panel(raw, raw.select("d").distinct(), "legacy"))
 
 
 def panel_returns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,6 @@ from .operators import panel as P
 from .operators import portfolio as N
 from .oracle import LEDGER, MARKET, PANEL, RET, ema, w
 from .plans import derived as D
-from .sources import files
 from .streaming import jobs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,17 +128,18 @@ def latest_quote_at_cutoff(spark, sf):
     )
 
 
-@query(f"with {PANEL} select d, round(max(case when asset = 'Brand#11' then px end), 6) as b11, round(max(case when asset = 'Brand#22' then px end), 6) as b22, round(max(case when asset = 'Brand#3' then px end), 6) as b3 from panel group by d")
+BRANDS = [f"Brand#{k}" for k in range(1, 26)]
+
+
+@query(f"with {PANEL} select d, " + ", ".join(f"round(max(case when asset = '{b}' then px end), 6) as {b.replace('Brand#', 'b')}" for b in BRANDS) + " from panel group by d")
 def pivot_panel(spark, sf):
-    names = ["Brand#11", "Brand#22", "Brand#3"]
-    out = P.wide(D.panel(spark, sf), names)
-    return out.select("d", *[F.round(F.col(f"`{n}`"), 6).alias("b" + n.split("#")[1]) for n in names])
+    out = P.wide(D.panel(spark, sf), BRANDS)
+    return out.select("d", *[F.round(F.col(f"`{n}`"), 6).alias("b" + n.split("#")[1]) for n in BRANDS])
 
 
-@query(f"with {PANEL} select d, asset, round(px, 6) as px from panel where asset in ('Brand#11', 'Brand#22', 'Brand#3')")
+@query(f"with {PANEL} select d, asset, round(px, 6) as px from panel")
 def unpivot_panel(spark, sf):
-    names = ["Brand#11", "Brand#22", "Brand#3"]
-    return rounded(P.long(P.wide(D.panel(spark, sf), names), names))
+    return rounded(P.long(P.wide(D.panel(spark, sf), BRANDS), BRANDS))
 
 
 @query("select d from (select cast(l_shipdate as date) as d from lineitem join part on l_partkey = p_partkey where p_brand = 'Brand#11' intersect select cast(o_orderdate as date) from orders where o_orderpriority like '1%')")
@@ -260,16 +260,6 @@ def serving_features(spark, sf):
     return I.serving_features(D.panel(spark, sf)).select("asset", "d", "rn", *r6("return_1", "momentum_5", "momentum_20", "volatility_20"))
 
 
-@query()
-def ranking_features(spark, sf):
-    return I.ranking_features(D.panel(spark, sf), D.market(spark, sf))
-
-
-@query()
-def ml_features(spark, sf):
-    return I.ml_features(D.panel(spark, sf))
-
-
 # ---------------------------------------------------------------- statistics
 
 _RF = "(pow(1.06::double, 1.0::double / 252) - 1)"
@@ -386,44 +376,44 @@ def regime(spark, sf):
 
 # ---------------------------------------------------------------- views
 
-_MOM = f"{PANEL}, m as (select rn as t, asset, round(px / lag(px, 20) over (partition by asset order by d) - 1, 9) as mom from panel), mt as (select * from m where mom is not null and t % 50 = 0)"
+_MOM = f"{PANEL}, m as (select rn as t, asset, round(px / lag(px, 20) over (partition by asset order by d) - 1, 9) as mom from panel), mt as (select * from m where mom is not null and t >= 25 and t % 5 = 0)"
 
 
 def _momenta(spark, sf):
-    return D.panel(spark, sf).select(F.col("rn").alias("t"), "asset", F.round(I.momentum(20), 9).alias("mom_20")).filter("mom_20 is not null and t % 50 = 0")
+    return D.panel(spark, sf).select(F.col("rn").alias("t"), "asset", F.round(I.momentum(20), 9).alias("mom_20")).filter("mom_20 is not null and t >= 25 and t % 5 = 0")
 
 
 @query(
     f"""with {_MOM}, p as (select x.t, x.asset as a, y.asset as b, x.mom - y.mom as diff from mt x join mt y on x.t = y.t and x.asset < y.asset)
-select t, case when diff > 0 then a else b end || '_over_' || case when diff > 0 then b else a end as name, round(least(0.3, abs(diff) * 252 / 20), 6) as q_annual, round(least(0.8, 0.4 + 10 * abs(diff)), 6) as confidence from p where abs(diff) >= 0.01"""
+select t, case when diff > 0 then a else b end || '_over_' || case when diff > 0 then b else a end as name, round(least(0.3, abs(diff) * 252 / 20), 10) as q_annual, round(least(0.8, 0.4 + 10 * abs(diff)), 10) as confidence from p where abs(diff) >= 0.01"""
 )
 def relative_views(spark, sf):
-    return views.relative_views(_momenta(spark, sf)).select("t", "name", *r6("q_annual", "confidence"))
+    return views.relative_views(_momenta(spark, sf)).select("t", "name", *[F.round(c, 10).alias(c) for c in ("q_annual", "confidence")])
 
 
 @query(
     f"""with {_MOM}, r as (select t, asset, mom, row_number() over (partition by t order by mom desc, asset) - 1 as i, count(*) over (partition by t) as k from mt)
-select a.t, a.asset || '_over_' || b.asset as name, round(0.2 / 252 * (b.i - a.i) / a.k, 9) as q_daily, round(least(greatest(0.5 + 2 * (a.mom - b.mom) - 0.5, 0.25), 0.75), 6) as confidence
+select a.t, a.asset || '_over_' || b.asset as name, round(0.2 / 252 * (b.i - a.i) / a.k, 12) as q_daily, round(least(greatest(0.5 + 2 * (a.mom - b.mom) - 0.5, 0.25), 0.75), 10) as confidence
 from r a join r b on a.t = b.t and a.i < greatest(a.k // 2, 1) and b.i >= a.k // 2 + a.i and b.i > a.i"""
 )
 def ranking_views(spark, sf):
     scores = _momenta(spark, sf).select("t", "asset", F.col("mom_20").alias("score"), F.lit(0.1).alias("std"))
-    return views.ranking_views(scores).select("t", "name", F.round("q_daily", 9).alias("q_daily"), *r6("confidence"))
+    return views.ranking_views(scores).select("t", "name", F.round("q_daily", 12).alias("q_daily"), F.round("confidence", 10).alias("confidence"))
 
 
 _FEAT = f"""{PANEL}, {ema(10, name='e10')}, {ema(30, name='e30')}, s as (select *, coalesce(px - lag(px) over (partition by asset order by d), 0) as x from panel),
 g as (select asset, d, rn, px, avg(greatest(x, 0)) {w(14)} as g, avg(greatest(-x, 0)) {w(14)} as l, round(px / lag(px, 20) over (partition by asset order by d) - 1, 9) as mom from s),
-f as (select g.rn as t, g.asset, round(e10.v / e30.v - 1, 9) as ma, round(coalesce(100 - 100 / (1 + g.g / nullif(g.l, 0)), 50), 9) as rsi, mom from g join e10 on g.asset = e10.asset and g.rn = e10.rn join e30 on g.asset = e30.asset and g.rn = e30.rn where g.rn >= 31 and g.rn % 20 = 0)"""
+f as (select g.rn as t, g.asset, round(e10.v / e30.v - 1, 9) as ma, round(coalesce(100 - 100 / (1 + g.g / nullif(g.l, 0)), 50), 9) as rsi, mom from g join e10 on g.asset = e10.asset and g.rn = e10.rn join e30 on g.asset = e30.asset and g.rn = e30.rn where g.rn >= 35 and g.rn % 5 = 0)"""
 
 
 @query(
-    f"""with {_FEAT} select t, case when ma > 0.02 then 'bullish_' else 'bearish_' end || asset as name, round(case when ma > 0.02 then 0.05 + 0.5 * abs(mom) else -0.03 - 0.3 * abs(mom) end, 6) as q_annual,
-round(least(greatest(case when ma > 0.02 then 0.6 else 0.5 end * case when rsi > 70 then case when ma > 0.02 then 0.7 else 1.2 end when rsi < 30 then case when ma > 0.02 then 1.2 else 0.7 end else 1 end, 0.3), 0.9), 6) as confidence from f where abs(ma) > 0.02"""
+    f"""with {_FEAT} select t, case when ma > 0.02 then 'bullish_' else 'bearish_' end || asset as name, round(case when ma > 0.02 then 0.05 + 0.5 * abs(mom) else -0.03 - 0.3 * abs(mom) end, 10) as q_annual,
+round(least(greatest(case when ma > 0.02 then 0.6 else 0.5 end * case when rsi > 70 then case when ma > 0.02 then 0.7 else 1.2 end when rsi < 30 then case when ma > 0.02 then 1.2 else 0.7 end else 1 end, 0.3), 0.9), 10) as confidence from f where abs(ma) > 0.02"""
 )
 def rule_views(spark, sf):
     rows = I.rsi(I.recursive_averages(D.panel(spark, sf)), full=False)
     rows = rows.select(F.col("rn").alias("t"), "asset", F.col("rn").alias("n"), F.round(S.div("ema_10", "ema_30") - 1, 9).alias("ma_ratio"), F.round("rsi", 9).alias("rsi"), F.round(I.momentum(20), 9).alias("mom_20"))
-    return views.rule_views(rows.filter("t % 20 = 0")).select("t", "name", *r6("q_annual", "confidence"))
+    return views.rule_views(rows.filter("t >= 35 and t % 5 = 0")).select("t", "name", *[F.round(c, 10).alias(c) for c in ("q_annual", "confidence")])
 
 
 @query(
@@ -447,12 +437,6 @@ def _assets(panel: DataFrame) -> list[str]:
     return [x.asset for x in panel.select("asset").distinct().orderBy("asset").collect()]
 
 
-@query()
-def defensive_views(spark, sf):
-    rows = D.panel_returns(spark, sf)
-    return views.defensive_views(views.regimes(rows, stats.volatility_ratio(rows)), _assets(rows), "Brand#3")
-
-
 @query()
 def view_matrices(spark, sf):
     panel = D.panel(spark, sf)
@@ -511,13 +495,9 @@ select b.bps::double as bps, count(*) as n, round(sum(ln((1 + day.g) * (1 - b.bp
 )
 def cost_grid(spark, sf):
     rows, weights = _iv_weights(spark, sf)
-    nav = N.nav_drifting(rows, weights)
-    daily = nav.select("strategy", "d", (F.col("nav") / F.lag("nav", 1, 1.0).over(Window.partitionBy("strategy").orderBy("rn")) - 1).alias("g"))
-    traded = N.turnover(rows, weights)
-    out = None
-    for bps in (0.0, 10.0, 25.0, 50.0):
-        one = N.costs(daily, traded, bps)
-        out = one if out is None else out.unionByName(one)
+    held = D.held(N.holdings(rows, weights))
+    daily = N.path(held).select("strategy", "d", (F.col("nav") / F.lag("nav", 1, 1.0).over(Window.partitionBy("strategy").orderBy("rn")) - 1).alias("g"))
+    out = N.costs(daily, N.traded(held), 0, 10, 25, 50)
     return out.groupBy("bps").agg(F.count("*").alias("n"), F.round(F.sum(F.log1p("net")), 6).alias("log_growth"))
 
 
@@ -526,18 +506,6 @@ def prune_small_weights(spark, sf):
     return N.pruned(_iv_weights(spark, sf)[1], 0.04).select("rn", "asset", *r6("w"))
 
 
-@query(
-    f"""with {_IV}, ew as (select rn, asset, 1.0 / count(*) over (partition by rn) as w from iv), mix as (select iv.rn, iv.asset, case iv.rn % 3 when 0 then 0.6 when 1 then 0.3 else 0.1 end as a, iv.w as x, ew.w as y from iv join ew on iv.rn = ew.rn and iv.asset = ew.asset),
-m as (select rn, asset, greatest(a * x + (1 - a) * y, 0) as m from mix), n as (select rn, asset, m / sum(m) over (partition by rn) as w from m), k as (select rn, asset, case when w >= 0.01 then w else 0 end as k from n)
-select rn, asset, round(k / sum(k) over (partition by rn), 6) as w from k"""
-)
-def hybrid_blend(spark, sf):
-    _, weights = _iv_weights(spark, sf)
-    other = weights.select("rn", "asset", (1.0 / F.count("*").over(Window.partitionBy("rn"))).alias("w"))
-    state = weights.select("rn").distinct().withColumn("regime", F.when(F.col("rn") % 3 == 0, "normal").when(F.col("rn") % 3 == 1, "stress").otherwise("crisis"))
-    return N.blended(weights, other, state).select("rn", "asset", *r6("w"))
-
-
 @query(
     f"""with {_IV} select rn, round(abs(sum(w) - 1), 6) as budget, round(greatest(-min(w), 0), 6) as negative, round(greatest(max(w) - 0.05, 0), 6) as cap,
 round(greatest(sum(case when asset not in ('Brand#11', 'Brand#12') then w else 0 end) - 0.7, 0), 6) as group_cap, round(greatest(0.15 - sum(case when asset in ('Brand#11', 'Brand#12') then w else 0 end), 0), 6) as floor from iv group by 1"""
@@ -566,18 +534,6 @@ def mean_variance_weights(spark, sf):
     return optimize.solved(_moments(spark, sf), POLICY)
 
 
-@query()
-def black_litterman_weights(spark, sf):
-    return optimize.solved(_moments(spark, sf), POLICY, "BL_ML")
-
-
-@query()
-def walk_forward(spark, sf):
-    """Next-close execution of the optimised weights: the path of each strategy."""
-    weights = optimize.solved(_moments(spark, sf), POLICY)
-    return N.nav_drifting(D.panel_returns(spark, sf), weights)
-
-
 @query()
 def paired_bootstrap(spark, sf):
     """Moving-block bootstrap of the Sharpe difference of two paths; the same blocks for both."""
@@ -627,18 +583,20 @@ def ensemble_forecasts(spark, sf):
     rows = _ml_rows(spark, sf)
     latest = I.ml_features(D.panel(spark, sf)).withColumn("_l", F.max("rn").over(Window.partitionBy("asset"))).filter("rn = _l").drop("_l")
     latest = latest.withColumn("y", F.lit(None).cast("double")).withColumn("label_rn", F.lit(None).cast("bigint")).withColumn("fold", F.lit("latest"))
-    out = ml.ensemble_forecasts(rows.unionByName(latest), ml.ML_FEATURES, rounds=60)
+    out = ml.ensemble_forecasts(rows.unionByName(latest), ml.ML_FEATURES)
     return out.withColumn("confidence", ml.ensemble_confidence())
 
 
 @query()
 def ranker_scores(spark, sf):
-    """Pairwise ranker trained on the rows up to one date and scored on it."""
+    """Pairwise ranker trained anew each 60 rows, on the 100 rows before whose labels are known, and scored then."""
     columns = ["momentum_5", "momentum_20", "momentum_60", "vol_20", "rank_momentum_5", "rank_overall"]
     feats = I.ranking_features(D.panel(spark, sf), D.market(spark, sf))
     y = D.panel(spark, sf).select("asset", "d", I.forward_return(5).alias("y"))
-    rows = feats.join(y, ["asset", "d"]).filter("rn between 100 and 200 or rn = 205").withColumn("grade", F.when(F.col("rn") < 205, I.relevance("y")).cast("double"))
-    return ml.ranker_scores(rows.select(F.lit(205).cast("bigint").alias("t"), "d", "asset", "grade", *columns), columns)
+    rows = feats.join(y, ["asset", "d"]).withColumn("grade", I.relevance("y").cast("double"))
+    turns = F.expr("filter(sequence(rn - rn % 60, rn + 180, 60), t -> t >= 180 and (t = rn or rn between t - 104 and t - 5))")
+    rows = rows.withColumn("t", F.explode(turns)).withColumn("grade", F.when(F.col("rn") < F.col("t"), F.col("grade")))
+    return ml.ranker_scores(rows.select("t", "d", "asset", "grade", *columns), columns)
 
 
 @query(
@@ -655,10 +613,10 @@ def hit_rate_grouping_sets(spark, sf):
 # ---------------------------------------------------------------- price store
 
 
-def _batch(spark, sf):
+def _batch(spark, sf, batch=None):
     e = D.table(spark, sf, "events")
     return e.select(
-        (F.col("user_id") % 40).alias("batch"), F.col("event_id").alias("row_number"), F.when(F.col("event_id") % 97 == 0, "bad id!").otherwise(F.concat(F.lit("A"), F.col("user_id").cast("string"))).alias("asset"),
+        (F.col("user_id") % 40 if batch is None else batch).alias("batch"), F.col("event_id").alias("row_number"), F.when(F.col("event_id") % 97 == 0, "bad id!").otherwise(F.concat(F.lit("A"), F.col("user_id").cast("string"))).alias("asset"),
         F.col("ts").cast("date").alias("observation_date"), F.col("event_type").alias("provider"), F.lit("close").alias("price_type"), F.lit("stock").alias("kind"),
         F.when(F.col("event_id") % 89 == 0, "usd").otherwise("vnd").alias("source_unit"), F.when(F.col("event_id") % 3 == 0, "raw_close").alias("price_basis"), F.when(F.col("event_id") % 83 == 0, -1.0).otherwise(F.col("value") + 1).alias("price"),
     )
@@ -675,11 +633,14 @@ def quality_findings(spark, sf):
     return store.quality_findings(_batch(spark, sf), "2024-01-28")
 
 
-@query(f"with {_BATCH} select batch, row_number, asset from batch where batch not in (select batch from f where severity = 'error' and code <> 'DUPLICATE_KEY' and row_number % 5 = 0)")
+_DAILY = _BATCH.replace("select user_id % 40 as batch", "select user_id || '/' || strftime(ts, '%Y-%m-%d') as batch")
+
+
+@query(f"with {_DAILY} select batch, row_number, asset from batch where batch not in (select batch from f where severity = 'error')")
 def quarantine_batches(spark, sf):
-    rows = _batch(spark, sf)
-    bad = store.quality_findings(rows, "2024-01-28").filter("code <> 'DUPLICATE_KEY' and row_number % 5 = 0")
-    return store.accepted(rows, bad).select("batch", "row_number", "asset")
+    """One batch for each user and day: any error keeps the whole batch out."""
+    rows = _batch(spark, sf, F.concat_ws("/", "user_id", F.date_format("ts", "yyyy-MM-dd")))
+    return store.accepted(rows, store.quality_findings(rows, "2024-01-28")).select("batch", "row_number", "asset")
 
 
 _REV = f"""{LEDGER}, b as (select asset, observation_date, available_at, event_id, floor(price / 50) as price, lag(floor(price / 50)) over (partition by asset, observation_date order by available_at, event_id) as before, row_number() over (partition by asset, observation_date order by available_at, event_id) as k from ledger),
@@ -713,11 +674,6 @@ def snapshot_checks(spark, sf):
     return store.snapshot_checks(_snapshot(spark, sf), "2024-01-20", 3)
 
 
-@query()
-def content_addresses(spark, sf):
-    return store.content_address(_snapshot(spark, sf), "asset", ["asset", "observation_date", "price"])
-
-
 @query("with h as (select user_id, cast(ts as date) as d from events group by 1, 2), a as (select distinct d from h) select 'A' || u.user_id as asset, a.d, 'MISSING' as code from (select distinct user_id from h) u cross join a left join h on h.user_id = u.user_id and h.d = a.d where h.d is null")
 def missing_sessions(spark, sf):
     have = D.ledger(spark, sf).select("asset", F.col("observation_date").alias("d"))
@@ -782,11 +738,15 @@ def common_dates_compare(spark, sf):
     return a.join(b, "d").agg(F.count("*").alias("n_common"), F.round(corr, 6).alias("corr"), F.round(F.max(F.abs(S.div("s", "t") - 1)), 4).alias("max_gap"))
 
 
-@query("select 0 as only_first, 0 as only_second")
+@query(
+    """with a as (select p_brand as asset, cast(date_trunc('week', l_shipdate) as date) as d, count(*) as n from lineitem join part on l_partkey = p_partkey group by 1, 2), b as (select asset, d, case when isodow(d) = 1 and extract(month from d) = 2 then n + 1 else n end as n from a where extract(year from d) < 2001)
+select (select count(*) from (select * from a except all select * from b)) as only_first, (select count(*) from (select * from b except all select * from a)) as only_second"""
+)
 def two_run_equality(spark, sf):
-    a, b = D.prices(spark, sf), D.prices(spark, sf)
-    one, two = (x.exceptAll(y).agg(F.count("*").cast("int").alias(n)) for x, y, n in ((a, b, "only_first"), (b, a, "only_second")))
-    return one.join(two)
+    """Two runs of which the second lacks the last year and differs in each February."""
+    a = D.trades(spark, sf).groupBy("asset", F.date_trunc("week", "l_shipdate").cast("date").alias("d")).agg(F.count("*").alias("n"))
+    b = a.filter(F.year("d") < 2001).withColumn("n", F.when(F.month("d") == 2, F.col("n") + 1).otherwise(F.col("n")))
+    return stats.only_in_one(a, b)
 
 
 @query("select * from (select conv_id, turn, role, row_number() over (partition by conv_id order by turn desc) as back from (select distinct conv_id, turn, role from conversations)) where back <= 4")
@@ -841,14 +801,15 @@ def top_k_per_group(spark, sf):
     return s.join(top, "k").select("s_suppkey", "c_custkey", "c_acctbal")
 
 
-@query()
-def weights_log(spark, sf):
-    return files.weights_log(_iv_weights(spark, sf)[1])
+def _all() -> None:
+    from . import queries_paths, queries_store  # noqa: F401  they add theirs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_ORACLES)
