@@ -23,11 +23,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that are aligned with an earlier document; one that loses all its
     text goes. n_chars follows the text."""
-    out = linededup.without_repeated_lines(docs)
+    out, removed = linededup.without_repeated_lines(docs), F.col(linededup.removed_name(docs))
     left = F.length(F.trim(F.translate(F.coalesce("text", F.lit("")), "\n\t\r", "   "))) > 0
-    out = out.filter((F.col("_n_removed") == 0) | left)
+    out = out.filter((removed == 0) | left)
     if "n_chars" in docs.columns:
-        chars = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        chars = F.when(removed > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", chars.cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
