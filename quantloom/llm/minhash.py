@@ -5,12 +5,13 @@ bins: in each of the first rounds every shingle falls into a hashed bin with a h
 larger the later the round, in the rounds after that all shingles fall into one given bin, so after twice
 as many rounds as bins every bin is full, and mostly after few. Two sketches agree in a bin with the sets'
 Jaccard similarity, with the concentration of independent samples. BANDS bands of ROWS bins are the keys
-by which documents meet: at 0.85 a pair misses all of them with probability below 5e-7.
+by which documents meet: at 0.85 a pair misses all of them with probability 4.3e-7, at 0.80 with 4.9e-5.
 
 Documents with the same set are one (their smallest doc_id). In a bucket every member is compared with one
 pivot, not with every other. Buckets whose members are not in one component then are compared across
 components, in cells of two blocks of BLOCK members that carry their sets, so a large bucket is spread and
-only links come out; no link that joins two components is lost. Every link is confirmed on the full sets.
+only links come out. There a pair is looked at if its sketches agree in AGREE coordinates, which a link
+fails far less often than the bands. Every link is confirmed on the full sets.
 
 Defined cases: words are split at ASCII white space, A-Z lower-cased; fewer than five words are one
 shingle; a document without words has an empty set and is linked with nothing; a row without a doc_id is
@@ -28,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, flat_bytes, held, mix64, seeded, slices, written
+from .common import RollingHash, flat_bytes, held, mix64, seeded, slices, unused, written
 from .components import components
 
 WORDS = 5
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 BLOCK = 256
-AGREE = 88  # of 125 coordinates; at 0.85 fewer agree with probability below 1e-5
+AGREE = 82  # of 125 coordinates; at 0.85 fewer agree with probability 1.9e-8, at 0.80 fewer than 75 with 8.6e-8
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -173,8 +174,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = held(texts.mapInArrow(_sketch, SKETCHED))
     named = rows.filter("n_shingles > 0 and doc_id is not null")
-    groups = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = held(named.join(groups, "set_key").filter("doc_id = rep").dropDuplicates(["set_key"]).select("doc_id", "n_shingles", "bands", "marks"))
+    first = F.min(F.struct("doc_id", "n_shingles", "bands", "marks")).alias("first")  # by doc_id; rows that share it are equal
+    reps = held(named.groupBy("set_key").agg(first).select("set_key", "first.*"))
+    groups = reps.select("set_key", F.col("doc_id").alias("rep"))
 
     keys = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     full = keys.groupBy("band", "key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high")
@@ -185,11 +187,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     labels = components(linked(tested, sets, percent))
     apart = _apart(members, labels)
     if not apart.isEmpty():
-        cells = _cells(apart.join(reps, "doc_id").join(sets, "doc_id"))
+        cells = _cells(apart.join(reps.drop("set_key"), "doc_id").join(sets, "doc_id"))
         further = components(cells.groupBy("cell", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct())
-        labels = further_labels(labels, further)
+        labels = written(further_labels(labels, further), "labels", light=True)
+    for x in (apart, sets):
+        x.unpersist()
 
     of_set = groups.join(labels, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    of_set = written(of_set, "set-components")  # so that the join below can split a set that very many documents have
     out = rows.join(of_set, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -267,5 +272,6 @@ def _across(percent: int):
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents, all columns, without those that are not the first of their component."""
-    gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    name = unused("_gone_id", docs.columns)
+    gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
