@@ -113,7 +113,7 @@ def trusted_csv(spark: SparkSession, root: str, name: str, sha256: str, columns:
     pin = spark.read.format("binaryFile").load(f"{root}/{name}").select("length", F.when(F.col("length") <= MOST_BYTES, F.sha2("content", 256)).alias("h")).first()
     if pin["length"] > MOST_BYTES or pin["h"] != sha256:
         raise ValueError("file too large" if pin["length"] > MOST_BYTES else "file changed")
-    text = spark.read.option("wholetext", True).text(f"{root}/{name}")
+    text = spark.read.text(f"{root}/{name}", wholetext=True)
     lines = text.select(F.posexplode(F.split(F.regexp_replace("value", "^﻿|\r", ""), "\n")).alias("row_number", "line"))
     head = [c.strip() for c in lines.filter("row_number = 0").first()["line"].split(",")]
     if set(columns) - set(head):
@@ -227,7 +227,7 @@ def publish_bundle(spark: SparkSession, root: str, entry: dict) -> list[dict]:
     fs.create(lock, False).close()  # fails while another writer has it
     try:
         _write_text(spark, f"{root}/entries/{entry['id']}.json", json.dumps(entry, sort_keys=True))
-        catalog = read_catalog(spark, root)
+        catalog = read_catalog(spark, root, demo=True)
         at = next((i for i, x in enumerate(catalog) if x["decision_at"] <= entry["decision_at"]), len(catalog))
         catalog.insert(at, entry)
         _write_text(spark, f"{root}/catalog.new", json.dumps(catalog, sort_keys=True), overwrite=True)
