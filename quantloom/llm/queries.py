@@ -82,5 +82,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_REACH = """reach as (select id, id as to_ from nodes union select reach.id, link.b from reach join link on link.a = reach.to_),
+top as (select id, min(to_) as component from reach group by 1), deg as (select a as id, count(*) as n from link group by 1)"""
+
+ORACLES = {
+    "op4_minhash": rf"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as l from documents),
+s as (select distinct doc_id, sh from (select doc_id, unnest(case when len(l) >= 5 then list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i : i + 4], ' ')) when len(l) > 0 then [array_to_string(l, ' ')] else [] end) as sh from w)),
+n as (select doc_id, count(*) as n from s group by 1), met as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.sh = y.sh and x.doc_id <> y.doc_id group by 1, 2),
+link as (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)), nodes as (select doc_id as id from documents), {_REACH}
+select d.doc_id, coalesce(n.n, 0) as n_shingles, component as component_id, d.doc_id = component as kept from documents d join top on top.id = d.doc_id left join n on n.doc_id = d.doc_id""",
+    "op9_vectors": f"""with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+ok as (select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+link as (select x.vec_id as a, y.vec_id as b from ok x join ok y on x.label = y.label and x.vec_id <> y.vec_id and len(x.e) = len(y.e) where list_cosine_similarity(x.e, y.e) >= 0.98), nodes as (select vec_id as id from embeddings), {_REACH}
+select vec_id, coalesce(n, 0) as n_links, component as component_id, vec_id = component as kept from embeddings join top on top.id = vec_id left join deg on deg.id = vec_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL says the whole result at a bearable cost: the sets' links and the vectors' links, all pairs."""
+    return dict(ORACLES)

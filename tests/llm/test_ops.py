@@ -4,6 +4,7 @@ at all and columns whose names clash, held against plain versions."""
 import hashlib
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quantloom.llm import bpe, components, embeddings, grouping, linededup, media, minhash, mixing, quality, repeats, sharding, tokenout
+from quantloom.llm import bpe, components, embeddings, grouping, linededup, media, minhash, mixing, quality, queries, repeats, sharding, tokenout
 
 NAMES = ["_gone", "_Row_Key", "_n_removed", "_d", "_k", "_place", "_uses", "_epoch", "_order", "_cut", "_epochs", "_source_key", "_gone_id"]
 EXTRA = "gone string, epoch string, component string, hashes string, media string, shard string, bytes string, n string"
@@ -493,3 +494,20 @@ def test_quality(spark, docs, none):
         one = quality.fit(table, l)
         assert all(0 <= r.score <= 1 for r in quality.scored(table.limit(5), one).collect())
     assert quality.scored(none, model).count() == 0 and quality.kept(none, model).count() == 0
+
+
+# ------------------------------------------------------------------ SQL
+
+
+@pytest.mark.parametrize("name", ["op4_minhash", "op9_vectors"])
+def test_queries_against_duckdb(spark, name):
+    duckdb, sf = pytest.importorskip("duckdb"), Path("/root/testdata/sf0.001")
+    if not sf.exists():
+        pytest.skip("needs the driver's tables")
+    con = duckdb.connect()
+    for p in sf.glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    out = con.execute(queries.oracle_sql()[name])
+    columns = [x[0] for x in out.description]
+    want = sorted(map(tuple, out.fetchall()))
+    assert sorted(tuple(r[c] for c in columns) for r in queries.queries()[name](spark, str(sf)).collect()) == want
