@@ -115,15 +115,16 @@ def test_scalar_functions(spark):
 
 
 def test_job_state_rules():
-    s = jobs.next_state(("QUEUED", 0, 0, 0), "claim", 100)
-    assert s == ("RUNNING", 1, 700, 0)
+    s = jobs.next_state(("QUEUED", 0, 0, 0, 100), "claim", 100)
+    assert s == ("RUNNING", 1, 700, 0, 100)
     s = jobs.next_state(s, "fail", 200)
-    assert s == ("QUEUED", 1, 0, 260)
+    assert s == ("QUEUED", 1, 0, 260, 100)
     assert jobs.next_state(s, "claim", 250) == s
     s = jobs.next_state(jobs.next_state(s, "claim", 260), "fail", 300)
     assert s[3] == 420
     assert jobs.next_state(jobs.next_state(s, "claim", 420), "fail", 430)[0] == "FAILED"
-    assert jobs.next_state(("RUNNING", 1, 700, 0), "claim", 800) == ("RUNNING", 2, 1400, 800)
+    assert jobs.next_state(("RUNNING", 1, 700, 0, 100), "claim", 800) == ("RUNNING", 2, 1400, 800, 100)
+    assert jobs.next_state(("RUNNING", 2, 4000, 0, 100), "done", 3700) == ("FAILED", 2, 4000, 0, 100)  # an hour after it was made
 
 
 def test_stream_equals_batch(spark, tmp_path):
