@@ -135,6 +135,82 @@ def allocate(strategy: str, assets: list[str], mu, cov, policy: Policy, market=N
     return mean_variance(mu, cov, assets, policy)
 
 
+class AllocationError(ValueError):
+    """A request that cannot be answered; `code` says why."""
+
+    def __init__(self, code: str):
+        super().__init__(code)
+        self.code = code
+
+
+def checked(assets: list[str], mu, cov, p=None, q=None, conf=None) -> None:
+    """Refuses wrong shapes, values that are not finite, covariances that are not symmetric or have a negative
+    eigenvalue, and views that do not fit or have confidences outside (0, 1]."""
+    mu, cov, n = np.asarray(mu, float), np.asarray(cov, float), len(assets)
+    if not n or len(set(assets)) != n or mu.shape != (n,) or cov.shape != (n, n):
+        raise AllocationError("INVALID_SHAPE")
+    if not (np.isfinite(mu).all() and np.isfinite(cov).all()):
+        raise AllocationError("NOT_FINITE")
+    scale = max(float(np.abs(cov).max()), 1e-12)
+    if np.abs(cov - cov.T).max() > 1e-8 * scale:
+        raise AllocationError("NOT_SYMMETRIC")
+    if np.linalg.eigvalsh((cov + cov.T) / 2)[0] < -1e-8 * scale:
+        raise AllocationError("NOT_PSD")
+    if p is not None and len(p):
+        p, q, conf = np.asarray(p, float), np.asarray(q, float), np.asarray(conf, float)
+        if p.ndim != 2 or p.shape[1] != n or q.shape != (len(p),) or conf.shape != (len(p),) or not (np.isfinite(p).all() and np.isfinite(q).all()) or (np.abs(p).sum(axis=1) == 0).any():
+            raise AllocationError("INVALID_VIEWS")
+        if not ((conf > 0) & (conf <= 1)).all():
+            raise AllocationError("INVALID_CONFIDENCE")
+
+
+def serve(strategy: str, assets: list[str], mu, cov, policy: Policy, p=None, q=None, conf=None) -> tuple[np.ndarray, float]:
+    """Checked weights and the optimality gap of a request: how far a gradient step and projection move them, which
+    is 0 at the optimum. AllocationError where the input, the limits or the solver fail."""
+    checked(assets, mu, cov, p, q, conf)
+    none = np.zeros((0, len(assets)))
+    p, q, conf = (none, [], []) if p is None or not len(p) else (p, q, conf)
+    safe = np.isin(assets, policy.defensive)
+    try:
+        w = allocate(strategy, assets, mu, cov, policy, p=p, q=q, conf=conf)
+        near = projected(w, safe, policy)
+    except AllocationError:
+        raise
+    except ValueError as e:
+        raise AllocationError("INFEASIBLE" if "infeasible" in str(e) else "INVALID_REQUEST") from e
+    if np.abs(near - w).max() > 1e-7:
+        raise AllocationError("NOT_CONVERGED")
+    if strategy == "EW":
+        return near, 0.0
+    fixed = regularised(cov)
+    if strategy == "BL_ML":
+        mu = posterior(fixed, np.full(len(assets), 1 / len(assets)), np.asarray(p, float).reshape(-1, len(assets)), np.asarray(q, float), np.asarray(conf, float))[1]
+    slope = 2 * policy.risk_aversion * fixed @ near - np.asarray(mu, float)
+    scale = max(float(np.abs(slope).max()), 1e-12)
+    gap = float(np.abs(projected(near - slope / scale * 1e-3, safe, policy) - near).max())
+    if gap > 1e-5:
+        raise AllocationError("NOT_CONVERGED")
+    return near, gap
+
+
+def served(moments: DataFrame, policy: Policy, strategy: str = "MVO") -> DataFrame:
+    """A row for each request (rn): status, error code, assets and weights. A request that fails says so and does
+    not end the others."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        assets = sorted(pdf["a"].unique())
+        cov = pdf.pivot(index="a", columns="b", values="cov").reindex(index=assets, columns=assets).to_numpy()
+        mu = pdf.groupby("a")["mean"].first().loc[assets].to_numpy()
+        status, error, weights = "optimal", None, None
+        try:
+            weights = serve(strategy, assets, mu, cov, policy)[0].tolist()
+        except AllocationError as e:
+            status, error = "failed", e.code
+        return pd.DataFrame({"rn": [int(pdf["rn"].iloc[0])], "strategy": [strategy], "status": [status], "error": pd.Series([error], dtype=object), "assets": [assets], "weights": pd.Series([weights], dtype=object)})
+
+    return moments.groupBy("rn").applyInPandas(run, "rn long, strategy string, status string, error string, assets array<string>, weights array<double>")
+
+
 def solved(moments: DataFrame, policy: Policy, strategy: str = "MVO", prune: float = 0.01, views: DataFrame | None = None, tight: DataFrame | None = None, tight_aversion: float = 5.0) -> DataFrame:
     """Weights (strategy, rn, asset, w) of each decision from rows (rn, a, b, mean, cov): mean of a and
     covariance of a with b. views: one row per decision (t, names, assets, p, q, conf), see views.matrices; rows

@@ -356,6 +356,22 @@ def one_view_posterior(spark, sf):
     return out.select("rn", "asset", F.round("prior", 8).alias("prior"), F.round("posterior", 8).alias("posterior"))
 
 
+@query(f"with {_COV}, n as (select t, a, count(*) as k, min(n) as n from cv group by 1, 2), ok as (select t, a, k from n where n = 20) select t as rn, a as asset, case when t % 3 = 0 and (t // 5) % 2 = 0 then 'NOT_FINITE' else 'OK' end as outcome, case when t % 3 = 0 and (t // 5) % 2 = 0 then null else round(1.0 / k, 6) end as w from ok")
+def served_equal_weights(spark, sf):
+    """Requests for equal weights, some of them with a mean that is not finite; each fails alone."""
+    broken = (F.col("rn") % 3 == 0) & (F.expr("rn div 5") % 2 == 0)
+    rows = _moments(spark, sf).withColumn("mean", F.when(broken, F.lit(float("inf"))).otherwise(F.col("mean")))
+    out = optimize.served(rows, optimize.Policy(cap=0.5), "EW")
+    each = out.select("rn", "error", "weights", F.posexplode("assets").alias("i", "asset"))
+    return each.select("rn", "asset", F.coalesce("error", F.lit("OK")).alias("outcome"), F.round(F.get("weights", F.col("i")), 6).alias("w"))
+
+
+@query()
+def served_allocations(spark, sf):
+    """Mean-variance requests with limits, checked for feasibility and optimality."""
+    return optimize.served(_moments(spark, sf), POLICY)
+
+
 @query(f"with {_IV} select 'IV' as strategy, rn, case when max(w) > 0.0501 + 1e-7 then 'INVALID_WEIGHT' when sum(case when asset in ('Brand#11', 'Brand#12') then w else 0 end) + 1e-7 < 0.08 then 'GROUP_LIMIT' else 'OK' end as code from iv group by 2")
 def result_checks(spark, sf):
     return serving.result_violations(_iv_weights(spark, sf)[1], ["Brand#11", "Brand#12"], 0.0501, 0.08, 0.92)

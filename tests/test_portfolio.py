@@ -112,3 +112,24 @@ def test_metric_summary_by_hand(spark):
     assert got.max_drawdown == pytest.approx(1.045 / 1.1 - 1)
     flat = stats.metric_summary(rows.withColumn("nav", rows.nav * 0 + 1.0)).first()
     assert flat.sharpe is None and flat.calmar is None
+
+
+def test_served_requests():
+    assets, mu, cov, policy, want = GOLDEN[1]
+    w, gap = O.serve("MVO", assets, mu, cov, policy)
+    assert w == pytest.approx(want, abs=1e-7) and gap < 1e-6
+    w, _ = O.serve("BL_ML", ["EQUITY", "BOND"], [0.0008, 0.0002], np.diag([0.0004, 0.0001]), O.Policy(1, 0.9, ("BOND",), 0.1, 0.9), [[1, 0]], [0.001], [1.0])
+    assert w == pytest.approx([0.825, 0.175], abs=1e-7)
+    eye = np.eye(2)
+    for code, args, more in (
+        ("INVALID_SHAPE", (["A", "A"], [0, 0], eye), {}), ("INVALID_SHAPE", (["A", "B"], [0], eye), {}), ("NOT_FINITE", (["A", "B"], [0, np.nan], eye), {}),
+        ("NOT_SYMMETRIC", (["A", "B"], [0, 0], np.array([[1, 0.5], [0, 1]])), {}), ("NOT_PSD", (["A", "B"], [0, 0], np.array([[1, 2], [2, 1]])), {}),
+        ("INVALID_VIEWS", (["A", "B"], [0, 0], eye), {"p": [[1]], "q": [0], "conf": [1]}), ("INVALID_VIEWS", (["A", "B"], [0, 0], eye), {"p": [[0, 0]], "q": [0], "conf": [1]}),
+        ("INVALID_CONFIDENCE", (["A", "B"], [0, 0], eye), {"p": [[1, 0]], "q": [0], "conf": [0]}),
+    ):
+        with pytest.raises(O.AllocationError) as e:
+            O.serve("BL_ML", *args, O.Policy(1, 0.9), **more)
+        assert e.value.code == code
+    with pytest.raises(O.AllocationError) as e:
+        O.serve("MVO", ["A", "B"], [0, 0], eye, O.Policy(1, 0.4))
+    assert e.value.code == "INFEASIBLE"
