@@ -42,7 +42,16 @@ def written(df: DataFrame, name: str, light: bool = False) -> DataFrame:
     cores, partitions = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = max(cores, partitions // 32) if light else max(FILES_PER_CORE * cores, partitions // PARTITIONS_PER_FILE)
     df.coalesce(files).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more, such as the last round's of a loop."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held(df: DataFrame) -> DataFrame:

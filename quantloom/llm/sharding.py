@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 BINS = 4096
 SLACK = 1000
@@ -121,7 +121,7 @@ def _children(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard; as many shards as named, or as target_bytes asks for."""
-    rows = written(metadata(docs), "shard-rows")
+    table = rows = written(metadata(docs), "shard-rows")
     columns = ["place", *DIMENSIONS]
     whole = rows.agg(F.sum("size").alias("total"), *[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]).first()
     if whole["total"] is None:
@@ -132,8 +132,12 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     for _ in range((leaves - 1).bit_length()):
         state = written(_first_state(rows, whole), "shard-splits", light=True)
         while not state.filter("not done").isEmpty():
-            state = written(_narrowed(rows, state, slack, together, whole), "shard-splits", light=True)
-        rows = written(_children(rows, state), "shard-rows")
+            before, state = state, written(_narrowed(rows, state, slack, together, whole), "shard-splits", light=True)
+            discard(before)
+        before, rows = table, written(_children(rows, state), "shard-rows")
+        table = rows
+        discard(before)
+        discard(state)
     return rows.select("doc_id", "size", "text_crc32", F.col("node").alias("shard"))
 
 
