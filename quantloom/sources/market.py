@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import parsed_date, valid_id
 from . import files
 
+#: Fixed values of the sources: the name of bond funds' types, the default proxy, limits of one input.
 BOND = "(?i)Trái phiếu|Bond|Fixed Income"
 PROXY = "E1VFVN30"
 MOST_BYTES, MOST_ROWS, MOST_FINDINGS, MOST_DAYS = 4 << 20, 5000, 100, 3650
