@@ -80,10 +80,10 @@ def full_arm(decisions: DataFrame, assets: DataFrame, name: str = "full") -> Dat
 
 def pair_correlation(chosen: DataFrame, correlation: DataFrame) -> DataFrame:
     """Per arm and decision mean and median correlation of the pairs of chosen assets (arm, t, asset); correlation
-    is (a, b, corr)."""
+    is (t, a, b, corr)."""
     sets = chosen.groupBy("arm", "t").agg(F.array_sort(F.collect_set("asset")).alias("x"))
     pairs = sets.select("arm", "t", "x", F.posexplode("x").alias("i", "a")).select("arm", "t", "a", F.explode(F.expr("slice(x, i + 2, size(x))")).alias("b"))
-    both = pairs.join(correlation.select("a", "b", "corr"), ["a", "b"])
+    both = pairs.join(correlation.select("t", "a", "b", "corr"), ["t", "a", "b"])
     return both.groupBy("arm", "t").agg(F.avg("corr").alias("mean_pair"), F.median("corr").alias("median_pair"), F.count("*").alias("pairs"))
 
 

@@ -65,6 +65,43 @@ def covariance(rows: DataFrame) -> DataFrame:
     return out.select("t", "a", "b", "cov", div("cov", F.col("sx") * F.col("sy")).alias("corr"), "n")
 
 
+def block_moments(returns: DataFrame, every: int, first: int = 0) -> DataFrame:
+    """Mergeable sums (block, a, b, n, sa, sb, saa, sbb, sab, ca, cb) of the pairs a <= b over blocks of `every` rows, block 0
+    from row `first` on. Values are taken from the asset's first return (ca, cb), so a constant side has sums of
+    0. Rows on which not every asset has a return are left out. A row is unfolded once, within its block's
+    array; a pair has one row for each block."""
+    rows = returns.filter("r is not null").groupBy("rn").agg(F.array_sort(F.collect_list(F.struct("asset", "r"))).alias("v"))
+    head = rows.agg(F.max_by("v", F.struct(F.size("v"), -F.col("rn"))).alias("head")).select(F.col("head.asset").alias("names"), F.col("head.r").alias("base"))
+    whole = rows.join(F.broadcast(head)).filter("v.asset = names")  # one row
+    shifted = whole.select(F.expr(f"(rn - {first}) div {every}").alias("block"), "names", "base", F.expr("transform(v, (x, i) -> x.r - base[i])").alias("x"))
+    blocks = shifted.filter("block >= 0").groupBy("block").agg(F.collect_list("x").alias("m"), F.first("names").alias("names"), F.first("base").alias("base"))
+    blocks = blocks.withColumn("s", F.expr("transform(names, (_, j) -> aggregate(m, 0D, (s, x) -> s + x[j]))")).withColumn("q", F.expr("transform(names, (_, j) -> aggregate(m, 0D, (s, x) -> s + x[j] * x[j]))"))
+    each = blocks.select("*", F.posexplode("names").alias("i", "a")).withColumn("c", F.expr("transform(sequence(i, size(names) - 1), j -> aggregate(m, 0D, (s, x) -> s + x[i] * x[j]))"))
+    pairs = each.select("block", F.size("m").cast("bigint").alias("n"), "i", "a", "names", "base", "s", "q", F.posexplode("c").alias("k", "sab"))
+    at = F.expr("i + k")
+    return pairs.select(
+        "block", "a", F.col("names")[at].alias("b"), "n", F.expr("s[i]").alias("sa"), F.col("s")[at].alias("sb"), F.expr("q[i]").alias("saa"), F.col("q")[at].alias("sbb"), "sab",
+        F.expr("base[i]").alias("ca"), F.col("base")[at].alias("cb"),
+    )
+
+
+def merged_moments(blocks: DataFrame, back: int | None = None) -> DataFrame:
+    """Of each block and the blocks before it (`back` in all; none: every one) mean of a, covariance and correlation
+    of all pairs (block, a, b, n, mean, cov, corr). Sums of blocks are added, no row is read again. A variance below
+    1e-13 of the raw square is rounding and counts as 0: then the correlation is null."""
+    span = Window.partitionBy("a", "b").orderBy("block").rangeBetween(Window.unboundedPreceding if back is None else 1 - back, 0)
+    sums = blocks.select("block", "a", "b", "ca", "cb", *[F.sum(c).over(span).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    free = F.col("n") - 1
+    va, vb = [F.col(f"s{x}{x}") - F.col(f"s{x}") * F.col(f"s{x}") / F.col("n") for x in "ab"]
+    va, vb = (F.when(v > 1e-13 * F.col(f"s{x}{x}"), v) for v, x in ((va, "a"), (vb, "b")))
+    cov = div(F.col("sab") - F.col("sa") * F.col("sb") / F.col("n"), free)
+    out = sums.select("block", "a", "b", "n", (F.col("ca") + F.col("sa") / F.col("n")).alias("ma"), (F.col("cb") + F.col("sb") / F.col("n")).alias("mb"), cov.alias("cov"), div(cov * free, F.sqrt(va * vb)).alias("corr"))
+    one = F.struct(F.col("a").alias("a"), F.col("b").alias("b"), F.col("ma").alias("mean"))
+    other = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("mb").alias("mean"))
+    sides = F.explode(F.when(F.col("a") == F.col("b"), F.array(one)).otherwise(F.array(one, other)))
+    return out.select("block", sides.alias("p"), "n", "cov", "corr").select("block", "p.a", "p.b", "n", "p.mean", "cov", "corr")
+
+
 def distance(cov: DataFrame) -> DataFrame:
     """1 - correlation in [0, 2]; an unknown correlation counts as 0; no distance to oneself."""
     d = F.least(F.greatest(1 - F.coalesce("corr", F.lit(0.0)), F.lit(0.0)), F.lit(2.0))

@@ -293,10 +293,15 @@ _WIN = f"""{RET}, t as (select distinct rn as t from panel where rn >= 20 and (r
 wr as (select t.t, r.asset, r.rn, r.r from t join ret r on r.rn between t.t - 18 and t.t + 1 and r.r is not null)"""
 
 
+def _trailing(spark, sf):
+    """Moments of the 20 returns up to each decision: four blocks of five rows."""
+    blocks = stats.block_moments(D.panel_returns(spark, sf), 5, first=2)
+    return stats.merged_moments(blocks, 4).filter("n = 20").withColumn("t", 5 * F.col("block") + 5)
+
+
 @query(f"with {_WIN}, c as (select x.t, x.asset as a, y.asset as b, covar_samp(x.r, y.r) as cov, count(*) as n from wr x join wr y on x.t = y.t and x.rn = y.rn group by 1, 2, 3) select t, a, b, round(cov, 8) as cov, n from c where n = 20")
 def covariance_20(spark, sf):
-    rows = D.panel_returns(spark, sf)
-    return stats.covariance(stats.window_rows(rows, 5, 20)).filter("n = 20").select("t", "a", "b", F.round("cov", 8).alias("cov"), "n")
+    return _trailing(spark, sf).select("t", "a", "b", F.round("cov", 8).alias("cov"), "n")
 
 
 _DIST = f"""{RET}, whole as (select x.asset as a, y.asset as b, covar_samp(x.r, y.r) / nullif(stddev_samp(x.r) * stddev_samp(y.r), 0) as corr from ret x join ret y on x.rn = y.rn and x.r is not null and y.r is not null group by 1, 2),
@@ -322,17 +327,61 @@ def medoids_k2(spark, sf):
     return selection.medoids(_distances(spark, sf), 2).select("asset", *r6("objective"))
 
 
-@query(
-    f"""with {_DIST}, n as (select a, b, dist, row_number() over (partition by a order by dist, b) as k from dist where b in ('Brand#11', 'Brand#23', 'Brand#45')) select a as asset, b as representative, round(dist, 6) as dist from n where k = 1"""
-)
-def nearest_medoid(spark, sf):
-    chosen = spark.createDataFrame([(0, b) for b in ("Brand#11", "Brand#23", "Brand#45")], "t long, asset string")
-    return selection.nearest(_distances(spark, sf), chosen).select("asset", "representative", *r6("dist"))
+def _best_five(source: str) -> str:
+    """The five medoids of each t from source (t, a, b, dist), by all subsets of five."""
+    return f"""ids as (select t, a, list(dist order by b) as l from {source} group by 1, 2), r as (select unnest(range(1, (select count(distinct a) from {source}) + 1)) as x),
+five as (select a.x as i1, b.x as i2, c.x as i3, d.x as i4, e.x as i5 from r a join r b on a.x < b.x join r c on b.x < c.x join r d on c.x < d.x join r e on d.x < e.x),
+cost as (select t, i1, i2, i3, i4, i5, sum(least(l[i1], l[i2], l[i3], l[i4], l[i5])) as c from ids cross join five group by all),
+first as (select * from cost qualify row_number() over (partition by t order by round(c, 11), i1, i2, i3, i4, i5) = 1),
+medoid as (select t, (select list(a order by a) from (select distinct a from {source}))[i] as asset, c as objective from (select t, c, unnest([i1, i2, i3, i4, i5]) as i from first))"""
 
 
-@query()
+@query(f"with {_DIST}, one as (select 0 as t, a, b, dist from dist), {_best_five('one')} select asset, round(objective, 6) as objective from medoid")
 def medoids_k5(spark, sf):
-    return selection.medoids(_distances(spark, sf), 5)
+    return selection.medoids(_distances(spark, sf), 5).select("asset", *r6("objective"))
+
+
+_PREFIX = """dec as (select distinct rn as t from panel where rn >= 30 and rn % 20 = 0),
+pc as (select t, x.asset as a, y.asset as b, coalesce(covar_samp(x.r, y.r) / nullif(stddev_samp(x.r) * stddev_samp(y.r), 0), 0) as corr, count(*) as n from dec join ret x on x.rn < t and x.r is not null join ret y on y.rn = x.rn and y.r is not null group by 1, 2, 3),
+pd as (select t, a, b, round(case when a = b then 0 else least(greatest(1 - corr, 0), 2) end, 9) as dist from pc)"""
+
+
+def _prefix(spark, sf):
+    """Moments of all returns before each reselection (each 20 rows from 30 on): running sums of blocks of 20."""
+    rows = D.panel_returns(spark, sf)
+    moments = stats.merged_moments(stats.block_moments(rows, 20)).withColumn("t", 20 * F.col("block") + 20)
+    due = rows.filter("rn >= 30 and rn % 20 = 0").select(F.col("rn").alias("t")).distinct()
+    return moments.join(due, "t", "left_semi").withColumn("corr", F.coalesce("corr", F.lit(0.0)))
+
+
+def _prefix_distances(spark, sf):
+    return stats.distance(_prefix(spark, sf)).withColumn("dist", F.round("dist", 9))
+
+
+@query(f"with {RET}, {_PREFIX} select t, a, b, round(corr, 6) as corr, n from pc")
+def prefix_correlations(spark, sf):
+    """Correlation of all pairs over the rows before each reselection."""
+    return _prefix(spark, sf).select("t", "a", "b", *r6("corr"), "n")
+
+
+def _representatives(spark, sf):
+    return selection.medoids(_prefix_distances(spark, sf), 5)
+
+
+_MEDOIDS = f"{RET}, {_PREFIX}, {_best_five('pd')}"
+
+
+@query(f"with {_MEDOIDS} select t, asset, round(objective, 6) as objective from medoid")
+def medoids_by_decision(spark, sf):
+    """Five representatives at each reselection, from what was known before it."""
+    return _representatives(spark, sf).select("t", "asset", *r6("objective"))
+
+
+@query(f"with {_MEDOIDS}, n as (select pd.t, a, b, dist, row_number() over (partition by pd.t, a order by dist, b) as k from pd join medoid on medoid.t = pd.t and medoid.asset = pd.b) select t, a as asset, b as representative, round(dist, 6) as dist from n where k = 1")
+def nearest_medoid(spark, sf):
+    """Each asset's nearest representative at each reselection."""
+    distances = D.held(_prefix_distances(spark, sf))
+    return selection.nearest(distances, selection.medoids(distances, 5)).select("t", "asset", "representative", *r6("dist"))
 
 
 _VOLAT = f"""{RET}, v as (select rn as t, asset, round(stddev_samp(r) over (partition by asset order by d rows between 20 preceding and 1 preceding), 9) as vol from ret),
@@ -521,9 +570,7 @@ def concentration(spark, sf):
 
 
 def _moments(spark, sf):
-    rows = stats.window_rows(D.panel_returns(spark, sf), 5, 20)
-    mean = rows.groupBy("t", F.col("asset").alias("a")).agg(F.avg("r").alias("mean"))
-    return stats.covariance(rows).filter("n = 20").join(mean, ["t", "a"]).select(F.col("t").alias("rn"), "a", "b", "mean", "cov")
+    return _trailing(spark, sf).select(F.col("t").alias("rn"), "a", "b", "mean", "cov")
 
 
 POLICY = optimize.Policy(1.5, 0.5, ("Brand#11", "Brand#12"), 0.15, 0.70)

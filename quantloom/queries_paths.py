@@ -12,7 +12,7 @@ from .operators import learning, ml, optimize, selection, serving, stats, views
 from .operators import portfolio as N
 from .oracle import PANEL, RET, ema, w
 from .plans import derived as D
-from .queries import _DRIFT, _EW, _IV, _MKT, _MOM, _RATIO, _TURN, _VOLAT, POLICY, _assets, _distances, _iv_weights, _momenta, _moments, _selected, query, r6
+from .queries import _DRIFT, _EW, _IV, _MKT, _MOM, _RATIO, _TURN, _VOLAT, _MEDOIDS, _PREFIX, POLICY, _assets, _prefix, _prefix_distances, _representatives, _iv_weights, _momenta, _moments, _selected, query, r6
 from .sources import files
 
 # ---------------------------------------------------------------- features
@@ -193,28 +193,23 @@ def effect_sizes(spark, sf):
 
 # ---------------------------------------------------------------- selection
 
-_CORR = f"""{_VOLAT}, corr as (select x.asset as a, y.asset as b, coalesce(covar_samp(x.r, y.r) / nullif(stddev_samp(x.r) * stddev_samp(y.r), 0), 0) as corr from ret x join ret y on x.rn = y.rn and x.r is not null and y.r is not null group by 1, 2), sel as (select t, asset from pick where rank <= 5)"""
+_CORR = f"{_VOLAT}, {_PREFIX}, sel as (select t, asset from pick where rank <= 5)"
 
 
-def _correlations(spark, sf):
-    rows = D.panel_returns(spark, sf).filter("r is not null").select(F.lit(0).cast("bigint").alias("t"), "asset", "rn", "r")
-    return stats.covariance(rows).select("a", "b", F.coalesce("corr", F.lit(0.0)).alias("corr"))
-
-
-@query(f"with {_CORR} select 'simple' as arm, x.t, round(avg(corr), 6) as mean_pair, round(median(corr), 6) as median_pair, count(*) as pairs from sel x join sel y on x.t = y.t and x.asset < y.asset join corr on a = x.asset and b = y.asset group by 2")
+@query(f"with {_CORR} select 'simple' as arm, x.t, round(avg(corr), 6) as mean_pair, round(median(corr), 6) as median_pair, count(*) as pairs from sel x join sel y on x.t = y.t and x.asset < y.asset join pc on pc.t = x.t and a = x.asset and b = y.asset group by 2")
 def pair_correlations(spark, sf):
     chosen = _selected(spark, sf).select(F.lit("simple").alias("arm"), "t", "asset")
-    return X.pair_correlation(chosen, _correlations(spark, sf)).select("arm", "t", *r6("mean_pair", "median_pair"), "pairs")
+    return X.pair_correlation(chosen, _prefix(spark, sf)).select("arm", "t", *r6("mean_pair", "median_pair"), "pairs")
 
 
 @query(
-    f"""with {_CORR}, dist as (select a, b, round(case when a = b then 0 else least(greatest(1 - corr, 0), 2) end, 9) as dist from corr), obj as (select t, sum(m) as objective from (select sel.t, dist.a, min(dist) as m from sel join dist on b = sel.asset group by 1, 2) group by 1),
+    f"""with {_CORR}, obj as (select t, sum(m) as objective from (select sel.t, pd.a, min(dist) as m from sel join pd on pd.t = sel.t and b = sel.asset group by 1, 2) group by 1),
 s as (select t, list_sort(list(asset)) as m from sel group by 1), l as (select t, m, lag(m) over (order by t) as b from s), j as (select t, case when b is not null then len(list_intersect(m, b)) / len(list_distinct(list_concat(m, b)))::double end as jaccard, case when b is not null then len(list_filter(m, lambda x: not list_contains(b, x))) end as switched from l)
 select 'simple' as experiment, case when t < 200 then 'IS' else 'OOS' end as phase, count(*) as events, round(avg(objective), 6) as coverage, round(avg(jaccard), 6) as mean_jaccard, sum(coalesce(switched, 0))::bigint as changes from j join obj using (t) group by 2"""
 )
 def selection_structure(spark, sf):
     chosen = D.held(_selected(spark, sf).select("t", "asset"))
-    objective = selection.objective(_distances(spark, sf).drop("t"), chosen)
+    objective = selection.objective(_prefix_distances(spark, sf), chosen)
     rows = selection.changes(chosen).join(objective, "t").select(F.lit("simple").alias("experiment"), F.when(F.col("t") < 200, "IS").otherwise("OOS").alias("phase"), "objective", "jaccard", "switched")
     return X.selection_structure(rows).select("experiment", "phase", "events", *r6("coverage", "mean_jaccard"), "changes")
 
@@ -239,11 +234,11 @@ def reselect_schedule(spark, sf):
     return X.due(rows, 20)
 
 
-_FORCE = f"""{_VOLAT}, sel as (select t, list_sort(list(asset)) as m from pick where rank <= 5 group by 1), dec as (select distinct rn from panel where rn >= 25 and (rn - 25) % 5 = 0), fc as (select rn, max(t) as t from dec left join sel on t <= rn group by 1)"""
+_FORCE = f"""{_MEDOIDS}, sel as (select t, list_sort(list(asset)) as m from medoid group by 1), turn as (select distinct rn from panel where rn >= 25 and (rn - 25) % 5 = 0), fc as (select rn, max(t) as t from turn left join sel on t <= rn group by 1)"""
 
 
 def _in_force(spark, sf):
-    chosen = _selected(spark, sf).groupBy("t").agg(F.array_sort(F.collect_set("asset")).alias("members"))
+    chosen = _representatives(spark, sf).groupBy("t").agg(F.array_sort(F.collect_set("asset")).alias("members"))
     return X.in_force(N.rebalance_rows(D.panel(spark, sf), 25).select("rn"), chosen)
 
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import time
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -98,7 +100,33 @@ def test_prune_keeps_the_cap():
 def test_best_subset_is_the_first_of_equals():
     d = np.abs(np.subtract.outer(np.arange(6.0), np.arange(6.0)))
     assert selection.best_subset(d, 2)[0] == (1, 4)
-    assert selection.best_subset(np.zeros((4, 4)), 2) == ((0, 1), 0.0)
+    assert selection.best_subset(np.zeros((4, 4)), 2)[:2] == ((0, 1), 0.0)
+
+
+def test_best_subset_by_branch_and_bound_equals_enumeration():
+    rng = np.random.default_rng(3)
+    for n, k in ((6, 2), (9, 3), (12, 4), (10, 1), (8, 8), (13, 5)):
+        for rep in range(6):
+            x = rng.normal(size=(n, 40)) + (rng.normal(size=(1, 40)) if rep % 2 else 0)
+            if rep % 3 == 0:
+                x[1], x[-1] = x[0], x[2]
+            d = np.round(np.clip(1 - np.corrcoef(x), 0, 2), 9 if rep % 2 else 1)
+            np.fill_diagonal(d, 0)
+            every = np.array(list(combinations(range(n), k)))
+            cost = d[:, every].min(axis=2).sum(axis=0)
+            want = int(np.round(cost, 11).argmin())
+            got, total, _ = selection.best_subset(d, k)
+            assert got == tuple(every[want].tolist()) and total == pytest.approx(cost[want], abs=1e-9)
+            parts = [selection.best_subset(d, k, i) for i in range(n - k + 1)]
+            assert min((round(c, 11), s) for s, c, _ in parts)[1] == got
+
+
+def test_best_subset_of_thirty_is_pruned():
+    x = np.random.default_rng(1).normal(size=(30, 300))
+    d = np.clip(1 - np.corrcoef(x), 0, 2)
+    start = time.perf_counter()
+    assert selection.best_subset(d, 5)[2] < 142_506 // 5
+    assert time.perf_counter() - start < 3
 
 
 def test_metric_summary_by_hand(spark):
