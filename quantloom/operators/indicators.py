@@ -3,7 +3,6 @@ sort by asset; only recursive averages leave the JVM, one Arrow batch per asset.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,20 +73,45 @@ def atr(bars: DataFrame, n: int = 14) -> DataFrame:
     return bars.withColumn("_tr", true_range()).withColumn("atr", F.avg("_tr").over(trailing(n))).drop("_tr")
 
 
-def recursive_averages(panel: DataFrame) -> DataFrame:
-    """Adds ema_10, ema_30 and the MACD line, signal and histogram (12, 26, 9); every average starts at its
-    own first value. One pass over each asset's series, in order."""
+SPANS = {"ema_10": 10, "ema_30": 30, "ema_12": 12, "ema_26": 26}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("d")
-        px = pdf["px"]
-        line = px.ewm(span=12, adjust=False).mean() - px.ewm(span=26, adjust=False).mean()
-        signal = line.ewm(span=9, adjust=False).mean()
-        return pdf.assign(ema_10=px.ewm(span=10, adjust=False).mean(), ema_30=px.ewm(span=30, adjust=False).mean(), macd=line, macd_signal=signal, macd_hist=line - signal)
 
-    extra = "ema_10 double, ema_30 double, macd double, macd_signal double, macd_hist double"
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in panel.schema)
-    return panel.groupBy("asset").applyInPandas(run, f"{fields}, {extra}")
+def _folded(values: str, span: int) -> Column:
+    """What a block adds to a recursive average that enters it as 0, and what is left of the average: the block is the
+    affine map e -> keep * e + add."""
+    a = 2.0 / (span + 1)
+    return F.struct(F.expr(f"pow({1 - a}D, size({values}))").alias("keep"), F.expr(f"aggregate({values}, 0D, (e, v) -> e * {1 - a}D + {a}D * v)").alias("add"))
+
+
+def _carried(maps: str, first: str) -> Column:
+    """The average that enters a block: the maps of the blocks before it, applied to the first value."""
+    before = Window.partitionBy("asset").orderBy("_block")
+    earlier = F.collect_list(maps).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    return F.aggregate(earlier, F.first(first).over(before), lambda e, m: e * m["keep"] + m["add"])
+
+
+def _spread(values: str, carry: str, span: int) -> Column:
+    """The averages of a block's rows."""
+    a = 2.0 / (span + 1)
+    next_ = f"s.e * {1 - a}D + {a}D * v"
+    return F.expr(f"aggregate({values}, named_struct('e', {carry}, 'out', cast(array() as array<double>)), (s, v) -> named_struct('e', {next_}, 'out', array_append(s.out, {next_})), s -> s.out)")
+
+
+def recursive_averages(panel: DataFrame, block: int = 256) -> DataFrame:
+    """Adds ema_10, ema_30 and the MACD line, signal and histogram (12, 26, 9); every average starts at its own first
+    value. An asset's rows lie in blocks by rn, each a group of its own; only the blocks' affine maps, two numbers for
+    each average, meet in one window of the asset. Prices are known on every row."""
+    others = [c for c in panel.columns if c not in ("asset", "rn")]
+    rows = panel.groupBy("asset", F.expr(f"(rn - 1) div {block}").alias("_block")).agg(F.array_sort(F.collect_list(F.struct("rn", *others))).alias("_rows"))
+    rows = rows.withColumn("_px", F.col("_rows.px")).withColumn("_x", F.col("_px")[0])
+    rows = rows.withColumns({f"_m{c}": _folded("_px", n) for c, n in SPANS.items()})
+    rows = rows.withColumns({f"_c{c}": _carried(f"_m{c}", "_x") for c in SPANS})
+    rows = rows.withColumns({f"_e{c}": _spread("_px", f"_c{c}", n) for c, n in SPANS.items()})
+    rows = rows.withColumn("_line", F.expr("zip_with(_eema_12, _eema_26, (a, b) -> a - b)")).withColumn("_l", F.col("_line")[0])
+    rows = rows.withColumn("_ms", _folded("_line", 9)).withColumn("_cs", _carried("_ms", "_l")).withColumn("_signal", _spread("_line", "_cs", 9))
+    each = rows.select("asset", F.explode(F.arrays_zip("_rows", F.col("_eema_10").alias("ema_10"), F.col("_eema_30").alias("ema_30"), F.col("_line").alias("macd"), F.col("_signal").alias("macd_signal"))).alias("_r"))
+    own = [F.col("asset") if c == "asset" else F.col(f"_r._rows.{c}").alias(c) for c in panel.columns]
+    return each.select(*own, "_r.ema_10", "_r.ema_30", "_r.macd", "_r.macd_signal", (F.col("_r.macd") - F.col("_r.macd_signal")).alias("macd_hist"))
 
 
 def drawdown(value: str = "px") -> Column:
