@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import RollingHash, flat_bytes, mix64, slices, written
 
 LEAST, COVERED, TOP = 10, 50, 2000
-BITS, SLICE, FIRST, WIDEN = 25, 1 << 22, 2, 4
+BITS, SLICE, FIRST, WIDEN = 25, 1 << 20, 2, 4
 ONE = 1_000_000
 
 KIND = np.zeros(256, np.uint8)  # 0: in words, 1: between words, 2: between pieces
@@ -76,7 +76,7 @@ class Words:
         begin = np.flatnonzero(word & (border[:-1] | ~np.append(False, word[:-1])))
         end = np.flatnonzero(word & (border[1:] | ~np.append(word[1:], False))) + 1
         doc = np.searchsorted(off, begin, "right") - 1
-        breaks = np.append(0, np.cumsum(kind == 2))
+        breaks = np.append(np.int32(0), np.cumsum(kind == 2, dtype=np.int32))
         self.joined = (doc[1:] == doc[:-1]) & (breaks[begin[1:]] == breaks[end[:-1]])
         texts = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(0, np.cumsum(end - begin))), pa.py_buffer(LOWER[raw[word]]))
         texts = texts.dictionary_encode()
