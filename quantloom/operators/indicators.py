@@ -1,5 +1,5 @@
 """Technical indicators and features over a panel (asset, d, px, rn): window functions that share one
-sort by asset; only recursive averages leave the JVM, one Arrow batch per asset."""
+sort by asset, and recursive averages by blocks."""
 
 from __future__ import annotations
 

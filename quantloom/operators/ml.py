@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, div
-from .learners import BoostedTrees, pairwise_gradient
+from .learners import BoostedTrees, Pairwise
 
 ML_FEATURES = ["momentum_5", "momentum_10", "momentum_20", "rsi", "ma_ratio", "vol_20", "macd_hist", "price_std_20"]
 
@@ -25,11 +25,11 @@ def labelled(features: DataFrame, horizon: int = 5) -> DataFrame:
     return rows.filter("y is not null")
 
 
-def temporal_split(rows: DataFrame, part: float = 0.8, purge: bool = True) -> DataFrame:
-    """Adds `fold`: the first part of each asset's rows trains, the rest validates; training rows whose label
-    ends at the first validation row or later are purged."""
-    whole = Window.partitionBy("asset")
-    rows = rows.withColumn("_i", F.row_number().over(by_row())).withColumn("_n", F.floor(F.count("*").over(whole) * F.lit(part)))
+def temporal_split(rows: DataFrame, part: float = 0.8, purge: bool = True, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
+    """Adds `fold`: the first part of each asset's rows (or of those of other keys) trains, the rest validates;
+    training rows whose label ends at the first validation row or later are purged."""
+    whole = Window.partitionBy(*keys)
+    rows = rows.withColumn("_i", F.row_number().over(whole.orderBy("rn"))).withColumn("_n", F.floor(F.count("*").over(whole) * F.lit(part)))
     rows = rows.withColumn("_v", F.min(F.when(F.col("_i") > F.col("_n"), F.col("rn"))).over(whole))
     late = (F.col("label_rn") >= F.col("_v")) if purge else F.lit(False)
     return rows.withColumn("fold", F.when(F.col("_i") > F.col("_n"), "validation").when(late, "purged").otherwise("train")).drop("_i", "_n", "_v")
@@ -41,15 +41,15 @@ def scaler(train: DataFrame, columns: list[str]) -> DataFrame:
     return train.groupBy("asset").agg(*[e for c in columns for e in (F.avg(c).alias(f"{c}_mean"), sd(c).alias(f"{c}_sd"))])
 
 
-def ensemble_forecasts(rows: DataFrame, features: list[str], members: int = 5, least: int = 100, rounds: int = 200) -> DataFrame:
-    """Per asset a forecast of its last row by an ensemble trained on `fold` (train / validation): mean and
-    population deviation of the members. Assets with fewer training rows give none. The last row has fold
-    `latest`."""
+def ensemble_forecasts(rows: DataFrame, features: list[str], members: int = 5, least: int = 100, rounds: int = 200, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
+    """Per asset (or other keys) forecasts of the rows of fold `latest` by an ensemble trained on `fold` (train /
+    validation): mean and population deviation of the members. Groups with fewer training rows give none."""
+    types = dict(rows.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rn").dropna(subset=features)
         train, valid, last = (pdf[pdf["fold"] == f] for f in ("train", "validation", "latest"))
-        empty = pd.DataFrame({"asset": [], "rn": [], "pred": [], "std": [], "n_train": [], "trees": []}, dtype=object)
+        empty = pd.DataFrame({c: [] for c in (*keys, "rn", "pred", "std", "n_train", "trees")}, dtype=object)
         if len(train) < least or not len(last):
             return empty
         x = train[features].to_numpy(float)
@@ -63,11 +63,13 @@ def ensemble_forecasts(rows: DataFrame, features: list[str], members: int = 5, l
         for i in range(members):
             m = BoostedTrees(rounds, rows=0.8, columns=min(1.0, 0.7 + 0.05 * i), patience=10, seed=42 + i)
             m.fit(scaled(train), train["y"].to_numpy(float), (scaled(valid), valid["y"].to_numpy(float)))
-            out.append(m.predict(scaled(last.tail(1)))[0])
+            out.append(m.predict(scaled(last)))
             trees += len(m.trees)
-        return pd.DataFrame({"asset": [pdf["asset"].iloc[0]], "rn": [int(last["rn"].iloc[-1])], "pred": [np.mean(out)], "std": [np.std(out)], "n_train": [len(train)], "trees": [trees]})
+        own = {c: pdf[c].iloc[0] for c in keys}
+        return pd.DataFrame({**own, "rn": last["rn"].to_numpy(), "pred": np.mean(out, axis=0), "std": np.std(out, axis=0), "n_train": len(train), "trees": trees})
 
-    return rows.groupBy("asset").applyInPandas(run, "asset string, rn long, pred double, std double, n_train long, trees long")
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", rn long, pred double, std double, n_train long, trees long"
+    return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
 def ranker_scores(rows: DataFrame, features: list[str], members: int = 5, rounds: int = 200) -> DataFrame:
@@ -81,7 +83,7 @@ def ranker_scores(rows: DataFrame, features: list[str], members: int = 5, rounds
         if train["d"].nunique() < 2 or len(new) < 2:
             return pd.DataFrame({"t": [], "asset": [], "score": []}, dtype=object)
         x, z = train[features].to_numpy(float), new[features].to_numpy(float)
-        gradient = pairwise_gradient(train["grade"].to_numpy(float), pd.factorize(train["d"])[0])
+        gradient = Pairwise(train["grade"].to_numpy(float), pd.factorize(train["d"])[0]).gradient
         model = BoostedTrees(rounds, depth=4, rate=0.05, rows=0.8, seed=42 + int(pdf["member"].iloc[0])).fit(x, train["grade"].to_numpy(float), gradient=gradient)
         return pd.DataFrame({"t": pdf["t"].iloc[0], "asset": new["asset"].to_numpy(), "score": model.predict(z)})
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .operators import experiments as X
 from .operators import indicators as I
-from .operators import learning, ml, optimize, selection, serving, stats, views
+from .operators import learning, ml, optimize, selection, serving, stats, views, walkforward
 from .operators import portfolio as N
 from .oracle import PANEL, RET, ema, w
 from .plans import derived as D
@@ -472,8 +472,12 @@ def serving_predictions(spark, sf):
 
 def _view_matrices(spark, sf):
     """Relative views at the combination's weights, dampened, with the defensive ones behind them."""
-    own, _ = _managed(spark, sf)
     model = views.combined(views.relative_views(_momenta(spark, sf))).withColumn("q_daily", F.col("q_annual") / 252)
+    return _with_defensive(spark, sf, model)
+
+
+def _with_defensive(spark, sf, model):
+    own, _ = _managed(spark, sf)
     all_ = views.with_defensive(model, own, _regimes(spark, sf).withColumnRenamed("rn", "t"))
     return views.matrices(all_, _assets(D.panel(spark, sf)), daily=True)
 
@@ -493,27 +497,104 @@ def next_period_weights(spark, sf):
     return optimize.solved(now, POLICY).unionByName(optimize.solved(now, POLICY, "BL_ML", views=_view_matrices(spark, sf)))
 
 
-def _active_weights(spark, sf, moments):
-    """Optimised over the active assets of each decision, more averse in a crisis, 0 for all others."""
-    active = D.held(X.active_assets(_in_force(spark, sf), _assets(D.panel(spark, sf)), ["Brand#11", "Brand#12"]).select("rn", "asset"))
+def _active_weights(spark, sf, moments, matrices):
+    """Optimised with and without views over the active assets of each decision, more averse in a crisis, 0 for all
+    others."""
+    active = D.held(X.active_assets(_force(spark, sf), _assets(D.panel(spark, sf)), ["Brand#11", "Brand#12"]).select("rn", "asset"))
     some = moments.join(active.withColumnRenamed("asset", "a"), ["rn", "a"], "left_semi").join(active.withColumnRenamed("asset", "b"), ["rn", "b"], "left_semi")
     tight = _regimes(spark, sf).filter("regime = 'crisis'").select("rn")
-    solved = optimize.solved(some, POLICY, "BL_ML", views=_view_matrices(spark, sf), tight=tight)
     every = moments.select("rn", F.col("a").alias("asset")).distinct()
-    return every.join(solved.drop("strategy"), ["rn", "asset"], "left").select(F.lit("BL_ML").alias("strategy"), "rn", "asset", F.coalesce("w", F.lit(0.0)).alias("w"))
+
+    def whole(solved, name):
+        return every.join(solved.drop("strategy"), ["rn", "asset"], "left").select(F.lit(name).alias("strategy"), "rn", "asset", F.coalesce("w", F.lit(0.0)).alias("w"))
+
+    return whole(optimize.solved(some, POLICY, "BL_ML", views=matrices, tight=tight), "BL_ML"), whole(optimize.solved(some, POLICY, tight=tight), "MVO_ACTIVE")
 
 
 @query()
 def active_subset_weights(spark, sf):
-    return _active_weights(spark, sf, D.held(_moments(spark, sf)))
+    with_views, without = _active_weights(spark, sf, D.held(_moments(spark, sf)), _view_matrices(spark, sf))
+    return with_views.unionByName(without)
+
+
+# ---------------------------------------------------------------- walk-forward with retraining
+
+RANKING_FEATURES = [
+    *[f"momentum_{n}" for n in (5, 20, 60)], "vol_20", "vol_60", "rsi", "macd_hist", "pct_b", *[f"market_ret_{n}" for n in (5, 20, 60)], "market_vol_20",
+    *[f"rank_momentum_{n}" for n in (5, 20, 60)], "rank_vol", "rank_overall",
+]
+
+
+def _force(spark, sf):
+    return D.held(_in_force(spark, sf).select("rn", "members"))
+
+
+def _with_labels(rows):
+    """Forward return over five rows and the row where it ends; unknown ones stay null."""
+    return rows.withColumn("y", I.forward_return(5)).withColumn("label_rn", F.lead("rn", 5).over(I.by_asset())).withColumn("label_d", F.lead("d", 5).over(I.by_asset()))
+
+
+def _ranking_rows(spark, sf):
+    panel = D.panel(spark, sf)
+    return _with_labels(I.ranking_features(panel, D.market(spark, sf)).join(panel.select("asset", "d", "px"), ["asset", "d"]))
+
+
+def _absolute_rows(spark, sf):
+    return _with_labels(I.ml_features(D.panel(spark, sf)))
+
+
+_TURNS = """ready as (select distinct rn from panel where rn >= 25 and (rn - 25) % 5 = 0 and rn - 6 > 135 and rn >= (select min(t) from sel)), turn as (select min(rn) as u from ready union all select (select min(rn) from ready where rn >= turn.u + 10) from turn where turn.u is not null),
+fitted as (select u, unnest(m) as asset from (select u, max(t) as t from turn join sel on t <= u where u is not null group by 1) x join sel on sel.t = x.t),
+lab as (select * from (select asset, rn, lead(rn, 5) over (partition by asset order by rn) as label_rn from panel) where rn >= 30 and label_rn is not null),
+tr as (select fitted.u, lab.*, row_number() over (partition by u, asset order by rn) as i, floor(count(*) over (partition by u, asset) * 0.8::double) as n from fitted join lab using (asset) where label_rn <= u - 6), val as (select u, asset, min(rn) as v from tr where i > n group by 1, 2)"""
+
+
+@query(
+    f"""with recursive {_FORCE.replace(', fc as (select rn, max(t) as t from turn left join sel on t <= rn group by 1)', '').replace(', turn as (select distinct rn from panel where rn >= 25 and (rn - 25) % 5 = 0)', '')}, {_TURNS}
+select u, asset, count(*) filter (where i <= n and label_rn < v) as n_train, count(*) filter (where i <= n and label_rn >= v) as n_purged, count(*) filter (where i > n) as n_validation, max(label_rn) as last_label, max(label_rn) filter (where i <= n and label_rn < v) as last_fitted, min(v) as validation_from from tr join val using (u, asset) group by 1, 2"""
+)
+def fit_audits(spark, sf):
+    """Every fit of the walk-forward: rows that train, are purged and validate, and the last labels they use."""
+    return walkforward.audits(_absolute_rows(spark, sf), walkforward.fit_turns(_force(spark, sf), "absolute"))
 
 
 @query()
-def walk_forward(spark, sf):
-    """Equal weights, mean-variance, views over the selection in force (each 20 rows), and their blend by regime:
-    decided at each rebalance, traded at the next close, with drifting holdings."""
+def learned_ranking_views(spark, sf):
+    """Views from the pairwise ranker, fitted anew each 10 rows; momenta before its first fit."""
+    rows, force = D.held(_ranking_rows(spark, sf)), _force(spark, sf)
+    turns = D.held(walkforward.fit_turns(force))
+    scores = D.held(walkforward.ranking_scores(rows, force, turns, RANKING_FEATURES))
+    return views.ranking_views(scores).unionByName(views.cold_start_views(walkforward.cold_starts(D.panel(spark, sf), force, turns)))
+
+
+@query()
+def learned_model_views(spark, sf):
+    """Views from each member's ensemble, fitted anew each 10 rows; none before its first fit."""
+    rows, force = D.held(_absolute_rows(spark, sf)), _force(spark, sf)
+    turns = D.held(walkforward.fit_turns(force, "absolute"))
+    out = D.held(walkforward.absolute_forecasts(rows, force, turns, ml.ML_FEATURES)).withColumn("conf", ml.ensemble_confidence())
+    spread = D.panel_returns(spark, sf).select((F.col("rn") + 1).alias("t"), "asset", I.volatility(20, full=False).alias("vol_20"), F.count("r").over(I.trailing(20)).alias("n_obs"))
+    return views.model_views(out.join(spread, ["t", "asset"])).withColumn("q_daily", F.col("q_annual") / 252)
+
+
+def _walked(spark, sf, model):
+    """Paths of equal weights, mean-variance over all assets, learned views over the selection in force (each 20 rows), and
+    their blend by regime with the mean-variance weights of the same selection: decided at each rebalance, traded at the
+    next close, with drifting holdings."""
     rows, moments = D.panel_returns(spark, sf), D.held(_moments(spark, sf).filter("rn >= 25"))
-    mvo, bl = D.held(optimize.solved(moments, POLICY)), D.held(_active_weights(spark, sf, moments))
+    bl, active = (D.held(x) for x in _active_weights(spark, sf, moments, _with_defensive(spark, sf, model)))
     ew = N.equal_weights(moments.select("rn").distinct(), rows.select("asset").distinct())
-    weights = ew.unionByName(mvo).unionByName(bl).unionByName(N.blended(mvo, bl, _regimes(spark, sf)))
+    weights = D.held(ew.unionByName(optimize.solved(moments, POLICY)).unionByName(bl).unionByName(N.blended(active, bl, _regimes(spark, sf))))
     return N.path(N.holdings(rows, weights))
+
+
+@query()
+def walk_forward(spark, sf):
+    """The walk-forward with views of the retrained ranker."""
+    return _walked(spark, sf, learned_ranking_views(spark, sf))
+
+
+@query()
+def walk_forward_absolute(spark, sf):
+    """The walk-forward with views of the retrained ensembles."""
+    return _walked(spark, sf, learned_model_views(spark, sf))
