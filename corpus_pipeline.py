@@ -38,8 +38,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the mixture's weights: a source's documents may come several times or in part."""
-    return mixing.mixed(docs).select(*docs.columns)
+    """The documents in the mixture's weights and order: a source's documents may come several times or in part, the
+    epochs one after the other, each in its block permutation. The order is that of the rows, since the
+    columns are those of documents."""
+    epoch, order = mixing.used_names(docs)
+    return mixing.mixed(docs).repartitionByRange(epoch, order).sortWithinPartitions(epoch, order).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-#: A written table has a file for every few shuffle partitions, but so many for each core at least.
-PARTITIONS_PER_FILE, FILES_PER_CORE = 4, 12
+#: A written table has a file for every few shuffle partitions, but so many for each core at least, and so many that
+#: none is of more of the plan's input than this.
+PARTITIONS_PER_FILE, FILES_PER_CORE, INPUT_PER_FILE = 4, 12, 128 << 20
 
 _U64 = np.uint64
 
@@ -34,6 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that a plan reads, as far as Spark knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def written(df: DataFrame, name: str, light: bool = False) -> DataFrame:
     """Cuts lineage: the rows go to a Parquet table in the shared folder and are read from there. light: rows
     of a few numbers, for which a file for each core is enough."""
@@ -41,6 +48,7 @@ def written(df: DataFrame, name: str, light: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     cores, partitions = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     files = max(cores, partitions // 32) if light else max(FILES_PER_CORE * cores, partitions // PARTITIONS_PER_FILE)
+    files = max(files, min(input_bytes(df) // (INPUT_PER_FILE * (8 if light else 1)), 1 << 20))
     df.coalesce(files).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path

@@ -141,7 +141,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("long").alias("label"))
     fine = F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
     sound = rows.filter(F.col("label").isNotNull() & F.col("v").isNotNull() & F.col("vec_id").isNotNull() & fine)
-    distinct = written(sound.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "distinct-vectors")
+    key = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2")]  # 128 bits stand for a vector
+    distinct = written(sound.select("vec_id", "label", "v", *key).groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")), "distinct-vectors")
 
     groups = written(distinct.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("size")), "labels", light=True)
     lumps = -(-(groups.filter(F.col("size") <= BLOCK).agg(F.sum("size")).first()[0] or 1) // BLOCK)
@@ -159,9 +160,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
 
     known = distinct.join(labels, "id", "left").join(counts, "id", "left")
-    known = known.select("label", "v", F.coalesce("component", "id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    known = known.withColumnsRenamed({"label": "known_label", "v": "known_v"})
-    out = rows.withColumn("sound", F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & F.col("vec_id").isNotNull() & fine, F.lit(False)))
-    out = out.join(known, F.col("sound") & (F.col("label") == F.col("known_label")) & (F.col("v") == F.col("known_v")), "left")
+    known = known.select("label", "k1", "k2", F.coalesce("component", "id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = known.withColumnsRenamed({"label": "known_label", "k1": "known_1", "k2": "known_2"})
+    out = rows.select("vec_id", "label", *key, F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & F.col("vec_id").isNotNull() & fine, F.lit(False)).alias("sound"))
+    out = out.join(known, F.col("sound") & (F.col("label") == F.col("known_label")) & (F.col("k1") == F.col("known_1")) & (F.col("k2") == F.col("known_2")), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -36,6 +36,7 @@ WORDS = 5
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 BLOCK = 256
+CELL_BYTES = 32 << 20
 AGREE = 82  # of 125 coordinates; at 0.85 fewer agree with probability 1.9e-8, at 0.80 fewer than 75 with 8.6e-8
 
 SPACE = np.zeros(256, bool)
@@ -187,7 +188,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     labels = components(linked(tested, sets, percent))
     apart = _apart(members, labels)
     if not apart.isEmpty():
-        cells = _cells(apart.join(reps.drop("set_key"), "doc_id").join(sets, "doc_id"))
+        full = apart.join(reps.drop("set_key"), "doc_id")
+        weight = full.filter(F.col("size") <= BLOCK).agg(F.sum(8 * (F.col("n_shingles") + BANDS) + COORDINATES)).first()[0] or 0
+        cells = _cells(full.join(sets, "doc_id"), max(1, weight // CELL_BYTES))
         further = components(cells.groupBy("cell", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct())
         labels = written(further_labels(labels, further), "labels", light=True)
     for x in (apart, sets):
@@ -215,13 +218,13 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return held(known.join(mixed.select("band", "key", "size"), ["band", "key"]))
 
 
-def _cells(apart: DataFrame) -> DataFrame:
+def _cells(apart: DataFrame, shared: int) -> DataFrame:
     """A row for each cell of a member: its bucket's pairs of blocks that hold it; small buckets stay whole
-    and share cells."""
+    and share so many cells."""
     out = apart.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     out = out.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     own = F.xxhash64("band", "key")
-    cell = F.when(F.col("blocks") > 1, own).otherwise(F.pmod(own, F.lit(4096)))
+    cell = F.when(F.col("blocks") > 1, own).otherwise(F.pmod(own, F.lit(shared)))
     return out.select(
         cell.alias("cell"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).alias("right"),
         "band", "key", "doc_id", "component", "n_shingles", "bands", "marks", "hashes",

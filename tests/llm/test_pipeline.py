@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quantloom.llm import bpe, linededup
+from quantloom.llm import bpe, linededup, mixing
 from quantloom.llm.common import read_table, written
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +58,12 @@ def test_run_is_the_stages(spark, stages):
     key = lambda df: sorted((r.doc_id, r.n_tokens) for r in df.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(stages["tokens"][1])
     assert linededup.without_repeated_lines(stages["lines"][1]).filter(F.col("_n_removed") > 0).count() == 0
+
+
+def test_mixture_rows_come_in_the_permutation(spark):
+    """A row that moves breaks the order of epochs and places."""
+    docs = read_table(spark, SF, "documents")
+    epoch, order = mixing.used_names(docs)
+    want = sorted((r[epoch], r[order], r.doc_id) for r in mixing.mixed(docs).collect())
+    got = [r.doc_id for r in corpus_pipeline.mixing_stage(spark, docs, SF).collect()]
+    assert got == [x[2] for x in want] and got != sorted(got)
