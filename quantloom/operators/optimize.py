@@ -28,6 +28,25 @@ def regularised(cov: np.ndarray, least: float = 1e-8) -> np.ndarray:
     return s if values[0] >= least else (vectors * np.maximum(values, least)) @ vectors.T
 
 
+def adjustment(cov: np.ndarray, least: float = 1e-8) -> dict:
+    """What `regularised` does to a covariance: whether it changes it, its smallest eigenvalue, and the largest change of
+    an eigenvalue."""
+    s = np.asarray(cov, float)
+    low = float(np.linalg.eigvalsh((s + s.T) / 2)[0])
+    return {"applied": low < least, "least_eigenvalue": low, "largest_change": max(0.0, least - low)}
+
+
+def posterior_covariance(cov: np.ndarray, p: np.ndarray, conf: np.ndarray, tau: float = 0.05) -> np.ndarray:
+    """Covariance of the posterior means: tau times the covariance, less what the views tell."""
+    prior = tau * cov
+    if not len(p):
+        return prior
+    cross = prior @ p.T
+    inner = p @ cross
+    omega = np.diag(np.maximum(np.diag(inner), 1e-10) / np.clip(conf, 1e-6, 1))
+    return prior - cross @ np.linalg.solve(inner + omega, cross.T)
+
+
 def posterior(cov: np.ndarray, market: np.ndarray, p: np.ndarray, q: np.ndarray, conf: np.ndarray, tau: float = 0.05, delta: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
     """Equilibrium returns and their update by views (rows of p, returns q, confidences)."""
     pi = delta * cov @ market
@@ -145,7 +164,7 @@ class AllocationError(ValueError):
 
 def checked(assets: list[str], mu, cov, p=None, q=None, conf=None) -> None:
     """Refuses wrong shapes, values that are not finite, covariances that are not symmetric or have a negative
-    eigenvalue, and views that do not fit or have confidences outside (0, 1]."""
+    eigenvalue, and views that do not fit or have confidences outside [0, 1]."""
     mu, cov, n = np.asarray(mu, float), np.asarray(cov, float), len(assets)
     if not n or len(set(assets)) != n or mu.shape != (n,) or cov.shape != (n, n):
         raise AllocationError("INVALID_SHAPE")
@@ -160,7 +179,7 @@ def checked(assets: list[str], mu, cov, p=None, q=None, conf=None) -> None:
         p, q, conf = np.asarray(p, float), np.asarray(q, float), np.asarray(conf, float)
         if p.ndim != 2 or p.shape[1] != n or q.shape != (len(p),) or conf.shape != (len(p),) or not (np.isfinite(p).all() and np.isfinite(q).all()) or (np.abs(p).sum(axis=1) == 0).any():
             raise AllocationError("INVALID_VIEWS")
-        if not ((conf > 0) & (conf <= 1)).all():
+        if not ((conf >= 0) & (conf <= 1)).all():
             raise AllocationError("INVALID_CONFIDENCE")
 
 
@@ -168,6 +187,8 @@ def serve(strategy: str, assets: list[str], mu, cov, policy: Policy, p=None, q=N
     """Checked weights and the optimality gap of a request: how far a gradient step and projection move them, which
     is 0 at the optimum. AllocationError where the input, the limits or the solver fail."""
     checked(assets, mu, cov, p, q, conf)
+    if strategy == "BL_ML" and (p is None or not len(p)):
+        raise AllocationError("MISSING_VIEWS")
     none = np.zeros((0, len(assets)))
     p, q, conf = (none, [], []) if p is None or not len(p) else (p, q, conf)
     safe = np.isin(assets, policy.defensive)
@@ -193,22 +214,31 @@ def serve(strategy: str, assets: list[str], mu, cov, policy: Policy, p=None, q=N
     return near, gap
 
 
-def served(moments: DataFrame, policy: Policy, strategy: str = "MVO") -> DataFrame:
-    """A row for each request (rn): status, error code, assets and weights. A request that fails says so and does
-    not end the others."""
+SERVED = "rn long, strategy string, status string, error string, assets array<string>, weights array<double>, adjusted boolean, least_eigenvalue double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def served(moments: DataFrame, policy: Policy, strategy: str = "MVO", views: DataFrame | None = None) -> DataFrame:
+    """A row for each request (rn): status, error code, assets and weights, and whether the covariance had to be adjusted. A
+    request that fails says so and does not end the others. views: a row for each request that has some (t, assets, p, q,
+    conf), see views.matrices; BL_ML without any is refused."""
+
+    def run(pdf: pd.DataFrame, seen: pd.DataFrame | None = None) -> pd.DataFrame:
         assets = sorted(pdf["a"].unique())
         cov = pdf.pivot(index="a", columns="b", values="cov").reindex(index=assets, columns=assets).to_numpy()
         mu = pdf.groupby("a")["mean"].first().loc[assets].to_numpy()
-        status, error, weights = "optimal", None, None
+        status, error, weights, report = "optimal", None, None, {"applied": None, "least_eigenvalue": None}
         try:
-            weights = serve(strategy, assets, mu, cov, policy)[0].tolist()
+            weights = serve(strategy, assets, mu, cov, policy, *_views_of(seen, assets))[0].tolist()
+            report = adjustment(cov)
         except AllocationError as e:
             status, error = "failed", e.code
-        return pd.DataFrame({"rn": [int(pdf["rn"].iloc[0])], "strategy": [strategy], "status": [status], "error": pd.Series([error], dtype=object), "assets": [assets], "weights": pd.Series([weights], dtype=object)})
+        one = {"rn": int(pdf["rn"].iloc[0]), "strategy": strategy, "status": status, "error": error, "assets": assets, "weights": weights, "adjusted": report["applied"], "least_eigenvalue": report["least_eigenvalue"]}
+        return pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in one.items()})
 
-    return moments.groupBy("rn").applyInPandas(run, "rn long, strategy string, status string, error string, assets array<string>, weights array<double>")
+    if views is None:
+        return moments.groupBy("rn").applyInPandas(lambda pdf: run(pdf), SERVED)
+    packed = views.select(F.col("t").alias("rn"), "assets", "p", "q", "conf").join(moments.select("rn").distinct(), "rn", "left_semi")
+    return moments.groupBy("rn").cogroup(packed.groupBy("rn")).applyInPandas(lambda pdf, seen: run(pdf, seen), SERVED)
 
 
 def solved(moments: DataFrame, policy: Policy, strategy: str = "MVO", prune: float = 0.01, views: DataFrame | None = None, tight: DataFrame | None = None, tight_aversion: float = 5.0) -> DataFrame:
@@ -240,17 +270,18 @@ def solved(moments: DataFrame, policy: Policy, strategy: str = "MVO", prune: flo
 
 
 def posteriors(moments: DataFrame, views: DataFrame, tau: float = 0.05, delta: float = 2.5) -> DataFrame:
-    """Equilibrium returns of equal weights and their update by the decision's views (rn, asset, prior, posterior),
-    with the covariance as it is."""
+    """Equilibrium returns of equal weights and their update by the decision's views (rn, asset, prior, posterior), and
+    each mean's variance before and after, with the covariance as it is."""
 
     def run(pdf: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
         assets = sorted(pdf["a"].unique())
         cov = pdf.pivot(index="a", columns="b", values="cov").loc[assets, assets].to_numpy()
-        pi, mu = posterior(cov, np.full(len(assets), 1 / len(assets)), *_views_of(seen, assets), tau, delta)
-        return pd.DataFrame({"rn": pdf["rn"].iloc[0], "asset": assets, "prior": pi, "posterior": mu})
+        p, q, conf = _views_of(seen, assets)
+        pi, mu = posterior(cov, np.full(len(assets), 1 / len(assets)), p, q, conf, tau, delta)
+        return pd.DataFrame({"rn": pdf["rn"].iloc[0], "asset": assets, "prior": pi, "posterior": mu, "prior_var": tau * np.diag(cov), "posterior_var": np.diag(posterior_covariance(cov, p, conf, tau))})
 
     packed = views.select(F.col("t").alias("rn"), "assets", "p", "q", "conf").join(moments.select("rn").distinct(), "rn", "left_semi")
-    return moments.select("rn", "a", "b", "cov").groupBy("rn").cogroup(packed.groupBy("rn")).applyInPandas(run, "rn long, asset string, prior double, posterior double")
+    return moments.select("rn", "a", "b", "cov").groupBy("rn").cogroup(packed.groupBy("rn")).applyInPandas(run, "rn long, asset string, prior double, posterior double, prior_var double, posterior_var double")
 
 
 def _views_of(seen: pd.DataFrame | None, assets: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -849,7 +849,7 @@ def top_k_per_group(spark, sf):
 
 
 def _all() -> None:
-    from . import queries_paths, queries_store  # noqa: F401  they add theirs
+    from . import queries_paths, queries_store, queries_tables  # noqa: F401  they add theirs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

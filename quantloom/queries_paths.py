@@ -341,14 +341,14 @@ _COV = f"""{RET}, dect as (select distinct rn as t from panel where rn >= 20 and
 @query(
     f"""with {_COV}, c as (select * from cv where n = 20), pi as (select t, a, 2.5 * avg(cov) as pi from c group by 1, 2), sp as (select x.t, x.a, 0.05 * (x.cov - y.cov) as s from c x join c y on x.t = y.t and x.a = y.a where x.b = 'Brand#1' and y.b = 'Brand#2'),
 iv as (select x.t, x.s - y.s as inner_, p.pi - r.pi as ppi from sp x join sp y on x.t = y.t join pi p on p.t = x.t and p.a = 'Brand#1' join pi r on r.t = x.t and r.a = 'Brand#2' where x.a = 'Brand#1' and y.a = 'Brand#2')
-select pi.t as rn, pi.a as asset, round(pi.pi, 8) as prior, round(pi.pi + sp.s * (0.0008 - ppi) / (inner_ + greatest(inner_, 1e-10) / 0.5), 8) as posterior from pi join sp on sp.t = pi.t and sp.a = pi.a join iv on iv.t = pi.t"""
+select pi.t as rn, pi.a as asset, round(pi.pi, 8) as prior, round(pi.pi + sp.s * (0.0008 - ppi) / (inner_ + greatest(inner_, 1e-10) / 0.5), 8) as posterior, round(0.05 * v.cov, 12) as prior_var, round(0.05 * v.cov - sp.s * sp.s / (inner_ + greatest(inner_, 1e-10) / 0.5), 12) as posterior_var from pi join c v on v.t = pi.t and v.a = pi.a and v.b = pi.a join sp on sp.t = pi.t and sp.a = pi.a join iv on iv.t = pi.t"""
 )
 def one_view_posterior(spark, sf):
     """Equilibrium prior of equal weights, updated by one relative view with a confidence of one half."""
     moments = _moments(spark, sf)
     one = views.static_views(moments.select(F.col("rn").alias("t")), [("a_over_b", {"Brand#1": 1.0, "Brand#2": -1.0}, 0.0008 * 252, 0.5)])
     out = optimize.posteriors(moments, views.matrices(one, _assets(D.panel(spark, sf))))
-    return out.select("rn", "asset", F.round("prior", 8).alias("prior"), F.round("posterior", 8).alias("posterior"))
+    return out.select("rn", "asset", F.round("prior", 8).alias("prior"), F.round("posterior", 8).alias("posterior"), F.round("prior_var", 12).alias("prior_var"), F.round("posterior_var", 12).alias("posterior_var"))
 
 
 @query(f"with {_COV}, n as (select t, a, count(*) as k, min(n) as n from cv group by 1, 2), ok as (select t, a, k from n where n = 20) select t as rn, a as asset, case when t % 3 = 0 and (t // 5) % 2 = 0 then 'NOT_FINITE' else 'OK' end as outcome, case when t % 3 = 0 and (t // 5) % 2 = 0 then null else round(1.0 / k, 6) end as w from ok")

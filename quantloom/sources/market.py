@@ -3,9 +3,11 @@ named by their content, published bundles."""
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -221,33 +223,67 @@ def _write_text(spark: SparkSession, path: str, text: str, overwrite: bool = Fal
         out.close()
 
 
-def publish_bundle(spark: SparkSession, root: str, entry: dict) -> list[dict]:
-    """Adds an entry (id, universe, decision_at, ...) to the catalog at its place, newest decision first. An entry
-    is immutable; a lock file admits one writer; the catalog changes by renaming a whole new file."""
-    fs, lock = _fs(spark, f"{root}/.lock")
-    fs.create(lock, False).close()  # fails while another writer has it
-    try:
-        _write_text(spark, f"{root}/entries/{entry['id']}.json", json.dumps(entry, sort_keys=True))
-        catalog = read_catalog(spark, root, demo=True)
-        at = next((i for i, x in enumerate(catalog) if x["decision_at"] <= entry["decision_at"]), len(catalog))
-        catalog.insert(at, entry)
-        _write_text(spark, f"{root}/catalog.new", json.dumps(catalog, sort_keys=True), overwrite=True)
-        _, new = _fs(spark, f"{root}/catalog.new")
-        _, old = _fs(spark, f"{root}/catalog.json")
-        if fs.exists(old):
-            fs.delete(old, False)
-        fs.rename(new, old)
-        return catalog
-    finally:
-        fs.delete(lock, False)
+def _checksum(entry: dict) -> str:
+    return hashlib.sha256(json.dumps(entry, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
+
+
+def _commits(spark: SparkSession, root: str) -> tuple[int, list[dict]]:
+    """The highest number given out, and the entries of the whole commits in order. A commit that a crash cut short, or
+    whose checksum is wrong, is none."""
+    fs, folder = _fs(spark, f"{root}/log")
+    if not fs.exists(folder):
+        return 0, []
+    names = sorted(x.getPath().getName() for x in fs.listStatus(folder) if x.getPath().getName().endswith(".json"))
+    entries = []
+    for name in names:
+        _, path = _fs(spark, f"{root}/log/{name}")
+        stream = fs.open(path)
+        try:
+            text = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode(errors="replace")
+        finally:
+            stream.close()
+        try:
+            commit = json.loads(text)
+            if commit["checksum"] == _checksum(commit["entry"]):
+                entries.append(commit["entry"])
+        except (ValueError, KeyError, TypeError):
+            continue
+    return max((int(n.split(".")[0]) for n in names), default=0), entries
+
+
+def publish_bundle(spark: SparkSession, root: str, entry: dict, tries: int = 20) -> list[dict]:
+    """Commits an entry (id, universe, decision_at, ...) and returns the catalog. The catalog is a log of numbered files, each
+    made by an exclusive create and never changed, so writers need no lock: who finds a number taken takes the next. A
+    crash leaves at most a file that is not whole, which readers pass over. An entry is immutable: the same one again
+    changes nothing, another one of its id is refused."""
+    for _ in range(tries):
+        last, entries = _commits(spark, root)
+        same = [x for x in entries if x["id"] == entry["id"]]
+        if same and same[0] != entry:
+            raise ValueError(f"{entry['id']} is published with other contents")
+        if same:
+            return _in_order(entries)
+        try:
+            _write_text(spark, f"{root}/log/{last + 1:010d}.json", json.dumps({"checksum": _checksum(entry), "entry": entry}, sort_keys=True))
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            continue
+        return read_catalog(spark, root, demo=True)
+    raise RuntimeError(f"{root}: another writer took each of {tries} numbers")
+
+
+def _in_order(entries: list[dict]) -> list[dict]:
+    """Newest decision first; of equal ones the later commit. Of an id that two writers committed the first counts."""
+    first = {}
+    for x in entries:
+        first.setdefault(x["id"], x)
+    return sorted(reversed(first.values()), key=lambda x: x["decision_at"], reverse=True)
 
 
 def read_catalog(spark: SparkSession, root: str, universe: str | None = None, demo: bool = False) -> list[dict]:
-    """Entries, newest first; demo entries only where they are asked for."""
-    fs, path = _fs(spark, f"{root}/catalog.json")
-    if not fs.exists(path):
-        return []
-    rows = json.loads("".join(r.value for r in spark.read.text(f"{root}/catalog.json").collect()))
+    """Entries, newest first, from the log; demo entries only where they are asked for."""
+    rows = _in_order(_commits(spark, root)[1])
     return [x for x in rows if (universe is None or x["universe"] == universe) and (demo or not x.get("demo"))]
 
 

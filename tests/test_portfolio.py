@@ -153,7 +153,12 @@ def test_served_requests():
         ("INVALID_SHAPE", (["A", "A"], [0, 0], eye), {}), ("INVALID_SHAPE", (["A", "B"], [0], eye), {}), ("NOT_FINITE", (["A", "B"], [0, np.nan], eye), {}),
         ("NOT_SYMMETRIC", (["A", "B"], [0, 0], np.array([[1, 0.5], [0, 1]])), {}), ("NOT_PSD", (["A", "B"], [0, 0], np.array([[1, 2], [2, 1]])), {}),
         ("INVALID_VIEWS", (["A", "B"], [0, 0], eye), {"p": [[1]], "q": [0], "conf": [1]}), ("INVALID_VIEWS", (["A", "B"], [0, 0], eye), {"p": [[0, 0]], "q": [0], "conf": [1]}),
-        ("INVALID_CONFIDENCE", (["A", "B"], [0, 0], eye), {"p": [[1, 0]], "q": [0], "conf": [0]}),
+        ("INVALID_CONFIDENCE", (["A", "B"], [0, 0], eye), {"p": [[1, 0]], "q": [0], "conf": [-0.1]}),
+        ("INVALID_CONFIDENCE", (["A", "B"], [0, 0], eye), {"p": [[1, 0]], "q": [0], "conf": [1.1]}),
+        ("MISSING_VIEWS", (["A", "B"], [0, 0], eye), {}),
+        ("MISSING_VIEWS", (["A", "B"], [0, 0], eye), {"p": [], "q": [], "conf": []}),
+        ("INVALID_VIEWS", (["A", "B"], [0, 0], eye), {"p": [[0, 0]], "q": [0], "conf": [1]}),
+        ("INVALID_VIEWS", (["A", "B"], [0, 0], eye), {"p": [[1, 0]], "q": [0, 1], "conf": [1]}),
     ):
         with pytest.raises(O.AllocationError) as e:
             O.serve("BL_ML", *args, O.Policy(1, 0.9), **more)
@@ -161,3 +166,38 @@ def test_served_requests():
     with pytest.raises(O.AllocationError) as e:
         O.serve("MVO", ["A", "B"], [0, 0], eye, O.Policy(1, 0.4))
     assert e.value.code == "INFEASIBLE"
+
+
+def test_a_confidence_of_zero_leaves_the_prior():
+    cov = np.array([[4e-4, 6e-5], [6e-5, 1e-4]])
+    none = O.serve("BL_ML", ["A", "B"], [0, 0], cov, O.Policy(1, 0.9), [[1, -1]], [0.5], [0])[0]
+    pi, mu = O.posterior(cov, np.full(2, 0.5), np.array([[1.0, -1.0]]), np.array([0.0005]), np.array([0.0]))
+    assert none.sum() == pytest.approx(1) and mu == pytest.approx(pi, rel=1e-4)
+
+
+def test_posterior_covariance_is_the_inverse_of_summed_precisions():
+    cov = np.array([[4e-4, 6e-5], [6e-5, 1e-4]])
+    p, conf = np.array([[1.0, -1.0], [0.0, 1.0]]), np.array([0.7, 0.3])
+    omega = np.diag(np.diag(p @ (0.05 * cov) @ p.T) / conf)
+    want = np.linalg.inv(np.linalg.inv(0.05 * cov) + p.T @ np.linalg.inv(omega) @ p)
+    assert O.posterior_covariance(cov, p, conf) == pytest.approx(want, rel=1e-9)
+
+
+def test_a_singular_covariance_is_adjusted_and_reported():
+    report = O.adjustment(np.full((2, 2), 0.01))
+    assert report["applied"] and report["largest_change"] == pytest.approx(1e-8) and not O.adjustment(np.eye(2))["applied"]
+
+
+def test_requests_with_views(spark):
+    """Each request takes its own views, the one without is refused, and weights equal a plain solve."""
+    cov = {1: [[4e-4, 6e-5], [6e-5, 1e-4]], 2: [[2e-4, 1e-5], [1e-5, 3e-4]], 3: [[1e-4, 1e-4], [1e-4, 1e-4]]}
+    moments = [(rn, "AB"[i], "AB"[j], 0.001, c[i][j]) for rn, c in cov.items() for i in range(2) for j in range(2)]
+    seen = {1: ([[1.0, -1.0]], [0.0008], [0.7]), 3: ([[0.0, 1.0], [1.0, 0.0]], [0.0002, 0.0001], [0.3, 0.0])}
+    views = spark.createDataFrame([(rn, ["A", "B"], *v) for rn, v in seen.items()], "t long, assets array<string>, p array<array<double>>, q array<double>, conf array<double>")
+    policy = O.Policy(1.5, 0.9)
+    out = {r.rn: r for r in O.served(spark.createDataFrame(moments, "rn long, a string, b string, mean double, cov double"), policy, "BL_ML", views).collect()}
+    assert (out[2].status, out[2].error, out[2].weights) == ("failed", "MISSING_VIEWS", None)
+    for rn, (p, q, conf) in seen.items():
+        want = O.allocate("BL_ML", ["A", "B"], [0.001] * 2, cov[rn], policy, p=p, q=q, conf=conf)
+        assert out[rn].status == "optimal" and out[rn].weights == pytest.approx(list(want), abs=1e-7)
+    assert out[3].adjusted and not out[1].adjusted

@@ -85,6 +85,32 @@ def test_artifacts_and_snapshots(spark, tmp_path):
             M.load_snapshot(spark, root, *args)
 
 
+def test_a_crash_or_a_second_writer_loses_no_bundle(spark, tmp_path, monkeypatch):
+    root, log = str(tmp_path / "bundles"), tmp_path / "bundles" / "log"
+    one = lambda i, day: {"id": i, "universe": "u", "decision_at": day}
+    M.publish_bundle(spark, root, one("a", "2024-01-02"))
+    whole = (log / "0000000001.json").read_text()
+    for k, torn in enumerate(("", whole[:20], whole.replace("2024-01-02", "2025-01-02"), "[1]")):  # what a crash or damage leaves
+        (log / f"{k + 2:010d}.json").write_text(torn)
+        assert [x["id"] for x in M.read_catalog(spark, root)] == ["a"]
+    assert [x["id"] for x in M.publish_bundle(spark, root, one("b", "2024-01-01"))] == ["a", "b"]
+    assert (log / "0000000006.json").exists()
+
+    seen, other = M._commits, []
+
+    def raced(*args):
+        """Another writer commits between our look and our write."""
+        found = seen(*args)
+        if not other:
+            other.append(1)
+            (log / f"{found[0] + 1:010d}.json").write_text(whole.replace('"a"', '"x"').replace(M._checksum(one("a", "2024-01-02")), M._checksum(one("x", "2024-01-02"))))
+        return found
+
+    monkeypatch.setattr(M, "_commits", raced)
+    assert [x["id"] for x in M.publish_bundle(spark, root, one("d", "2024-01-09"))] == ["d", "x", "a", "b"]
+    assert sorted(p.name for p in log.glob("*.json")) == [f"{k:010d}.json" for k in range(1, 9)]
+
+
 def test_bundles(spark, tmp_path):
     root = str(tmp_path / "bundles")
     for i, day in (("a", "2024-01-02"), ("c", "2024-01-05"), ("b", "2024-01-03")):
@@ -93,7 +119,7 @@ def test_bundles(spark, tmp_path):
     assert [x["id"] for x in M.read_catalog(spark, root)] == ["c", "b"] and [x["id"] for x in M.read_catalog(spark, root, "v")] == ["b"]
     with pytest.raises(Exception):  # an entry is immutable
         M.publish_bundle(spark, root, {"id": "a", "universe": "u", "decision_at": "2025-01-01"})
-    assert not (tmp_path / "bundles" / ".lock").exists()
+    assert [x["id"] for x in M.publish_bundle(spark, root, {"id": "c", "universe": "u", "decision_at": "2024-01-05", "demo": False})] == ["c", "b", "a"]
     M.write_run({"nav": spark.range(3)}, str(tmp_path / "run"))
     M.write_metrics(spark.range(3), str(tmp_path / "metrics"))
     assert len(list((tmp_path / "metrics").glob("*.csv"))) == 1
