@@ -34,14 +34,12 @@ def phases(nav: DataFrame, anchor: Column, first: str = "IS", second: str = "OOS
     return rows.withColumn("nav", F.col("nav") / start)
 
 
-def effect_sizes(stats: DataFrame, pairs: list[tuple[str, str]], metrics: list[str]) -> DataFrame:
-    """Differences of the metrics between two runs (experiment)."""
+def effect_sizes(stats: DataFrame, metrics: list[str]) -> DataFrame:
+    """Differences of the metrics between each two runs (experiment), the first by name on the left. A run is one row."""
     long = stats.unpivot(["experiment"], metrics, "metric", "value")
-    pair = F.explode(F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right")) for a, b in pairs]))
-    side = long.withColumn("pair", pair)
-    a = side.filter("experiment = pair.left").select("pair", "metric", F.col("value").alias("a"))
-    b = side.filter("experiment = pair.right").select("pair", "metric", F.col("value").alias("b"))
-    return a.join(b, ["pair", "metric"]).select("pair.left", "pair.right", "metric", (F.col("a") - F.col("b")).alias("effect"))
+    a = long.select("metric", F.col("experiment").alias("left"), F.col("value").alias("a"))
+    b = long.select("metric", F.col("experiment").alias("right"), F.col("value").alias("b"))
+    return a.join(b, "metric").filter(F.col("left") < F.col("right")).select("left", "right", "metric", (F.col("a") - F.col("b")).alias("effect"))
 
 
 def head_to_head(rows: DataFrame, base: str, metrics: list[str]) -> DataFrame:
@@ -61,6 +59,17 @@ def median_path(arms: DataFrame) -> DataFrame:
     return arms.groupBy("d").agg(F.median("r").alias("r"), F.count("*").alias("arms"))
 
 
+def path_gap(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two value paths (d, nav) on the days that both have, each divided by its value on the first of them: number of
+    days, largest and last difference, correlation of their returns."""
+    both = one.select("d", F.col("nav").alias("a")).join(other.select("d", F.col("nav").alias("b")), "d")
+    by = Window.orderBy("d")  # as many rows as days
+    both = both.select("d", (F.col("a") / F.first("a").over(by)).alias("a"), (F.col("b") / F.first("b").over(by)).alias("b"))
+    rows = both.withColumns({f"r{c}": div(c, F.lag(c).over(by)) - 1 for c in "ab"})
+    corr = div(F.covar_samp("ra", "rb"), F.stddev_samp("ra") * F.stddev_samp("rb"))
+    return rows.agg(F.count("*").alias("n_common"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_gap"), F.max_by(F.col("a") - F.col("b"), "d").alias("final_gap"), corr.alias("corr"))
+
+
 def random_arms(spark: SparkSession, decisions: list[int], assets: list[str], k: int, seeds: list[int]) -> DataFrame:
     """For each seed and decision k assets drawn without replacement, in the universe's order; a seed's draws
     follow each other, so they are made where the decisions are named."""

@@ -80,26 +80,34 @@ def served_views(model: PipelineModel, newest: DataFrame, features: list[str], c
 
 # ------------------------------------------------------------------ registry
 
-REGISTRY = "model_id string, path string, status string, training_cutoff date, rmse double, at timestamp"
+REGISTRY = "model_id string, path string, status string, training_cutoff date, rmse double, sha256 string, at timestamp"
+
+
+def model_hash(spark: SparkSession, path: str) -> str:
+    """Digest of all files of a saved model, by name and content. Hashed where they are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_replace("path", r"^.*?/(?=(metadata|stages)/)", "")
+    each = files.select(F.concat_ws(":", name, F.sha2("content", 256)).alias("f"))
+    return each.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("f")), "\n"), 256)).first()[0]
 
 
 def register(spark: SparkSession, registry: str, root: str, model_id: str, model: PipelineModel, training_cutoff: str, rmse: float) -> None:
     """Saves a model, which may not exist yet, and notes it as a candidate."""
     path = f"{root}/{model_id}"
     model.write().save(path)
-    _note(spark, registry, model_id, path, "CANDIDATE", training_cutoff, rmse)
+    _note(spark, registry, model_id, path, "CANDIDATE", training_cutoff, rmse, model_hash(spark, path))
 
 
 def approve(spark: SparkSession, registry: str, model_id: str) -> None:
     row = status(spark, registry).filter(F.col("model_id") == model_id).first()
     if row is None or row["status"] != "CANDIDATE":
         raise ValueError(f"{model_id} is no candidate")
-    _note(spark, registry, model_id, row["path"], "APPROVED", str(row["training_cutoff"]), row["rmse"])
+    _note(spark, registry, model_id, row["path"], "APPROVED", str(row["training_cutoff"]), row["rmse"], row["sha256"])
 
 
-def _note(spark: SparkSession, registry: str, model_id: str, path: str, status_: str, training_cutoff: str, rmse: float) -> None:
-    one = spark.createDataFrame([(model_id, path, status_, training_cutoff, float(rmse))], "model_id string, path string, status string, training_cutoff string, rmse double")
-    one.select("model_id", "path", "status", F.col("training_cutoff").cast("date").alias("training_cutoff"), "rmse", F.current_timestamp().alias("at")).write.mode("append").parquet(registry)
+def _note(spark: SparkSession, registry: str, model_id: str, path: str, status_: str, training_cutoff: str, rmse: float, sha256: str) -> None:
+    one = spark.createDataFrame([(model_id, path, status_, training_cutoff, float(rmse), sha256)], "model_id string, path string, status string, training_cutoff string, rmse double, sha256 string")
+    one.select("model_id", "path", "status", F.col("training_cutoff").cast("date").alias("training_cutoff"), "rmse", "sha256", F.current_timestamp().alias("at")).write.mode("append").parquet(registry)
 
 
 def status(spark: SparkSession, registry: str) -> DataFrame:
@@ -109,8 +117,10 @@ def status(spark: SparkSession, registry: str) -> DataFrame:
 
 
 def load(spark: SparkSession, registry: str, model_id: str) -> PipelineModel:
-    """An approved model."""
+    """An approved model, if its files are those that were registered."""
     row = status(spark, registry).filter((F.col("model_id") == model_id) & (F.col("status") == "APPROVED")).first()
     if row is None:
         raise ValueError(f"{model_id} is not approved")
+    if model_hash(spark, row["path"]) != row["sha256"]:
+        raise ValueError(f"{model_id} was changed")
     return PipelineModel.load(row["path"])

@@ -97,6 +97,17 @@ def projected(v: np.ndarray, safe: np.ndarray, policy: Policy) -> np.ndarray:
     return w
 
 
+def repaired(v: np.ndarray, safe: np.ndarray, policy: Policy, support: np.ndarray | None = None) -> np.ndarray:
+    """Nearest feasible weights that are 0 outside the support (a mask); ValueError where the support admits none."""
+    if support is None:
+        return projected(v, safe, policy)
+    out = np.zeros_like(v)
+    if not support.any():
+        raise ValueError("infeasible")
+    out[support] = projected(v[support], safe[support], policy)
+    return out
+
+
 def mean_variance(mu: np.ndarray, cov: np.ndarray, assets: list[str], policy: Policy, rounds: int = 1000) -> np.ndarray:
     """Maximises mu'w - aversion w'cov w by projected gradients with momentum and restarts."""
     safe = np.isin(assets, policy.defensive)
@@ -126,12 +137,9 @@ def pruned(w: np.ndarray, safe: np.ndarray, policy: Policy, least: float = 0.01)
     if not keep.any() or keep.all():
         return w
     try:
-        part = projected(w[keep] / w[keep].sum(), safe[keep], policy)
+        return repaired(w / w[keep].sum(), safe, policy, keep)
     except ValueError:
         return w
-    out = np.zeros_like(w)
-    out[keep] = part
-    return out
 
 
 def allocate(strategy: str, assets: list[str], mu, cov, policy: Policy, market=None, p=None, q=None, conf=None) -> np.ndarray:

@@ -121,6 +121,16 @@ def only_in_one(a: DataFrame, b: DataFrame) -> DataFrame:
     return one.union(two).agg(F.count_if(F.col("x") == 1).alias("only_first"), F.count_if(F.col("x") == 2).alias("only_second"))
 
 
+def same_sign(forecast: str, outcome: str) -> Column:
+    """Whether both have the same sign, 0 being one of its own; null while the outcome is unknown."""
+    return F.signum(forecast) == F.signum(outcome)
+
+
+def graded(rows: DataFrame, forecast: str, outcome: str) -> DataFrame:
+    """Adds a status: PENDING while a forecast's outcome is unknown, else HIT or MISS by sign."""
+    return rows.withColumn("status", F.when(F.col(outcome).isNull(), "PENDING").when(same_sign(forecast, outcome), "HIT").otherwise("MISS"))
+
+
 def hit_rate(graded: DataFrame) -> DataFrame:
     """Forecast counts and hit rate by (kind, phase) and by (kind, phase, asset)."""
     return graded.sparkSession.sql(

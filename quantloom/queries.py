@@ -647,12 +647,12 @@ def ranker_scores(spark, sf):
 
 
 @query(
-    f"""with {RET}, g as (select asset, rn, case when lead(px, 5) over (partition by asset order by d) is not null then (r > 0) = (lead(px, 5) over (partition by asset order by d) > px) end as correct, case when rn % 2 = 0 then 'rule' else 'ml' end as kind, case when rn < 200 then 'IS' else 'OOS' end as phase from ret where r is not null)
+    f"""with {RET}, g as (select asset, rn, case when lead(px, 5) over (partition by asset order by d) is not null then sign(r) = sign(lead(px, 5) over (partition by asset order by d) - px) end as correct, case when rn % 2 = 0 then 'rule' else 'ml' end as kind, case when rn < 200 then 'IS' else 'OOS' end as phase from ret where r is not null)
 select kind, phase, coalesce(asset, 'Overall') as asset, count(*) as n_issued, count(correct) as n_scored, count(*) - count(correct) as n_unmatured, sum(correct::int)::bigint as n_correct, round(avg(correct::int), 6) as rate from g group by grouping sets ((kind, phase), (kind, phase, asset))"""
 )
 def hit_rate_grouping_sets(spark, sf):
     later = F.lead("px", 5).over(I.by_asset())
-    rows = D.panel_returns(spark, sf).withColumn("correct", F.when(later.isNotNull(), (F.col("r") > 0) == (later > F.col("px")))).filter("r is not null")
+    rows = D.panel_returns(spark, sf).withColumn("change", later - F.col("px")).withColumn("correct", stats.same_sign("r", "change")).filter("r is not null")
     rows = rows.withColumn("kind", F.when(F.col("rn") % 2 == 0, "rule").otherwise("ml")).withColumn("phase", F.when(F.col("rn") < 200, "IS").otherwise("OOS"))
     return stats.hit_rate(rows).withColumn("rate", F.round("rate", 6))
 
@@ -772,9 +772,18 @@ def seed_distribution(spark, sf):
     return D.table(spark, sf, "part").groupBy(F.col("p_brand").alias("asset")).agg(F.median(p).alias("median"), F.min(p).alias("low"), F.round(F.percentile(p, F.lit(0.25)), 6).alias("q25"), F.round(F.percentile(p, F.lit(0.75)), 6).alias("q75"), F.max(p).alias("high"))
 
 
-@query("select user_id, count(*) filter (where event_type = 'error') as pending, count(*) filter (where ts > timestamp '2024-01-29 00:00:00') as recent, count(distinct cast(ts as date)) as days from events group by 1")
+@query(
+    """with e as (select *, max(ts) over () as now from events) select user_id, count(*) filter (where event_type = 'error') as pending, count(*) filter (where ts > now - interval 1 hour) as recent, count(*) filter (where ts >= date_trunc('day', now)) as today, max(n) as most_in_a_day
+from e join (select user_id, max(n) as n from (select user_id, count(*) as n from events group by user_id, cast(ts as date)) group by 1) using (user_id) group by 1"""
+)
 def quota_counts(spark, sf):
-    return D.table(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("pending"), F.count_if(F.col("ts") > F.lit("2024-01-29").cast("timestamp")).alias("recent"), F.count_distinct(F.col("ts").cast("date")).alias("days"))
+    """Per user what is open, what was asked in the hour and on the day before the newest event, and the most of a day."""
+    e = D.table(spark, sf, "events")
+    each = e.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))  # one row
+    daily = each.groupBy("user_id", F.col("ts").cast("date").alias("d")).agg(
+        F.count_if(F.col("event_type") == "error").alias("pending"), F.count_if(F.col("ts") > F.col("now") - F.expr("interval 1 hour")).alias("recent"), F.count_if(F.col("ts") >= F.date_trunc("day", "now")).alias("today"), F.count("*").alias("n"),
+    )
+    return daily.groupBy("user_id").agg(*[F.sum(c).alias(c) for c in ("pending", "recent", "today")], F.max("n").alias("most_in_a_day"))
 
 
 @query("with l as (select cast(l_shipdate as date) as d, sum(l_extendedprice) as s from lineitem group by 1), o as (select cast(o_orderdate as date) as d, sum(o_totalprice) as t from orders group by 1) select count(*) as n_common, round(corr(s, t), 6) as corr, round(max(abs(s / t - 1)), 4) as max_gap from l join o using (d)")

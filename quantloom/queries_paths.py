@@ -184,11 +184,11 @@ def cross_arm_median(spark, sf):
     return X.median_path(D.panel_returns(spark, sf).filter("r is not null").withColumnRenamed("asset", "arm")).select("d", *r6("r"), "arms")
 
 
-@query(f"with {RET}, x as (select asset, rn as o, r from ret where r is not null), {_stats_sql('x', 'asset')}, long as (select asset, 'final_nav' as metric, final_nav as v from st union all select asset, 'sharpe', sharpe from st union all select asset, 'max_drawdown', max_drawdown from st), pairs as (select unnest(['Brand#1', 'Brand#3', 'Brand#5']) as l, unnest(['Brand#2', 'Brand#4', 'Brand#6']) as r)\n"
-       "select l as \"left\", pairs.r as \"right\", a.metric, round(a.v - b.v, 6) as effect from pairs join long a on a.asset = l join long b on b.asset = pairs.r and b.metric = a.metric")
+@query(f"with {RET}, x as (select asset, rn as o, r from ret where r is not null), {_stats_sql('x', 'asset')}, long as (select asset, 'final_nav' as metric, final_nav as v from st union all select asset, 'sharpe', sharpe from st union all select asset, 'max_drawdown', max_drawdown from st)\n"
+       "select a.asset as \"left\", b.asset as \"right\", a.metric, round(a.v - b.v, 6) as effect from long a join long b on a.asset < b.asset and b.metric = a.metric")
 def effect_sizes(spark, sf):
     rows = X.return_stats(D.panel_returns(spark, sf).filter("r is not null").withColumnRenamed("asset", "experiment"), ["experiment"])
-    return X.effect_sizes(rows, [(f"Brand#{k}", f"Brand#{k + 1}") for k in (1, 3, 5)], ["final_nav", "sharpe", "max_drawdown"]).select("left", "right", "metric", *r6("effect"))
+    return X.effect_sizes(rows, ["final_nav", "sharpe", "max_drawdown"]).select("left", "right", "metric", *r6("effect"))
 
 
 # ---------------------------------------------------------------- selection
@@ -227,10 +227,10 @@ def random_arms(spark, sf):
     return X.random_arms(spark, list(range(40, last + 1, 20)), _assets(panel), 5, list(range(10)))
 
 
-@query(f"with recursive {PANEL}, dec as (select distinct rn from panel where rn >= 25 and (rn - 25) % 5 = 0 and rn % 7 <> 0), s as (select min(rn) as rn from dec union all select (select min(rn) from dec where dec.rn >= s.rn + 20) from s where s.rn is not null) select 'IV' as strategy, rn from s where rn is not null")
+@query(f"with recursive {PANEL}, dec as (select max(rn) as rn from panel where rn >= 25 group by date_trunc('month', d)), s as (select min(rn) as rn from dec union all select (select min(rn) from dec where dec.rn >= s.rn + 20) from s where s.rn is not null) select 'IV' as strategy, rn from s where rn is not null")
 def reselect_schedule(spark, sf):
-    """What is due each 20 rows, looked at only at rebalances that are not evenly spaced."""
-    rows = N.rebalance_rows(D.panel(spark, sf), 25).filter("rn % 7 <> 0").select(F.lit("IV").alias("strategy"), "rn")
+    """What is due each 20 rows, looked at on the last row of each month, so not evenly spaced."""
+    rows = D.panel(spark, sf).filter("rn >= 25").groupBy(F.date_trunc("month", "d")).agg(F.max("rn").alias("rn")).select(F.lit("IV").alias("strategy"), "rn")
     return X.due(rows, 20)
 
 
@@ -598,3 +598,41 @@ def walk_forward(spark, sf):
 def walk_forward_absolute(spark, sf):
     """The walk-forward with views of the retrained ensembles."""
     return _walked(spark, sf, learned_model_views(spark, sf))
+
+
+# ---------------------------------------------------------------- comparisons of paths
+
+
+_NAVS = f"""{_IV}, iday as (select r.rn, r.d, sum(iv.w * r.r) as r from ret r join iv on iv.asset = r.asset and iv.rn = 25 + 5 * ((r.rn - 26) // 5) where r.rn > 25 group by 1, 2), inav as (select rn, d, exp(sum(ln(1 + r)) over (order by rn rows unbounded preceding)) as nav from iday),
+eday as (select rn, d, avg(r) as r from ret where rn > 20 group by 1, 2), enav as (select rn, d, exp(sum(ln(1 + r)) over (order by rn rows unbounded preceding)) as nav from eday)"""
+
+
+@query(
+    f"""with {_NAVS}, c as (select i.d, i.nav / first_value(i.nav) over (order by i.d) as a, e.nav / first_value(e.nav) over (order by i.d) as b from inav i join enav e on e.d = i.d), s as (select *, a / lag(a) over (order by d) - 1 as ra, b / lag(b) over (order by d) - 1 as rb from c)
+select count(*) as n_common, round(max(abs(a - b)), 6) as max_gap, round(max_by(a - b, d), 6) as final_gap, round(covar_samp(ra, rb) / nullif(stddev_samp(ra) * stddev_samp(rb), 0), 6) as corr from s"""
+)
+def nav_compare(spark, sf):
+    """Two value paths on their common days, both started again at 1 there."""
+    rows, weights = _iv_weights(spark, sf)
+    ew = N.equal_weights(N.rebalance_rows(rows), rows.select("asset").distinct())
+    return X.path_gap(N.nav_constant(rows, weights), N.nav_constant(rows, ew)).select("n_common", *r6("max_gap", "final_gap", "corr"))
+
+
+@query(
+    f"""with {_TURN}, nav as (select g.rn, g.d, coalesce(base, 1) * g as nav from g left join base on g.e = base.e where g.rn > g.e or g.n = g.e), day as (select rn, d, nav / lag(nav, 1, 1) over (order by rn) - 1 as g from nav)
+select b.bps::double as bps, case when day.d <= date '1998-06-30' then 'IS' else 'OOS' end as phase, count(*) as n, round(sum(ln((1 + day.g) * (1 - b.bps / 1e4 * coalesce(t.notional, 0)))), 6) as log_growth from day left join turn t on t.d = day.d cross join (select unnest([0, 10, 25, 50]) as bps) b group by 1, 2"""
+)
+def cost_grid_phases(spark, sf):
+    """Growth after costs at each rate, in and out of sample."""
+    rows, weights = _iv_weights(spark, sf)
+    held = D.held(N.holdings(rows, weights))
+    daily = N.path(held).select("strategy", "d", (F.col("nav") / F.lag("nav", 1, 1.0).over(Window.partitionBy("strategy").orderBy("rn")) - 1).alias("g"))
+    out = N.costs(daily, N.traded(held), 0, 10, 25, 50).withColumn("phase", F.when(F.col("d") <= F.lit("1998-06-30").cast("date"), "IS").otherwise("OOS"))
+    return out.groupBy("bps", "phase").agg(F.count("*").alias("n"), F.round(F.sum(F.log1p("net")), 6).alias("log_growth"))
+
+
+@query(f"with {RET}, f as (select asset, rn, r, lead(px, 5) over (partition by asset order by d) / px - 1 as y from ret where r is not null) select asset, rn, case when y is null then 'PENDING' when sign(r) = sign(y) then 'HIT' else 'MISS' end as status, round(y, 6) as outcome from f")
+def forecast_grades(spark, sf):
+    """Each forecast of a direction (the row's return) with its outcome five rows later."""
+    rows = D.panel_returns(spark, sf).withColumn("y", I.forward_return(5)).filter("r is not null")
+    return stats.graded(rows, "r", "y").select("asset", "rn", "status", F.round("y", 6).alias("outcome"))

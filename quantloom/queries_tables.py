@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import canonical, sql
 from .operators import coverage
 from .oracle import RET
 from .plans import derived as D
-from .queries import query, r6
+from .queries import _BARS, query, r6
+from .session import shared_folder
+from .sources import paged
 
 EXTENDS = {"train": False, "test": True, "full": True}
 
@@ -90,3 +95,16 @@ def nation_subsets(spark, sf):
            select r_name, s.place, array_join(transform(s.members, i -> names[i - 1]), ',') as members from packed, lateral combinations(size(names), 3) s""",
         rows=both,
     )
+
+
+@query(f"with {_BARS} select asset as symbol, d, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, row_number() over (partition by asset order by d)::double as volume from bars qualify d >= date '1996-01-01'")
+def paged_bars(spark, sf):
+    """Weekly bars from pages of 50 rows for each symbol, which Spark writes first, with the first days pushed down."""
+    by = Window.partitionBy("asset").orderBy("d")
+    rows = D.bars(spark, sf).withColumn("volume", F.row_number().over(by).cast("double"))
+    path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    pages = rows.select(F.col("asset").alias("symbol"), F.floor((F.col("volume") - 1) / 50).cast("int").alias("page"), F.col("d").cast("string").alias("d"), "open", "high", "low", "close", "volume")
+    pages.repartition("symbol").write.partitionBy("symbol", "page").json(path)
+    paged.register(spark)
+    out = spark.read.format("paged_bars").options(path=path, batch="4").load().filter("d >= date '1996-01-01'")
+    return out.select("symbol", "d", *r6("open", "high", "low", "close"), "volume")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 CONF = {
@@ -20,3 +22,13 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, ap
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where none is named and all runs on one machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.mkdtemp(prefix='quantloom-')}"

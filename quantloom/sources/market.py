@@ -18,6 +18,7 @@ from . import files
 BOND = "(?i)Trái phiếu|Bond|Fixed Income"
 PROXY = "E1VFVN30"
 MOST_BYTES, MOST_ROWS, MOST_FINDINGS, MOST_DAYS = 4 << 20, 5000, 100, 3650
+FEWEST_SYMBOLS, MOST_SYMBOLS = 2, 20
 BARS = "struct<data_day:array<struct<t:string,c:string>>>"
 
 
@@ -148,6 +149,14 @@ def window_ok(start: Column, end: Column) -> Column:
     return (start <= end) & (F.date_diff(end, start) <= MOST_DAYS)
 
 
+def price_pack(rows: DataFrame, symbols: list[str]) -> DataFrame:
+    """The rows of a pack of FEWEST to MOST_SYMBOLS different symbols."""
+    wanted = sorted(set(symbols))
+    if len(wanted) != len(symbols) or not FEWEST_SYMBOLS <= len(wanted) <= MOST_SYMBOLS or not all(x and x.strip() for x in wanted):
+        raise ValueError(f"a pack has {FEWEST_SYMBOLS} to {MOST_SYMBOLS} different symbols")
+    return rows.filter(F.col("symbol").isin(wanted))
+
+
 def pack_manifest(rows: DataFrame) -> DataFrame:
     """Per symbol rows, first and last day of a pack (symbol, d)."""
     return rows.groupBy("symbol").agg(F.count("*").alias("row_count"), F.min("d").alias("first_day"), F.max("d").alias("last_day"))

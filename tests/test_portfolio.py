@@ -201,3 +201,19 @@ def test_requests_with_views(spark):
         want = O.allocate("BL_ML", ["A", "B"], [0.001] * 2, cov[rn], policy, p=p, q=q, conf=conf)
         assert out[rn].status == "optimal" and out[rn].weights == pytest.approx(list(want), abs=1e-7)
     assert out[3].adjusted and not out[1].adjusted
+
+
+def test_repair_keeps_to_the_support():
+    policy = O.Policy(1, 0.6, ("B",), 0.2, 0.8)
+    safe, v = np.array([False, True, False, False]), np.array([0.5, 0.0, 0.3, 0.2])
+    w = O.repaired(v, safe, policy, np.array([True, True, False, True]))
+    assert w[2] == 0 and w.sum() == pytest.approx(1) and w[1] >= 0.2 - 1e-9 and w.max() <= 0.6 + 1e-9
+    assert O.repaired(v, safe, policy) == pytest.approx(O.projected(v, safe, policy))
+    for support in ([False] * 4, [True, False, False, True]):  # nothing; no defensive asset for the floor
+        with pytest.raises(ValueError):
+            O.repaired(v, safe, policy, np.array(support))
+
+
+def test_signs_of_zero(spark):
+    rows = spark.createDataFrame([(0.0, 0.0), (0.0, 1.0), (-1.0, -2.0), (1.0, None)], "f double, y double")
+    assert [r.status for r in stats.graded(rows, "f", "y").collect()] == ["HIT", "MISS", "HIT", "PENDING"]

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +138,13 @@ def test_model_registry(spark, tmp_path):
     with pytest.raises(ValueError):
         learning.load(spark, registry, "m1")
     learning.approve(spark, registry, "m1")
+    damaged = next(Path(root).glob("m1/stages/*/data/*.parquet"), None) or next(Path(root).glob("m1/metadata/part-*"))
+    kept = damaged.read_bytes()
+    damaged.with_name(f".{damaged.name}.crc").unlink(missing_ok=True)
+    damaged.write_bytes(kept + b"x")
+    with pytest.raises(ValueError, match="changed"):
+        learning.load(spark, registry, "m1")
+    damaged.write_bytes(kept)
     again = learning.load(spark, registry, "m1").transform(scored.drop("raw", "x", "prediction"))
     assert again.agg(F.sum("prediction")).first()[0] == pytest.approx(scored.agg(F.sum("prediction")).first()[0])
     with pytest.raises(ValueError):
@@ -203,3 +211,11 @@ def test_dead_letters(spark):
     rows = spark.createDataFrame([("a", '{"k": 1}'), ("a", "{broken"), ("z", '{"k": 1}'), ("a", None)], "type string, payload string")
     good, dead = jobs.validated(rows, "k int", ["a"])
     assert [r.body.k for r in good.collect()] == [1] and dead.count() == 3
+
+
+def test_a_pack_has_two_to_twenty_symbols(spark):
+    rows = spark.createDataFrame([("A", 1), ("B", 2), ("C", 3)], "symbol string, d int")
+    assert M.price_pack(rows, ["A", "B"]).count() == 2
+    for wrong in (["A"], [], ["A", "A"], ["A", " "], [f"S{i}" for i in range(21)]):
+        with pytest.raises(ValueError):
+            M.price_pack(rows, wrong)
