@@ -62,10 +62,12 @@ def nav_drifting(prices: DataFrame, weights: DataFrame, delay: int = 1) -> DataF
 
 
 def path(held: DataFrame) -> DataFrame:
+    """Values along the periods: a row's own growth times the growth of the periods that have ended before, in one
+    window of the strategy's days."""
     growth = held.groupBy("strategy", "e", "n", "rn", "d").agg((F.sum("value") + 1 - F.sum("w")).alias("g"))
-    ends = growth.filter("rn = n and n > e").select("strategy", "n", F.log("g").alias("lg"))
-    chain = ends.select("strategy", F.col("n").alias("e"), F.exp(F.sum("lg").over(Window.partitionBy("strategy").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))).alias("base"))
-    return growth.filter("rn > e or n = e").join(chain, ["strategy", "e"], "left").select("strategy", "e", "rn", "d", (F.coalesce("base", F.lit(1.0)) * F.col("g")).alias("nav"))
+    earlier = Window.partitionBy("strategy").orderBy("e", "rn").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.exp(F.coalesce(F.sum(F.when((F.col("rn") == F.col("n")) & (F.col("n") > F.col("e")), F.log("g"))).over(earlier), F.lit(0.0)))
+    return growth.withColumn("base", base).filter("rn > e or n = e").select("strategy", "e", "rn", "d", (F.col("base") * F.col("g")).alias("nav"))
 
 
 def turnover(prices: DataFrame, weights: DataFrame, delay: int = 1) -> DataFrame:
@@ -82,15 +84,18 @@ def traded(held: DataFrame) -> DataFrame:
 
 def ledger(held: DataFrame) -> DataFrame:
     """Per execution and asset the drifted weight before it, the target and the change. An asset that is held
-    but has no target any more is sold: its target is 0."""
-    ends = held.filter("rn = n and n > e")
-    total = F.sum("value").over(Window.partitionBy("strategy", "e")) + 1 - F.sum("w").over(Window.partitionBy("strategy", "e"))
-    before = ends.select("strategy", F.col("n").alias("e"), "asset", (F.col("value") / total).alias("pre"))
-    now = held.filter("rn = e").select("strategy", "e", "d", "asset", F.col("w").alias("target"))
-    days = now.groupBy("strategy", "e").agg(F.max("d").alias("day"))
-    both = now.drop("d").join(before, ["strategy", "e", "asset"], "full_outer").join(days, ["strategy", "e"])
+    but has no target any more is sold: its target is 0. Holdings are read once: a period's last row counts for the
+    next execution, its first for its own."""
+    whole = Window.partitionBy("strategy", "e", "rn")
+    ends = (F.col("rn") == F.col("n")) & (F.col("n") > F.col("e"))
+    rows = held.filter(ends | (F.col("rn") == F.col("e"))).withColumn("pre", F.col("value") / (F.sum("value").over(whole) + 1 - F.sum("w").over(whole)))
+    none = F.lit(None).cast("double")
+    own = F.when(F.col("rn") == F.col("e"), F.struct(F.col("e").alias("e"), F.col("d").alias("d"), none.alias("pre"), F.col("w").alias("target")))
+    later = F.when(ends, F.struct(F.col("n").alias("e"), F.lit(None).cast("date").alias("d"), F.col("pre").alias("pre"), none.alias("target")))
+    both = rows.select("strategy", "asset", F.explode(F.array_compact(F.array(own, later))).alias("x")).groupBy("strategy", "x.e", "asset").agg(*[F.max(f"x.{c}").alias(c) for c in ("d", "pre", "target")])
+    both = both.withColumn("d", F.max("d").over(Window.partitionBy("strategy", "e"))).filter("d is not null")
     pre, target = F.coalesce("pre", F.lit(0.0)), F.coalesce("target", F.lit(0.0))
-    return both.select("strategy", "e", F.col("day").alias("d"), "asset", pre.alias("pre"), target.alias("target"), (target - pre).alias("change"))
+    return both.select("strategy", "e", "d", "asset", pre.alias("pre"), target.alias("target"), (target - pre).alias("change"))
 
 
 def turnover_per_year(trades: DataFrame, n_returns: DataFrame) -> DataFrame:
