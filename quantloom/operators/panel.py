@@ -74,15 +74,28 @@ def price_panel(prices: DataFrame, calendar: DataFrame, mode: str = "audited") -
     return complete_days(filled(prices, union).join(F.broadcast(calendar.select("d")), "d", "left_semi").select("asset", "d", "px"))
 
 
-def asof(facts: DataFrame, moments: DataFrame) -> DataFrame:
+def best_so_far(rows: DataFrame, value: str, at: str, order: list[str], days: int = 30) -> DataFrame:
+    """`value` of each row becomes the largest of the asset's rows up to it in the order, whose first column is the time
+    `at`. An asset's rows lie in spans of so many days, each a group of its own; what the spans before bring in is
+    a second, small pass over one row for each span. So a single asset spreads over tasks."""
+    spans = rows.withColumn("_span", F.expr(f"unix_seconds(cast({at} as timestamp)) div {days * 86400}"))
+    upto = Window.partitionBy("asset", "_span").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("asset").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    tops = spans.groupBy("asset", "_span").agg(F.max(value).alias("_top")).select("asset", "_span", F.max("_top").over(before).alias("_carried"))
+    out = spans.withColumn(value, F.max(value).over(upto)).join(tops, ["asset", "_span"])
+    return out.withColumn(value, F.greatest(value, "_carried")).drop("_span", "_carried")
+
+
+def asof(facts: DataFrame, moments: DataFrame, days: int = 30) -> DataFrame:
     """For each (asset, decision_at) the latest observation that was available by then: facts (asset,
     observed_at, available_at, px). An old observation that arrives late never replaces a newer one that
-    was there. Both sides are laid in one order and the best so far is carried along: no theta join."""
+    was there. Both sides are laid in one order and the best so far is carried along: no theta join. Facts and moments
+    without an asset or a time match nothing; such moments are left out."""
     best = F.struct("observed_at", "available_at", "px")
     left = facts.select("asset", F.col("available_at").alias("at"), F.lit(0).alias("kind"), best.alias("fact"), F.lit(None).cast("timestamp").alias("decision_at"))
     right = moments.select("asset", F.col("decision_at").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(left.schema["fact"].dataType).alias("fact"), "decision_at")
-    upto = Window.partitionBy("asset").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return left.union(right).withColumn("fact", F.max("fact").over(upto)).filter("kind = 1").select("asset", "decision_at", "fact.observed_at", "fact.available_at", "fact.px")
+    both = best_so_far(left.union(right).filter("asset is not null and at is not null"), "fact", "at", ["at", "kind"], days)
+    return both.filter("kind = 1").select("asset", "decision_at", "fact.observed_at", "fact.available_at", "fact.px")
 
 
 def sessions_after(days: DataFrame, n: int) -> DataFrame:

@@ -136,3 +136,19 @@ def test_stream_equals_batch(spark, tmp_path):
     q = jobs.idempotent_sink(jobs.job_states(stream), lambda df, n: seen.update({r.job_id: r.status for r in df.collect()}), str(tmp_path / "cp"))
     q.awaitTermination()
     assert {r.job_id: r.status for r in jobs.job_states_batch(events).collect()} == {k: v for k, v in seen.items()}
+
+
+def test_asof_of_one_asset_over_many_spans(spark):
+    """Values are carried over spans without facts; equal to a plain search."""
+    rng = np.random.default_rng(7)
+    base = dt.datetime(2024, 1, 1)
+    when = lambda n, k: [base + dt.timedelta(hours=int(h)) for h in rng.integers(0, k, n)]
+    facts = [("A" if i % 9 else "B", o, o + dt.timedelta(hours=int(rng.integers(0, 900))), float(i)) for i, o in enumerate(when(300, 9000))] + [("A", base, None, 1.0), (None, base, base, 1.0)]
+    moments = sorted({("A" if i % 4 else "B", m) for i, m in enumerate(when(200, 16000))}) + [("none", base)]
+    out = P.asof(spark.createDataFrame(facts, "asset string, observed_at timestamp, available_at timestamp, px double"), spark.createDataFrame(moments, "asset string, decision_at timestamp"))
+    got = {(r.asset, r.decision_at): r.px for r in out.collect()}
+    want = {(a, m): max(((o, v, px) for b, o, v, px in facts if a == b and v and v <= m), default=(None,))[-1] for a, m in moments}
+    assert got == want
+    spread = P.best_so_far(spark.range(400).selectExpr("'A' as asset", "timestamp_seconds(id * 86400) as at", "id as v"), "v", "at", ["at"])
+    assert [r.v for r in spread.orderBy("at").collect()] == list(range(400))
+    assert spread.select(F.spark_partition_id().alias("p")).distinct().count() > 1
