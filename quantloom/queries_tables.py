@@ -14,6 +14,7 @@ from .plans import derived as D
 from .queries import _BARS, query, r6
 from .session import shared_folder
 from .sources import paged
+from .streaming import tail
 
 EXTENDS = {"train": False, "test": True, "full": True}
 
@@ -108,3 +109,18 @@ def paged_bars(spark, sf):
     paged.register(spark)
     out = spark.read.format("paged_bars").options(path=path, batch="4").load().filter("d >= date '1996-01-01'")
     return out.select("symbol", "d", *r6("open", "high", "low", "close"), "volume")
+
+
+@query(
+    """with log as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as sequence from events), kept as (select * from log where ts >= (select max(ts) from events) - interval 14 day),
+c as (select user_id, user_id % 40 as cursor, min(sequence) as first from kept group by 1), a as (select *, cursor + 1 < first as reset, case when cursor + 1 < first then first - 1 else cursor end as start from c)
+select user_id::varchar as key, cursor, reset, sequence, event_id from kept join a using (user_id) where sequence > start and sequence <= start + 20"""
+)
+def cursor_poll(spark, sf):
+    """The next 20 events of each reader from a log that keeps two weeks."""
+    e = D.table(spark, sf, "events")
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint")
+    log = e.select("user_id", "event_id", "ts", number.alias("sequence")).crossJoin(F.broadcast(e.agg((F.max("ts") - F.expr("interval 14 days")).alias("since")))).filter("ts >= since")  # one row
+    log = log.select(F.col("user_id").cast("string").alias("key"), "sequence", "event_id")
+    cursors = e.select(F.col("user_id").cast("string").alias("key"), (F.col("user_id") % 40).alias("cursor")).distinct()
+    return tail.poll(log, cursors, 20).select("key", "cursor", "reset", "sequence", "event_id")
