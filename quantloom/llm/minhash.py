@@ -36,7 +36,7 @@ WORDS = 5
 BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 BLOCK = 256
-CELL_BYTES = 32 << 20
+CELLS, CELL_BYTES = 4096, 32 << 20  # cells that small buckets share: so many at least, and so many bytes in each
 AGREE = 82  # of 125 coordinates; at 0.85 fewer agree with probability 1.9e-8, at 0.80 fewer than 75 with 8.6e-8
 
 SPACE = np.zeros(256, bool)
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     if not apart.isEmpty():
         full = apart.join(reps.drop("set_key"), "doc_id")
         weight = full.filter(F.col("size") <= BLOCK).agg(F.sum(8 * (F.col("n_shingles") + BANDS) + COORDINATES)).first()[0] or 0
-        cells = _cells(full.join(sets, "doc_id"), max(1, weight // CELL_BYTES))
+        cells = _cells(full.join(sets, "doc_id"), max(CELLS, weight // CELL_BYTES))
         further = components(cells.groupBy("cell", "i", "j").applyInArrow(_across(percent), "a long, b long").distinct())
         labels = written(further_labels(labels, further), "labels", light=True)
     for x in (apart, sets):
