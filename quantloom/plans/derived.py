@@ -32,6 +32,13 @@ def held(df: DataFrame) -> DataFrame:
     return df if df.storageLevel.useDisk else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Held and computed now: for steps of a long chain, which else would be planned and run as one job."""
+    out = held(df)
+    out.count()
+    return out
+
+
 def prices(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:
     """The one scan of the trades that assets, calendar and prices of a panel share."""
     rows = trades(spark, sf_dir).groupBy("asset", F.date_trunc(unit, "l_shipdate").cast("date").alias("d"))

@@ -500,7 +500,7 @@ def next_period_weights(spark, sf):
 def _active_weights(spark, sf, moments, matrices):
     """Optimised with and without views over the active assets of each decision, more averse in a crisis, 0 for all
     others."""
-    active = D.held(X.active_assets(_force(spark, sf), _assets(D.panel(spark, sf)), ["Brand#11", "Brand#12"]).select("rn", "asset"))
+    active = D.settled(X.active_assets(_force(spark, sf), _assets(D.panel(spark, sf)), ["Brand#11", "Brand#12"]).select("rn", "asset"))
     some = moments.join(active.withColumnRenamed("asset", "a"), ["rn", "a"], "left_semi").join(active.withColumnRenamed("asset", "b"), ["rn", "b"], "left_semi")
     tight = _regimes(spark, sf).filter("regime = 'crisis'").select("rn")
     every = moments.select("rn", F.col("a").alias("asset")).distinct()
@@ -513,7 +513,7 @@ def _active_weights(spark, sf, moments, matrices):
 
 @query()
 def active_subset_weights(spark, sf):
-    with_views, without = _active_weights(spark, sf, D.held(_moments(spark, sf)), _view_matrices(spark, sf))
+    with_views, without = _active_weights(spark, sf, D.settled(_moments(spark, sf)), _view_matrices(spark, sf))
     return with_views.unionByName(without)
 
 
@@ -526,7 +526,7 @@ RANKING_FEATURES = [
 
 
 def _force(spark, sf):
-    return D.held(_in_force(spark, sf).select("rn", "members"))
+    return D.settled(_in_force(spark, sf).select("rn", "members"))
 
 
 def _with_labels(rows):
@@ -561,18 +561,18 @@ def fit_audits(spark, sf):
 @query()
 def learned_ranking_views(spark, sf):
     """Views from the pairwise ranker, fitted anew each 10 rows; momenta before its first fit."""
-    rows, force = D.held(_ranking_rows(spark, sf)), _force(spark, sf)
-    turns = D.held(walkforward.fit_turns(force))
-    scores = D.held(walkforward.ranking_scores(rows, force, turns, RANKING_FEATURES))
+    rows, force = D.settled(_ranking_rows(spark, sf)), _force(spark, sf)
+    turns = D.settled(walkforward.fit_turns(force))
+    scores = D.settled(walkforward.ranking_scores(rows, force, turns, RANKING_FEATURES))
     return views.ranking_views(scores).unionByName(views.cold_start_views(walkforward.cold_starts(D.panel(spark, sf), force, turns)))
 
 
 @query()
 def learned_model_views(spark, sf):
     """Views from each member's ensemble, fitted anew each 10 rows; none before its first fit."""
-    rows, force = D.held(_absolute_rows(spark, sf)), _force(spark, sf)
-    turns = D.held(walkforward.fit_turns(force, "absolute"))
-    out = D.held(walkforward.absolute_forecasts(rows, force, turns, ml.ML_FEATURES)).withColumn("conf", ml.ensemble_confidence())
+    rows, force = D.settled(_absolute_rows(spark, sf)), _force(spark, sf)
+    turns = D.settled(walkforward.fit_turns(force, "absolute"))
+    out = D.settled(walkforward.absolute_forecasts(rows, force, turns, ml.ML_FEATURES)).withColumn("conf", ml.ensemble_confidence())
     spread = D.panel_returns(spark, sf).select((F.col("rn") + 1).alias("t"), "asset", I.volatility(20, full=False).alias("vol_20"), F.count("r").over(I.trailing(20)).alias("n_obs"))
     return views.model_views(out.join(spread, ["t", "asset"])).withColumn("q_daily", F.col("q_annual") / 252)
 
@@ -581,10 +581,10 @@ def _walked(spark, sf, model):
     """Paths of equal weights, mean-variance over all assets, learned views over the selection in force (each 20 rows), and
     their blend by regime with the mean-variance weights of the same selection: decided at each rebalance, traded at the
     next close, with drifting holdings."""
-    rows, moments = D.panel_returns(spark, sf), D.held(_moments(spark, sf).filter("rn >= 25"))
-    bl, active = (D.held(x) for x in _active_weights(spark, sf, moments, _with_defensive(spark, sf, model)))
+    rows, moments = D.panel_returns(spark, sf), D.settled(_moments(spark, sf).filter("rn >= 25"))
+    bl, active = (D.settled(x) for x in _active_weights(spark, sf, moments, D.settled(_with_defensive(spark, sf, model))))
     ew = N.equal_weights(moments.select("rn").distinct(), rows.select("asset").distinct())
-    weights = D.held(ew.unionByName(optimize.solved(moments, POLICY)).unionByName(bl).unionByName(N.blended(active, bl, _regimes(spark, sf))))
+    weights = D.settled(ew.unionByName(optimize.solved(moments, POLICY)).unionByName(bl).unionByName(N.blended(active, bl, _regimes(spark, sf))))
     return N.path(N.holdings(rows, weights))
 
 
@@ -594,7 +594,6 @@ def walk_forward(spark, sf):
     return _walked(spark, sf, learned_ranking_views(spark, sf))
 
 
-@query()
 def walk_forward_absolute(spark, sf):
     """The walk-forward with views of the retrained ensembles."""
     return _walked(spark, sf, learned_model_views(spark, sf))
