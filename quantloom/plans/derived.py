@@ -4,12 +4,15 @@ returns, is its price."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.indicators import returns
 from ..operators.panel import price_panel
+from ..session import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +36,11 @@ def held(df: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Held and computed now: for steps of a long chain, which else would be planned and run as one job."""
-    out = held(df)
-    out.count()
-    return out
+    """Computed now and read again from a table in the shared folder: for steps of a long chain. Held rows keep their whole
+    plan, which doubles with each step that reads them twice; a table's plan is one scan, with its true size."""
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def prices(spark: SparkSession, sf_dir: str, unit: str = "week") -> DataFrame:

@@ -476,9 +476,10 @@ def _view_matrices(spark, sf):
     return _with_defensive(spark, sf, model)
 
 
-def _with_defensive(spark, sf, model):
+def _with_defensive(spark, sf, model, regimes=None):
     own, _ = _managed(spark, sf)
-    all_ = views.with_defensive(model, own, _regimes(spark, sf).withColumnRenamed("rn", "t"))
+    regimes = _regimes(spark, sf) if regimes is None else regimes
+    all_ = views.with_defensive(model, own, regimes.withColumnRenamed("rn", "t"))
     return views.matrices(all_, _assets(D.panel(spark, sf)), daily=True)
 
 
@@ -497,12 +498,13 @@ def next_period_weights(spark, sf):
     return optimize.solved(now, POLICY).unionByName(optimize.solved(now, POLICY, "BL_ML", views=_view_matrices(spark, sf)))
 
 
-def _active_weights(spark, sf, moments, matrices):
+def _active_weights(spark, sf, moments, matrices, force=None, regimes=None):
     """Optimised with and without views over the active assets of each decision, more averse in a crisis, 0 for all
     others."""
-    active = D.settled(X.active_assets(_force(spark, sf), _assets(D.panel(spark, sf)), ["Brand#11", "Brand#12"]).select("rn", "asset"))
+    force, regimes = _force(spark, sf) if force is None else force, _regimes(spark, sf) if regimes is None else regimes
+    active = D.settled(X.active_assets(force, _assets(D.panel(spark, sf)), ["Brand#11", "Brand#12"]).select("rn", "asset"))
     some = moments.join(active.withColumnRenamed("asset", "a"), ["rn", "a"], "left_semi").join(active.withColumnRenamed("asset", "b"), ["rn", "b"], "left_semi")
-    tight = _regimes(spark, sf).filter("regime = 'crisis'").select("rn")
+    tight = regimes.filter("regime = 'crisis'").select("rn")
     every = moments.select("rn", F.col("a").alias("asset")).distinct()
 
     def whole(solved, name):
@@ -558,45 +560,56 @@ def fit_audits(spark, sf):
     return walkforward.audits(_absolute_rows(spark, sf), walkforward.fit_turns(_force(spark, sf), "absolute"))
 
 
-@query()
-def learned_ranking_views(spark, sf):
-    """Views from the pairwise ranker, fitted anew each 10 rows; momenta before its first fit."""
-    rows, force = D.settled(_ranking_rows(spark, sf)), _force(spark, sf)
+def _learned_ranking_views(spark, sf, force):
+    rows = D.settled(_ranking_rows(spark, sf))
     turns = D.settled(walkforward.fit_turns(force))
     scores = D.settled(walkforward.ranking_scores(rows, force, turns, RANKING_FEATURES))
     return views.ranking_views(scores).unionByName(views.cold_start_views(walkforward.cold_starts(D.panel(spark, sf), force, turns)))
 
 
 @query()
-def learned_model_views(spark, sf):
-    """Views from each member's ensemble, fitted anew each 10 rows; none before its first fit."""
-    rows, force = D.settled(_absolute_rows(spark, sf)), _force(spark, sf)
+def learned_ranking_views(spark, sf):
+    """Views from the pairwise ranker, fitted anew each 10 rows; momenta before its first fit."""
+    return _learned_ranking_views(spark, sf, _force(spark, sf))
+
+
+def _learned_model_views(spark, sf, force):
+    rows = D.settled(_absolute_rows(spark, sf))
     turns = D.settled(walkforward.fit_turns(force, "absolute"))
     out = D.settled(walkforward.absolute_forecasts(rows, force, turns, ml.ML_FEATURES)).withColumn("conf", ml.ensemble_confidence())
     spread = D.panel_returns(spark, sf).select((F.col("rn") + 1).alias("t"), "asset", I.volatility(20, full=False).alias("vol_20"), F.count("r").over(I.trailing(20)).alias("n_obs"))
     return views.model_views(out.join(spread, ["t", "asset"])).withColumn("q_daily", F.col("q_annual") / 252)
 
 
-def _walked(spark, sf, model):
+@query()
+def learned_model_views(spark, sf):
+    """Views from each member's ensemble, fitted anew each 10 rows; none before its first fit."""
+    return _learned_model_views(spark, sf, _force(spark, sf))
+
+
+def _walked(spark, sf, learned):
     """Paths of equal weights, mean-variance over all assets, learned views over the selection in force (each 20 rows), and
     their blend by regime with the mean-variance weights of the same selection: decided at each rebalance, traded at the
     next close, with drifting holdings."""
-    rows, moments = D.panel_returns(spark, sf), D.settled(_moments(spark, sf).filter("rn >= 25"))
-    bl, active = (D.settled(x) for x in _active_weights(spark, sf, moments, D.settled(_with_defensive(spark, sf, model))))
+    rows, force = D.settled(D.panel_returns(spark, sf)), _force(spark, sf)
+    moments, regimes = D.settled(_moments(spark, sf).filter("rn >= 25")), D.settled(_regimes(spark, sf))
+    matrices = D.settled(_with_defensive(spark, sf, D.settled(learned(spark, sf, force)), regimes))
+    bl, active = (D.settled(x) for x in _active_weights(spark, sf, moments, matrices, force, regimes))
     ew = N.equal_weights(moments.select("rn").distinct(), rows.select("asset").distinct())
-    weights = D.settled(ew.unionByName(optimize.solved(moments, POLICY)).unionByName(bl).unionByName(N.blended(active, bl, _regimes(spark, sf))))
+    weights = D.settled(ew.unionByName(optimize.solved(moments, POLICY)).unionByName(bl).unionByName(N.blended(active, bl, regimes)))
     return N.path(N.holdings(rows, weights))
 
 
 @query()
 def walk_forward(spark, sf):
     """The walk-forward with views of the retrained ranker."""
-    return _walked(spark, sf, learned_ranking_views(spark, sf))
+    return _walked(spark, sf, _learned_ranking_views)
 
 
+@query()
 def walk_forward_absolute(spark, sf):
     """The walk-forward with views of the retrained ensembles."""
-    return _walked(spark, sf, learned_model_views(spark, sf))
+    return _walked(spark, sf, _learned_model_views)
 
 
 # ---------------------------------------------------------------- comparisons of paths
