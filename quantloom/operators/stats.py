@@ -29,8 +29,8 @@ def asset_summary(returns: DataFrame) -> DataFrame:
     return out.withColumn("ann_return", annualised("total_return", "n"))
 
 
-def metric_summary(nav: DataFrame, key: str = "strategy") -> DataFrame:
-    """Per strategy the seven metrics of a value path (strategy, d, nav)."""
+def metric_summary(nav: DataFrame, key: str | list[str] = "strategy") -> DataFrame:
+    """Per strategy (or other keys) the seven metrics of a value path (strategy, d, nav)."""
     by = Window.partitionBy(key).orderBy("d")
     rows = nav.withColumn("r", div("nav", F.lag("nav").over(by)) - 1).withColumn("dd", div("nav", F.max("nav").over(by.rowsBetween(Window.unboundedPreceding, 0))) - 1)
     out = rows.groupBy(key).agg(

@@ -3,17 +3,21 @@ equivalent where SQL can say it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .operators import experiments as X
 from .operators import indicators as I
-from .operators import learning, ml, optimize, selection, serving, stats, views, walkforward
+from .operators import learning, ml, optimize, runs, selection, serving, stats, views, walkforward
 from .operators import portfolio as N
 from .oracle import PANEL, RET, ema, w
 from .plans import derived as D
 from .queries import _DRIFT, _EW, _IV, _MKT, _MOM, _RATIO, _TURN, _VOLAT, _MEDOIDS, _PREFIX, POLICY, _assets, _prefix, _prefix_distances, _representatives, _iv_weights, _momenta, _moments, _selected, query, r6
-from .sources import files
+from .session import shared_folder
+from .sources import files, market
 
 # ---------------------------------------------------------------- features
 
@@ -564,52 +568,74 @@ def _learned_ranking_views(spark, sf, force):
     rows = D.settled(_ranking_rows(spark, sf))
     turns = D.settled(walkforward.fit_turns(force))
     scores = D.settled(walkforward.ranking_scores(rows, force, turns, RANKING_FEATURES))
-    return views.ranking_views(scores).unionByName(views.cold_start_views(walkforward.cold_starts(D.panel(spark, sf), force, turns)))
+    return views.ranking_views(scores).unionByName(views.cold_start_views(walkforward.cold_starts(D.panel(spark, sf), force, turns))), scores
 
 
 @query()
 def learned_ranking_views(spark, sf):
     """Views from the pairwise ranker, fitted anew each 10 rows; momenta before its first fit."""
-    return _learned_ranking_views(spark, sf, _force(spark, sf))
+    return _learned_ranking_views(spark, sf, _force(spark, sf))[0]
 
 
 def _learned_model_views(spark, sf, force):
     rows = D.settled(_absolute_rows(spark, sf))
     turns = D.settled(walkforward.fit_turns(force, "absolute"))
-    out = D.settled(walkforward.absolute_forecasts(rows, force, turns, ml.ML_FEATURES)).withColumn("conf", ml.ensemble_confidence())
+    scores = D.settled(walkforward.absolute_forecasts(rows, force, turns, ml.ML_FEATURES))
     spread = D.panel_returns(spark, sf).select((F.col("rn") + 1).alias("t"), "asset", I.volatility(20, full=False).alias("vol_20"), F.count("r").over(I.trailing(20)).alias("n_obs"))
-    return views.model_views(out.join(spread, ["t", "asset"])).withColumn("q_daily", F.col("q_annual") / 252)
+    out = scores.withColumn("conf", ml.ensemble_confidence()).join(spread, ["t", "asset"])
+    return views.model_views(out).withColumn("q_daily", F.col("q_annual") / 252), scores
 
 
 @query()
 def learned_model_views(spark, sf):
     """Views from each member's ensemble, fitted anew each 10 rows; none before its first fit."""
-    return _learned_model_views(spark, sf, _force(spark, sf))
+    return _learned_model_views(spark, sf, _force(spark, sf))[0]
 
 
 def _walked(spark, sf, learned):
-    """Paths of equal weights, mean-variance over all assets, learned views over the selection in force (each 20 rows), and
+    """Holdings of equal weights, mean-variance over all assets, learned views over the selection in force (each 20 rows), and
     their blend by regime with the mean-variance weights of the same selection: decided at each rebalance, traded at the
-    next close, with drifting holdings."""
+    next close, drifting between; with the prices, the weights, and the models' predictions."""
     rows, force = D.settled(D.panel_returns(spark, sf)), _force(spark, sf)
     moments, regimes = D.settled(_moments(spark, sf).filter("rn >= 25")), D.settled(_regimes(spark, sf))
-    matrices = D.settled(_with_defensive(spark, sf, D.settled(learned(spark, sf, force)), regimes))
+    model, scores = learned(spark, sf, force)
+    matrices = D.settled(_with_defensive(spark, sf, D.settled(model), regimes))
     bl, active = (D.settled(x) for x in _active_weights(spark, sf, moments, matrices, force, regimes))
     ew = N.equal_weights(moments.select("rn").distinct(), rows.select("asset").distinct())
     weights = D.settled(ew.unionByName(optimize.solved(moments, POLICY)).unionByName(bl).unionByName(N.blended(active, bl, regimes)))
-    return N.path(N.holdings(rows, weights))
+    return rows, weights, N.holdings(rows, weights), scores
 
 
 @query()
 def walk_forward(spark, sf):
     """The walk-forward with views of the retrained ranker."""
-    return _walked(spark, sf, _learned_ranking_views)
+    return N.path(_walked(spark, sf, _learned_ranking_views)[2])
 
 
 @query()
 def walk_forward_absolute(spark, sf):
     """The walk-forward with views of the retrained ensembles."""
-    return _walked(spark, sf, _learned_model_views)
+    return N.path(_walked(spark, sf, _learned_model_views)[2])
+
+
+def _run_tables(spark, sf):
+    """The thirteen tables of the walk-forward with the retrained ensembles; its first phase ends on a
+    Monday in the middle of 1998."""
+    rows, weights, held, scores = _walked(spark, sf, _learned_model_views)
+    force = D.settled(_in_force(spark, sf))
+    training = D.settled(walkforward.audits(_absolute_rows(spark, sf), walkforward.fit_turns(force.select("rn", "members"), "absolute")))
+    limits = {"defensive": list(POLICY.defensive), "bounded": ["BL_ML"], "cap": POLICY.cap, "floor": POLICY.floor, "group_cap": POLICY.other_cap}
+    return runs.tables(rows, weights, D.settled(held), F.lit("1998-06-29").cast("date"), force, training, scores, limits)
+
+
+@query()
+def run_artifacts(spark, sf):
+    """A run's tables are written as files; how many rows each of them has when it is read again."""
+    root = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    run = _run_tables(spark, sf)
+    market.write_run(run, root)
+    files = [spark.read.option("header", True).csv(f"{root}/{name}", schema=df.schema).agg(F.count("*").alias("n")).select(F.lit(name).alias("artifact"), "n") for name, df in run.items()]
+    return reduce(DataFrame.unionByName, files)
 
 
 # ---------------------------------------------------------------- comparisons of paths
