@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quantloom.llm import bpe, mixing, quality, tokenout
+from quantloom.llm import bpe, mixing, quality, sharding, tokenout
 
 PIECES = [
     "the", "The", "ING", "don't", "we'LL", " ", "  ", "\t", "\n", "\r\n", " ", " ", "　", "​", "\x00", "\x1c", "é", "é", "̧́", "ß", "ǅ", "日本",
@@ -113,6 +113,43 @@ def test_mixture_equals_a_plain_one(spark, entropy, repeats):
     assert len(got) == len(set(got)) and set(got) == want and (entropy < 0.5 or {e for _, _, e, _ in want} != {0})
 
 
+# ------------------------------------------------------------------ shards
+
+
+def held_to_the_tree(rows, first, leaves, ranges, slack):
+    """Each node of rows (size, source, lang, crc, place, shard) is cut along its widest dimension, ties by content and then
+    id, where its left leaves get their part of the bytes to within `slack` or a half of the copies at the border."""
+    if leaves == 1:
+        return 1
+    widths = [(max(r[d] for r in rows) - min(r[d] for r in rows)) / max(1, ranges[d]) for d in range(4)]
+    dim, border = widths.index(max(widths)), first + leaves // 2
+    key = lambda r: (r[dim], r[3], r[4])
+    sides = [r for r in rows if r[5] < border], [r for r in rows if r[5] >= border]
+    left, right = max(map(key, sides[0])), min(map(key, sides[1]))
+    assert left < right
+    copies = max(sum(r[0] for r in rows if (r[dim], r[3]) == k[:2]) for k in (left, right))
+    off = abs(sum(r[0] for r in sides[0]) - sum(r[0] for r in rows) / leaves * (leaves // 2))
+    assert off <= max(slack, copies / 2) + 1, (dim, off, slack, copies)
+    return held_to_the_tree(sides[0], first, leaves // 2, ranges, slack) + held_to_the_tree(sides[1], border, leaves - leaves // 2, ranges, slack)
+
+
+@pytest.mark.parametrize("shards", [8, 5])
+def test_shards_follow_the_tree(spark, shards):
+    rng = np.random.default_rng(31)
+    rows = []
+    for i in range(3000):
+        n = int(rng.integers(0, 40)) if i % 3 else int(rng.exponential(300))
+        text = None if i % 97 == 0 else "same text" if i % 50 == 0 else f"{i} " + "é" * n
+        rows.append((i * 7 % 3000, text, *(("s0", "en") if i % 50 == 0 or i % 97 == 0 else (("s0", "s0", "s1", None)[int(rng.integers(0, 4))], ("en", "fr", None)[i % 3]))))
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5)
+    got = {r.doc_id: r.shard for r in sharding.sharded(table, shards).collect()}
+    code = lambda v: -1 if v is None else zlib.crc32(v.encode())
+    plain = [(len((t or "").encode()) + 1, code(s), code(l), zlib.crc32((t or "").encode()), i, got[i]) for i, t, s, l in rows]
+    ranges = [max(r[d] for r in plain) - min(r[d] for r in plain) for d in range(4)]
+    total = sum(r[0] for r in plain)
+    assert len(got) == len(rows) and held_to_the_tree(plain, 0, shards, ranges, max(1, total // (shards * sharding.SLACK)) + max(r[0] for r in plain)) == shards
+
+
 # ------------------------------------------------------------------ classifier
 
 
